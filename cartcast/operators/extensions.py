@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartcast.functions.time import DateLike, as_date, day_of, hour_index
-from cartcast.operators.features import B, DAY, HOUR, I, U, split_timestamp, ui_features_from_horizon
+from cartcast.operators.features import (
+    B,
+    DAY,
+    HOUR,
+    I,
+    U,
+    daily_aggs,
+    split_timestamp,
+    ui_features_from_pair_days,
+)
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig
+from cartcast.session import cut_lineage
 from cartcast.sinks.writers import write_log_by_day
 
 
@@ -40,8 +50,9 @@ def multi_split_features(
         U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
     )
     fanned = rows.withColumn("split_date", F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
-    sh = (F.datediff(F.col("split_date"), F.lit(as_date(origin))) * 24)
-    return ui_features_from_horizon(fanned, sh, ratio_mode, skew, group=("split_date",))
+    sh = F.datediff(F.col("split_date"), F.lit(as_date(origin))) * 24
+    daily = cut_lineage(fanned.groupBy("split_date", U, I, DAY).agg(*daily_aggs(sh)), "pair_days")
+    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, group=("split_date",))
 
 
 def log_by_day(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:

@@ -15,7 +15,9 @@ ratios relate a pair to the user's totals. The plan:
 Every aggregation combines map-side before its shuffle, and both joins split
 heavy keys (``cartcast.operators.skew``), so one user holding a large share of
 the log is spread over many tasks. No step gathers a user's history in one
-place, unlike a group-by-user with per-user loops.
+place, unlike a group-by-user with per-user loops. D1 and UD are each read by
+several branches, so they are written once (``cut_lineage``) and the raw log
+is scanned once.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from cartcast.functions.ratio import guarded_ratio
 from cartcast.functions.time import DateLike, as_date, day_of, hour_index, split_hour
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, salted_join
+from cartcast.session import cut_lineage
 from cartcast.schema import (
     BEHAVIOURS,
     BUY,
@@ -156,7 +159,11 @@ def user_day_activity(log: DataFrame, split: DateLike, origin: DateLike) -> Data
 
 
 def item_day_activity(
-    log: DataFrame, split: DateLike, origin: DateLike, skew: SkewConfig = DEFAULT_SKEW
+    log: DataFrame,
+    split: DateLike,
+    origin: DateLike,
+    skew: SkewConfig = DEFAULT_SKEW,
+    materialize: bool = True,
 ) -> DataFrame:
     """Per pair, days the item was touched and bought, its rows, and
     the user's rows on those days."""
@@ -164,6 +171,8 @@ def item_day_activity(
     daily = h.groupBy(U, I, DAY).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")
     )
+    if materialize:
+        daily = cut_lineage(daily, "item_days")
     user_day = daily.groupBy(U, DAY).agg(
         F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud")
     )
@@ -206,22 +215,39 @@ def _ratios(mode: str) -> list[Column]:
     ]
 
 
-def ui_features_from_horizon(
-    h: DataFrame,
+def pair_days(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
+    """Per (user, item, day) before the split: window counts, first and last
+    hour of each behaviour, rows and buys. The one pass over the raw log that
+    every feature derives from; partially aggregated before its shuffle."""
+    sh = split_hour(split, origin)
+    return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(sh))
+
+
+def daily_aggs(sh: SplitHour) -> list[Column]:
+    aggs = [_window_count(b, w, sh) for b, w in NEEDED_COUNTS]
+    aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
+    aggs += [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")]
+    return aggs
+
+
+def ui_features_from_pair_days(
+    daily: DataFrame,
     sh: SplitHour,
     ratio_mode: str = "exact",
     skew: SkewConfig = DEFAULT_SKEW,
     group: tuple[str, ...] = (),
+    materialize: bool = True,
 ) -> DataFrame:
-    """C2 over rows already cut at the split (``hour_idx < sh``).
+    """C2 from the ``pair_days`` table.
 
     ``group`` adds leading key columns (the split date when several splits
     run in one pass); every aggregation and join then also keys on them, and
-    ``sh`` may then be a column computed from them.
+    ``sh`` may then be a column computed from them. ``daily`` is read twice, so
+    pass a written table (``cut_lineage``); ``materialize`` writes the
+    per-(user, day) table, which four branches read.
     """
     g = list(group)
     counts = [count_col(b, w) for b, w in NEEDED_COUNTS]
-    daily = h.groupBy(*g, U, I, DAY).agg(*_daily_aggs(sh, g))
 
     user_day = daily.groupBy(*g, U, DAY).agg(
         F.count(F.lit(1)).alias("_items_day"),
@@ -229,6 +255,8 @@ def ui_features_from_horizon(
         F.sum("_nb").alias("_udb"),
         *[F.sum(count_col(b, LONG_WINDOW)).alias(_tot(b)) for b in BEHAVIOURS],
     )
+    if materialize:
+        user_day = cut_lineage(user_day, "user_days")
     hot_days = hot_keys(user_day, [*g, U, DAY], "_items_day", skew)
     with_day = salted_join(
         daily, user_day.select(*g, U, DAY, "_ud"), [*g, U, DAY], hot_days, spread=[I]
@@ -258,25 +286,23 @@ def ui_features_from_horizon(
     return full.select(*g, U, I, *out)
 
 
-def _daily_aggs(sh: SplitHour, g: list[str]) -> list[Column]:
-    aggs = [_window_count(b, w, sh) for b, w in NEEDED_COUNTS]
-    aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
-    aggs += [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")]
-    return aggs
-
-
 def ui_features(
     log: DataFrame,
     split: DateLike,
     origin: DateLike,
     ratio_mode: str = "exact",
     skew: SkewConfig = DEFAULT_SKEW,
+    materialize: bool = True,
 ) -> DataFrame:
     """The 47 user-item features as of midnight of ``split``.
 
     ``origin`` is the day hour 0 counts from; ``ratio_mode`` is ``exact`` or
     ``truncated`` (integer division, as the original features). One row per
-    (user, item) seen before the split.
+    (user, item) seen before the split. With ``materialize`` (the default) the
+    intermediate tables are written before this returns.
     """
     sh = split_hour(split, origin)
-    return ui_features_from_horizon(horizon(log, split, origin), sh, ratio_mode, skew)
+    daily = pair_days(log, split, origin)
+    if materialize:
+        daily = cut_lineage(daily, "pair_days")
+    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, materialize=materialize)

@@ -4,7 +4,13 @@ The training-table join consumes user and item feature tables but the original
 code has no producer for them. These are our own definitions, built from the
 same log cut at the split: per user, and per item, the rows of each behaviour
 in the 24 h, 168 h and 720 h windows, the number of days with any row and with
-a buy, the distinct counterparts, and the buy-per-view conversion.
+a buy, the distinct counterparts (items of a user, users of an item) and those
+bought, and the buy-per-view conversion.
+
+Both derive from the ``pair_days`` table in one linear chain: grouping sets
+emit each (key, day) and each (key, counterpart) group in a single aggregate,
+and a last aggregate per key counts them. Every step combines map-side, so a
+hot user or item reaches its final task as a few partial rows.
 """
 
 from __future__ import annotations
@@ -13,50 +19,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.functions.ratio import guarded_ratio
-from cartcast.functions.time import DateLike, split_hour
-from cartcast.operators.features import B, DAY, HOUR, horizon
-from cartcast.schema import BEHAVIOURS, BUY, VIEW
+from cartcast.functions.time import DateLike
+from cartcast.operators.features import DAY, I, U, pair_days
+from cartcast.schema import BEHAVIOURS, BUY, VIEW, count_col
 
 PROFILE_WINDOWS = (24, 168, 720)
+PROFILE_COUNTS = [count_col(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
 
 
-def _counts(sh: int) -> list:
-    age = F.lit(sh) - F.col(HOUR)
-    return [
-        F.count_if((F.col(B) == b) & (age <= w)).alias(f"{BEHAVIOURS[b]}_{w}h")
-        for w in PROFILE_WINDOWS
-        for b in BEHAVIOURS
-    ]
-
-
-def _profile(log: DataFrame, split: DateLike, origin: DateLike, key: str, other: str) -> DataFrame:
-    sh = split_hour(split, origin)
-    h = horizon(log, split, origin)
-    # Days and distinct counterparts are counted through (key, day) and
-    # (key, other) pre-aggregates, so a hot key reaches its final task as one
-    # partial row per map task. The three per-key results are all hash
-    # partitioned on the key and hold one row per key, so joining them adds
-    # no shuffle and cannot skew.
+def profile_from_pair_days(daily: DataFrame, key: str, other: str) -> DataFrame:
+    """One row per ``key`` (``user_id`` or ``item_id``) of ``pair_days``."""
     name = other.split("_")[0]
-    per_day = h.groupBy(key, DAY).agg(F.count_if(F.col(B) == BUY).alias("_nb"))
-    days = per_day.groupBy(key).agg(
-        F.count(F.lit(1)).alias("active_days"), F.count_if(F.col("_nb") > 0).alias("buy_days")
+    sets = daily.groupingSets([[key, DAY], [key, other]], key, DAY, other).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum("_nb").alias("_nb"),
+        *[F.sum(c).alias(c) for c in PROFILE_COUNTS],
     )
-    per_other = h.groupBy(key, other).agg(F.count_if(F.col(B) == BUY).alias("_nb"))
-    others = per_other.groupBy(key).agg(
-        F.count(F.lit(1)).alias(f"{name}_count"), F.count_if(F.col("_nb") > 0).alias(f"{name}_buy_count")
+    # grouping_id bits follow (key, day, other); 1 = rolled up.
+    by_day = F.col("_gid") == 1
+    by_other = F.col("_gid") == 2
+    bought = F.col("_nb") > 0
+    out = sets.groupBy(key).agg(
+        # Each pair-day row is in exactly one (key, day) group: sum those only.
+        *[F.coalesce(F.sum(F.when(by_day, F.col(c))), F.lit(0)).cast("long").alias(c) for c in PROFILE_COUNTS],
+        F.count_if(by_other).alias(f"{name}_count"),
+        F.count_if(by_other & bought).alias(f"{name}_buy_count"),
+        F.count_if(by_day).alias("active_days"),
+        F.count_if(by_day & bought).alias("buy_days"),
     )
-    counts = h.groupBy(key).agg(*_counts(sh))
-    out = counts.join(others, key, "inner").join(days, key, "inner")
-    conv = guarded_ratio(F.col(f"{BEHAVIOURS[BUY]}_720h"), F.col(f"{BEHAVIOURS[VIEW]}_720h"))
+    conv = guarded_ratio(F.col(count_col(BUY, 720)), F.col(count_col(VIEW, 720)))
     return out.withColumn("conv_view_buy", conv)
 
 
 def user_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per user active before the split."""
-    return _profile(log, split, origin, "user_id", "item_id")
+    return profile_from_pair_days(pair_days(log, split, origin), U, I)
 
 
 def item_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per item touched before the split."""
-    return _profile(log, split, origin, "item_id", "user_id")
+    return profile_from_pair_days(pair_days(log, split, origin), I, U)

@@ -13,10 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import hour_index
+from cartcast.functions.time import hour_index, split_hour
 from cartcast.operators import extensions, features, labels, models, profiles, training
 from cartcast.operators.filter import filter_log, row_count
-from cartcast.session import shared_path
+from cartcast.session import cut_lineage, shared_path
 from cartcast.sources.events import event_rejects, events_log, part_catalogue, table
 from cartcast.sources.tables import read_libsvm
 from cartcast.streaming.filter import stream_filter_log
@@ -47,11 +47,14 @@ def _ui(spark, sf, split=SPLIT, mode="exact"):
 
 def _training(spark, sf, split, labelled=True):
     log = _log(spark, sf)
-    # Written once to the shared checkpoint folder: the join scans it twice
-    # more (pair counts per user and per item) and must not recompute it.
-    ui = features.ui_features(log, split, ORIGIN).checkpoint(eager=True)
-    users = profiles.user_profile(log, split, ORIGIN)
-    items = profiles.item_profile(log, split, ORIGIN)
+    # One pass over the log: the pair-day table feeds the user-item features
+    # and both profiles. The feature table is written too, since the join
+    # reads it three times (pairs per user, pairs per item, the join).
+    daily = cut_lineage(features.pair_days(log, split, ORIGIN), "pair_days")
+    sh = split_hour(split, ORIGIN)
+    ui = cut_lineage(features.ui_features_from_pair_days(daily, sh), "ui_features")
+    users = profiles.profile_from_pair_days(daily, "user_id", "item_id")
+    items = profiles.profile_from_pair_days(daily, "item_id", "user_id")
     buys = labels.day_buys(log, split) if labelled else None
     return training.training_table(ui, users, items, buys)
 

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this package relies on. AQE re-plans joins and
 # coalesces shuffle partitions at run time; skew-join splitting covers the
@@ -22,6 +22,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -68,3 +69,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side file checks in tests."""
     return path[5:] if path.startswith("file:") else os.fspath(path)
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    For a table several branches of one plan read: without it each branch
+    recomputes it from the source (column pruning gives every branch its own
+    variant, so shuffle reuse does not apply). The written copy survives
+    executor loss, and Parquet keeps it compressed and columnar.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
