@@ -11,25 +11,30 @@ BROADCAST_MAX_ROWS = 5_000_000
 
 
 def catalogue_keys(items: DataFrame) -> DataFrame:
-    """Item ids of the catalogue (A1). Not de-duplicated on purpose: a
-    semi-join ignores duplicates, and leaving the shuffle under the join lets
-    AQE split a hot item's partition on the log side."""
+    """Item ids of the catalogue, duplicates included."""
     return items.select("item_id").where(F.col("item_id").isNotNull())
 
 
+def distinct_items(items: DataFrame) -> DataFrame:
+    """A1: the distinct item ids of the catalogue."""
+    return catalogue_keys(items).distinct()
+
+
 def filter_log(
     log: DataFrame, items: DataFrame, broadcast_max_rows: int = BROADCAST_MAX_ROWS
 ) -> DataFrame:
     """Log rows whose ``item_id`` is in ``items``.
 
     The catalogue is counted first (a cheap job over the small side). Within
-    the limit it is broadcast and the log is filtered where it is read, with no
-    shuffle; beyond it both sides are shuffled on ``item_id``, with AQE
-    skew-join splitting enabled in the session for hot items.
+    the limit its distinct ids are broadcast and the log is filtered where it
+    is read, with no shuffle. Beyond it both sides are shuffled on
+    ``item_id``; the catalogue is then not de-duplicated (a semi-join ignores
+    duplicates), so its shuffle sits right under the join and AQE's skew-join
+    rule can split a hot item's partition on the log side.
     """
     keys = catalogue_keys(items)
     if keys.count() <= broadcast_max_rows:
-        keys = F.broadcast(keys)
+        return log.join(F.broadcast(keys.distinct()), "item_id", "left_semi")
     return log.join(keys, "item_id", "left_semi")
 
 

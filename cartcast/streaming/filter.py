@@ -45,7 +45,7 @@ def start_filter_stream(
     )
     keys = catalogue_keys(items)
     if keys.count() <= broadcast_max_rows:
-        keys = F.broadcast(keys)
+        keys = F.broadcast(keys.distinct())
     filtered = to_log(stream).join(keys, "item_id", "left_semi")
     writer = (
         filtered.writeStream.format("parquet")

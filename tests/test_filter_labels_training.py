@@ -63,3 +63,35 @@ def test_training_table(spark, golden_log):
     # duplicate keys in a feature table repeat rows (bag semantics)
     doubled = training_table(feats, users.unionAll(users), items)
     assert doubled.count() == 2 * inner.count()
+
+
+def test_shuffled_filter_splits_a_hot_item(spark):
+    """Beyond the broadcast limit, a hot item's partition is split by AQE."""
+    import datetime as dt
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = F.col("id")
+        log = spark.range(30000).select(
+            ids.alias("user_id"),
+            F.when(ids % 3 == 0, F.lit(8)).otherwise(ids % 500).alias("item_id"),  # a third on item 8
+            F.lit(1).alias("behavior_type"),
+            F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz").alias("ts"),
+        )
+        items = spark.range(0, 500, 2).select(F.col("id").alias("item_id"))
+        out = filter_log(log, items, broadcast_max_rows=0)
+        want = sum(1 for i in range(30000) if (8 if i % 3 == 0 else i % 500) % 2 == 0)
+        assert len(out.collect()) == want
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in final
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
