@@ -23,11 +23,36 @@ from cartcast.operators.features import (
     split_timestamp,
     ui_features_from_pair_days,
 )
+from cartcast.operators.labels import buys_on_days
+from cartcast.operators.profiles import profile_from_pair_days
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig
+from cartcast.operators.training import training_table
 from cartcast.session import cut_lineage
 from cartcast.sinks.writers import write_log_by_day
 
 
+SPLIT = "split_date"
+
+
+def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: DateLike):
+    """``pair_days`` for several split dates in one scan, keyed by ``split_date``.
+
+    Each log row is repeated once per split it precedes (a generator over a
+    short literal array, not a join). Returns the table and the split hour as
+    a column expression of ``split_date``.
+    """
+    dates = sorted({as_date(s) for s in splits})
+    if not dates:
+        raise ValueError("give at least one split date")
+    arr = F.array(*[F.lit(d) for d in dates])
+    rows = log.where(F.col("ts") < split_timestamp(dates[-1])).select(
+        U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
+    )
+    fanned = rows.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
+    sh = F.datediff(F.col(SPLIT), F.lit(as_date(origin))) * 24
+    return fanned.groupBy(SPLIT, U, I, DAY).agg(*daily_aggs(sh)), sh
+
+
 def multi_split_features(
     log: DataFrame,
     splits: Sequence[DateLike],
@@ -37,22 +62,35 @@ def multi_split_features(
 ) -> DataFrame:
     """``ui_features`` for each date in ``splits``, with a ``split_date`` column.
 
-    Each log row is repeated once per split it precedes (a generator over a
-    short literal array, not a join), then every aggregation and join keys on
-    ``split_date`` too. One scan of the log serves all splits.
+    Every aggregation and join keys on ``split_date`` too; one scan of the log
+    serves all splits.
     """
-    dates = sorted({as_date(s) for s in splits})
-    if not dates:
-        raise ValueError("give at least one split date")
-    last = dates[-1]
-    arr = F.array(*[F.lit(d) for d in dates])
-    rows = log.where(F.col("ts") < split_timestamp(last)).select(
-        U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
-    )
-    fanned = rows.withColumn("split_date", F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
-    sh = F.datediff(F.col("split_date"), F.lit(as_date(origin))) * 24
-    daily = cut_lineage(fanned.groupBy("split_date", U, I, DAY).agg(*daily_aggs(sh)), "pair_days")
-    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, group=("split_date",))
+    daily, sh = multi_split_pair_days(log, splits, origin)
+    daily = cut_lineage(daily, "pair_days")
+    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, group=(SPLIT,))
+
+
+def multi_split_training(
+    log: DataFrame,
+    splits: Sequence[DateLike],
+    origin: DateLike,
+    label_days: Sequence[DateLike] | None = None,
+    skew: SkewConfig = DEFAULT_SKEW,
+) -> DataFrame:
+    """E1 + C4: training tables for several splits from one pass over the log.
+
+    Rows carry ``split_date``; ``label`` is 1 when the pair was bought on its
+    split day, for the days in ``label_days`` (a hold-out labels both its
+    training and its test day). Without ``label_days`` there is no label.
+    """
+    daily, sh = multi_split_pair_days(log, splits, origin)
+    daily = cut_lineage(daily, "pair_days")
+    g = (SPLIT,)
+    ui = cut_lineage(ui_features_from_pair_days(daily, sh, skew=skew, group=g), "ui_features")
+    users = profile_from_pair_days(daily, U, I, g)
+    items = profile_from_pair_days(daily, I, U, g)
+    buys = buys_on_days(log, label_days, SPLIT) if label_days else None
+    return training_table(ui, users, items, buys, skew=skew, group=g)
 
 
 def log_by_day(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:

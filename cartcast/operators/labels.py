@@ -27,14 +27,26 @@ def day_buys(log: DataFrame, day: DateLike) -> DataFrame:
     return log.where((F.col("behavior_type") == BUY) & on_day).select("user_id", "item_id").distinct()
 
 
-def attach_label(pairs: DataFrame, buys: DataFrame, name: str = "label") -> DataFrame:
+def buys_on_days(log: DataFrame, days, name: str = "split_date") -> DataFrame:
+    """``day_buys`` for several days in one scan, keyed by ``name`` = the day."""
+    ds = sorted({as_date(d) for d in days})
+    in_range = (F.col("ts") >= _midnight(ds[0])) & (F.col("ts") < _midnight(ds[-1] + dt.timedelta(days=1)))
+    day = F.to_date("ts")
+    rows = log.where((F.col("behavior_type") == BUY) & in_range & day.isin(*ds))
+    return rows.select(day.alias(name), "user_id", "item_id").distinct()
+
+
+def attach_label(
+    pairs: DataFrame, buys: DataFrame, name: str = "label", group: tuple[str, ...] = ()
+) -> DataFrame:
     """``label`` 1 when the pair is in ``buys``, else 0.
 
-    Both sides are unique on (user, item), so this join cannot be skewed: each
-    key has one row per side.
+    Both sides are unique on (user, item) (plus ``group``), so this join
+    cannot be skewed: each key has one row per side.
     """
-    hits = buys.select("user_id", "item_id").distinct().withColumn("_hit", F.lit(1))
-    joined = pairs.join(hits, ["user_id", "item_id"], "left")
+    keys = [*group, "user_id", "item_id"]
+    hits = buys.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    joined = pairs.join(hits, keys, "left")
     return joined.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0)).cast("int")).drop("_hit")
 
 

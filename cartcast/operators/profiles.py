@@ -27,19 +27,23 @@ PROFILE_WINDOWS = (24, 168, 720)
 PROFILE_COUNTS = [count_col(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
 
 
-def profile_from_pair_days(daily: DataFrame, key: str, other: str) -> DataFrame:
-    """One row per ``key`` (``user_id`` or ``item_id``) of ``pair_days``."""
+def profile_from_pair_days(
+    daily: DataFrame, key: str, other: str, group: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per ``key`` (``user_id`` or ``item_id``) of ``pair_days``;
+    ``group`` adds leading key columns (the split date of a multi-split table)."""
+    g = list(group)
     name = other.split("_")[0]
-    sets = daily.groupingSets([[key, DAY], [key, other]], key, DAY, other).agg(
+    sets = daily.groupingSets([[*g, key, DAY], [*g, key, other]], *g, key, DAY, other).agg(
         F.grouping_id().alias("_gid"),
         F.sum("_nb").alias("_nb"),
         *[F.sum(c).alias(c) for c in PROFILE_COUNTS],
     )
-    # grouping_id bits follow (key, day, other); 1 = rolled up.
+    # grouping_id bits follow (*group, key, day, other); 1 = rolled up.
     by_day = F.col("_gid") == 1
     by_other = F.col("_gid") == 2
     bought = F.col("_nb") > 0
-    out = sets.groupBy(key).agg(
+    out = sets.groupBy(*g, key).agg(
         # Each pair-day row is in exactly one (key, day) group: sum those only.
         *[F.coalesce(F.sum(F.when(by_day, F.col(c))), F.lit(0)).cast("long").alias(c) for c in PROFILE_COUNTS],
         F.count_if(by_other).alias(f"{name}_count"),

@@ -20,11 +20,11 @@ from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, key_weig
 U, I = "user_id", "item_id"
 
 
-def prefixed(df: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Keep the key, prefix every other column (no name clashes)."""
-    return df.select(
-        F.col(key), *[F.col(c).alias(c if c.startswith(prefix) else prefix + c) for c in df.columns if c != key]
-    )
+def prefixed(df: DataFrame, keys: str | Sequence[str], prefix: str) -> DataFrame:
+    """Keep the keys, prefix every other column (no name clashes)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, *[F.col(c).alias(c if c.startswith(prefix) else prefix + c) for c in rest])
 
 
 def training_table(
@@ -34,6 +34,7 @@ def training_table(
     buys: DataFrame | None = None,
     how: str = "inner",
     skew: SkewConfig = DEFAULT_SKEW,
+    group: tuple[str, ...] = (),
 ) -> DataFrame:
     """C4: user-item rows with user (``u_*``) and item (``i_*``) columns and a label.
 
@@ -43,21 +44,26 @@ def training_table(
     Duplicate keys in a feature table repeat rows (bag semantics).
 
     ``ui`` is scanned once more to count pairs per user and per item, so pass
-    a written or checkpointed table rather than a long lineage.
+    a written or checkpointed table rather than a long lineage. ``group``
+    names leading key columns every table shares (the split date of a
+    multi-split table); all joins then key on them too.
     """
+    g = list(group)
     out = ui
     if user_features is not None:
-        hot = hot_keys(key_weights(ui, [U]), [U], "_weight", skew)
-        out = salted_join(out, prefixed(user_features, U, "u_"), [U], hot, how, spread=[I])
+        users = prefixed(user_features, [*g, U], "u_")
+        hot = hot_keys(key_weights(ui, [*g, U]), [*g, U], "_weight", skew)
+        out = salted_join(out, users, [*g, U], hot, how, spread=[I])
     if item_features is not None:
-        hot = hot_keys(key_weights(ui, [I]), [I], "_weight", skew)
-        out = salted_join(out, prefixed(item_features, I, "i_"), [I], hot, how, spread=[U])
+        items = prefixed(item_features, [*g, I], "i_")
+        hot = hot_keys(key_weights(ui, [*g, I]), [*g, I], "_weight", skew)
+        out = salted_join(out, items, [*g, I], hot, how, spread=[U])
     if buys is not None:
-        out = attach_label(out, buys)
+        out = attach_label(out, buys, group=tuple(g))
     return out
 
 
-def feature_columns(df: DataFrame, exclude: Sequence[str] = (U, I, "label")) -> list[str]:
+def feature_columns(df: DataFrame, exclude: Sequence[str] = (U, I, "label", "split_date")) -> list[str]:
     """Numeric columns to assemble, in table order (keys and label left out)."""
     numeric = {"int", "bigint", "smallint", "tinyint", "double", "float"}
     return [c for c, t in df.dtypes if c not in exclude and (t in numeric or t.startswith("decimal"))]

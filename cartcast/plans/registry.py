@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import hour_index, split_hour
+from cartcast.functions.time import as_date, hour_index, split_hour
 from cartcast.operators import extensions, features, labels, models, profiles, training
 from cartcast.operators.filter import filter_log, row_count
 from cartcast.session import cut_lineage, shared_path
@@ -167,12 +167,6 @@ def q_eval_metrics(spark, sf):
     return models.confusion(scored)
 
 
-def _assembled(spark, sf, split, labelled=True):
-    table_ = _training(spark, sf, split, labelled)
-    cols = training.feature_columns(table_)
-    return training.assemble(table_, cols), cols
-
-
 def q_libsvm_roundtrip(spark, sf):
     table_ = _training(spark, sf, SPLIT)
     cols = training.feature_columns(table_)
@@ -187,9 +181,23 @@ def q_libsvm_roundtrip(spark, sf):
     )
 
 
+def _split_vectors(spark, sf, splits, label_days):
+    """Assembled training rows for several splits from one pass (E1 + C4)."""
+    table_ = extensions.multi_split_training(_log(spark, sf), splits, ORIGIN, label_days)
+    cols = training.feature_columns(table_)
+    vectors = training.assemble(table_, cols, keep=("split_date", "user_id", "item_id"))
+    # Tree learners pass over their input several times: write the vectors
+    # once rather than re-running the joins on every pass.
+    return cut_lineage(vectors, "vectors")
+
+
+def _on(vectors, day):
+    return vectors.where(F.col("split_date") == F.lit(as_date(day)))
+
+
 def _holdout(spark, sf, estimator):
-    train, _ = _assembled(spark, sf, TRAIN_SPLIT)
-    test, _ = _assembled(spark, sf, SPLIT)
+    vectors = _split_vectors(spark, sf, [TRAIN_SPLIT, SPLIT], [TRAIN_SPLIT, SPLIT])
+    train, test = _on(vectors, TRAIN_SPLIT), _on(vectors, SPLIT)
     return models.holdout(estimator, train, test).select("true_pos", "pred_pos", "actual_pos", "rows")
 
 
@@ -202,10 +210,9 @@ def q_rf_holdout(spark, sf):
 
 
 def q_submission(spark, sf):
-    train, cols = _assembled(spark, sf, SPLIT)
-    model = models.random_forest(**RF_PARAMS).fit(train)
-    unlabelled, _ = _assembled(spark, sf, CUTOFF_SPLIT, labelled=False)
-    return extensions.submission(model, unlabelled)
+    vectors = _split_vectors(spark, sf, [SPLIT, CUTOFF_SPLIT], [SPLIT])
+    model = models.random_forest(**RF_PARAMS).fit(_on(vectors, SPLIT))
+    return extensions.submission(model, _on(vectors, CUTOFF_SPLIT).drop("label"))
 
 
 def q_stream_filter_log(spark, sf):

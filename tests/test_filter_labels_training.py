@@ -95,3 +95,24 @@ def test_shuffled_filter_splits_a_hot_item(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_multi_split_training_equals_single_splits(spark, golden_log):
+    from cartcast.operators.extensions import multi_split_training
+
+    splits = ["2014-12-15", "2014-12-16"]
+    multi = multi_split_training(golden_log, splits, ORIGIN, label_days=splits)
+    for s in splits:
+        daily = pair_days(golden_log, s, ORIGIN)
+        single = training_table(
+            ui_features(golden_log, s, ORIGIN),
+            profile_from_pair_days(daily, "user_id", "item_id"),
+            profile_from_pair_days(daily, "item_id", "user_id"),
+            day_buys(golden_log, s),
+        )
+        import datetime as dt
+
+        part = multi.where(F.col("split_date") == F.lit(dt.date.fromisoformat(s))).drop("split_date")
+        cols = sorted(single.columns)
+        assert sorted(part.columns) == cols
+        assert sorted(part.select(cols).collect()) == sorted(single.select(cols).collect())
