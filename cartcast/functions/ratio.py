@@ -24,6 +24,17 @@ def guarded_ratio(num: Column, den: Column, mode: str = "exact") -> Column:
     return F.when(den > 0, value).otherwise(F.lit(0.0))
 
 
+def guarded_ratio_sql(num: str, den: str, mode: str = "exact") -> str:
+    """``guarded_ratio`` as SQL expression text over column names or expressions."""
+    if mode not in RATIO_MODES:
+        raise ValueError(f"ratio mode must be one of {RATIO_MODES}, got {mode!r}")
+    if mode == "exact":
+        value = f"CAST(({num}) AS DOUBLE) / CAST(({den}) AS DOUBLE)"
+    else:
+        value = f"CAST(CAST(({num}) AS BIGINT) div CAST(({den}) AS BIGINT) AS DOUBLE)"
+    return f"CASE WHEN ({den}) > 0 THEN {value} ELSE CAST(0 AS DOUBLE) END"
+
+
 def try_ratio(num: Column, den: Column) -> Column:
     """Double ratio that is NULL when undefined (metrics with no cases)."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -39,7 +39,7 @@ def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: Da
 
     Each log row is repeated once per split it precedes (a generator over a
     short literal array, not a join). Returns the table and the split hour as
-    a column expression of ``split_date``.
+    a SQL expression over ``split_date``.
     """
     dates = sorted({as_date(s) for s in splits})
     if not dates:
@@ -49,7 +49,7 @@ def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: Da
         U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
     )
     fanned = rows.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
-    sh = F.datediff(F.col(SPLIT), F.lit(as_date(origin))) * 24
+    sh = f"datediff({SPLIT}, DATE'{as_date(origin).isoformat()}') * 24"
     return fanned.groupBy(SPLIT, U, I, DAY).agg(*daily_aggs(sh)), sh
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartcast.functions.ratio import guarded_ratio
+from cartcast.functions.ratio import guarded_ratio_sql
 from cartcast.functions.time import DateLike, as_date, day_of, hour_index, split_hour
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, salted_join
 from cartcast.session import cut_lineage
@@ -79,24 +79,24 @@ def horizon(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     )
 
 
-SplitHour = int | Column
+# The split hour: an int, or (several splits in one pass) a SQL expression
+# over the grouping columns. The wide expression families below are written
+# as SQL expression text: one JVM call each instead of dozens for a composed
+# Column, which keeps planning of the 47-column select cheap.
+SplitHour = int | str
 
 
-def _sh(sh: SplitHour) -> Column:
-    return F.lit(sh) if isinstance(sh, int) else sh
-
-
-def _age(sh: SplitHour) -> Column:
-    return _sh(sh) - F.col(HOUR)
+def _sh(sh: SplitHour) -> str:
+    return str(sh) if isinstance(sh, int) else f"({sh})"
 
 
 def _window_count(b: int, w: int, sh: SplitHour) -> Column:
-    return F.count_if((F.col(B) == b) & (_age(sh) <= w)).alias(count_col(b, w))
+    return F.expr(f"count_if({B} = {b} AND {_sh(sh)} - {HOUR} <= {w})").alias(count_col(b, w))
 
 
 def _first_last(b: int) -> list[Column]:
-    hour_b = F.when(F.col(B) == b, F.col(HOUR))
-    return [F.min(hour_b).alias(_first(b)), F.max(hour_b).alias(_last(b))]
+    hour_b = f"CASE WHEN {B} = {b} THEN {HOUR} END"
+    return [F.expr(f"min({hour_b})").alias(_first(b)), F.expr(f"max({hour_b})").alias(_last(b))]
 
 
 def _recency_span(sh: SplitHour) -> list[Column]:
@@ -105,11 +105,11 @@ def _recency_span(sh: SplitHour) -> list[Column]:
     A behaviour that never happened counts as last seen at hour 0, with no span.
     """
     since = [
-        (_sh(sh) - F.coalesce(F.col(_last(b)), F.lit(0))).cast("long").alias(since_last_col(b))
+        F.expr(f"CAST({_sh(sh)} - coalesce({_last(b)}, 0) AS BIGINT)").alias(since_last_col(b))
         for b in BEHAVIOURS
     ]
     span = [
-        F.coalesce(F.col(_last(b)) - F.col(_first(b)), F.lit(0)).cast("long").alias(span_col(b))
+        F.expr(f"CAST(coalesce({_last(b)} - {_first(b)}, 0) AS BIGINT)").alias(span_col(b))
         for b in BEHAVIOURS
     ]
     return since + span
@@ -140,9 +140,8 @@ def user_totals(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """The user's rows of each behaviour in the longest window, over all items."""
     sh = split_hour(split, origin)
     h = horizon(log, split, origin)
-    in_window = _age(sh) <= LONG_WINDOW
     return h.groupBy(U).agg(
-        *[F.count_if((F.col(B) == b) & in_window).alias(f"total_{BEHAVIOURS[b]}") for b in BEHAVIOURS]
+        *[_window_count(b, LONG_WINDOW, sh).alias(f"total_{BEHAVIOURS[b]}") for b in BEHAVIOURS]
     )
 
 
@@ -192,27 +191,25 @@ def item_day_activity(
 
 
 def _ratios(mode: str) -> list[Column]:
-    c = lambda b, w: F.col(count_col(b, w))
-    t = lambda b: F.col(_tot(b))
-    r = lambda num, den: guarded_ratio(num, den, mode)
-    long = LONG_WINDOW
-    return [
-        r(c(VIEW, long), t(VIEW)).alias("view_share"),
-        r(c(FAV, long) + c(CART, long) + c(BUY, long), t(VIEW)).alias("act_per_user_view"),
-        r(c(BUY, long), t(BUY)).alias("buy_share"),
-        r(F.col("item_rows"), F.col("same_day_rows")).alias("same_day_share"),
-        r(c(VIEW, 24), t(VIEW)).alias("view_share_24h"),
-        r(c(VIEW, 12), t(VIEW)).alias("view_share_12h"),
-        r(c(VIEW, 3), t(VIEW)).alias("view_share_3h"),
-        r(c(VIEW, 1), t(VIEW)).alias("view_share_1h"),
-        r(F.col("item_days"), F.col("active_days")).alias("item_day_share"),
-        r(F.col("item_buy_days"), F.col("buy_days")).alias("buy_day_share"),
-        r(c(BUY, long), c(VIEW, long)).alias("conv_view_buy"),
-        r(c(BUY, long), c(FAV, long)).alias("conv_fav_buy"),
-        r(c(BUY, long), c(CART, long)).alias("conv_cart_buy"),
-        r(c(FAV, long), c(VIEW, long)).alias("conv_view_fav"),
-        r(c(CART, long), c(VIEW, long)).alias("conv_view_cart"),
+    c, t, L = count_col, _tot, LONG_WINDOW
+    specs = [
+        ("view_share", c(VIEW, L), t(VIEW)),
+        ("act_per_user_view", f"{c(FAV, L)} + {c(CART, L)} + {c(BUY, L)}", t(VIEW)),
+        ("buy_share", c(BUY, L), t(BUY)),
+        ("same_day_share", "item_rows", "same_day_rows"),
+        ("view_share_24h", c(VIEW, 24), t(VIEW)),
+        ("view_share_12h", c(VIEW, 12), t(VIEW)),
+        ("view_share_3h", c(VIEW, 3), t(VIEW)),
+        ("view_share_1h", c(VIEW, 1), t(VIEW)),
+        ("item_day_share", "item_days", "active_days"),
+        ("buy_day_share", "item_buy_days", "buy_days"),
+        ("conv_view_buy", c(BUY, L), c(VIEW, L)),
+        ("conv_fav_buy", c(BUY, L), c(FAV, L)),
+        ("conv_cart_buy", c(BUY, L), c(CART, L)),
+        ("conv_view_fav", c(FAV, L), c(VIEW, L)),
+        ("conv_view_cart", c(CART, L), c(VIEW, L)),
     ]
+    return [F.expr(guarded_ratio_sql(num, den, mode)).alias(name) for name, num, den in specs]
 
 
 def pair_days(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
@@ -262,7 +259,7 @@ def ui_features_from_pair_days(
         daily, user_day.select(*g, U, DAY, "_ud"), [*g, U, DAY], hot_days, spread=[I]
     )
     pair = with_day.groupBy(*g, U, I).agg(
-        *[F.sum(c).alias(c) for c in counts],
+        *[F.expr(f"sum({c})").alias(c) for c in counts],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],
         F.count(F.lit(1)).alias("item_days"),
@@ -280,7 +277,7 @@ def ui_features_from_pair_days(
     hot_users = hot_keys(user, [*g, U], "_item_days", skew)
     full = salted_join(pair, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
 
-    out = [F.col(c).cast("long").alias(c) for c in COUNT_FEATURES]
+    out = list(COUNT_FEATURES)  # sums of counts: already BIGINT
     out += _recency_span(sh)
     out += _ratios(ratio_mode)
     return full.select(*g, U, I, *out)

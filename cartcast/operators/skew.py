@@ -91,9 +91,9 @@ def salted_join(
     salt = F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int")
     )
-    fine_s = fine.join(bounded, on, "left").withColumn(SALT, salt).drop(SPLITS)
-    copies = F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - F.lit(1))
-    coarse_s = coarse.join(bounded, on, "left").withColumn(SALT, F.explode(copies)).drop(SPLITS)
+    fine_s = fine.join(bounded, on, "left").select("*", salt.alias(SALT)).drop(SPLITS)
+    copies = F.expr(f"explode(sequence(0, coalesce({SPLITS}, 1) - 1))")
+    coarse_s = coarse.join(bounded, on, "left").select("*", copies.alias(SALT)).drop(SPLITS)
     return fine_s.join(coarse_s, [*on, SALT], how).drop(SALT)
 
 
