@@ -37,6 +37,22 @@ def day_of(ts: Column | str) -> Column:
     return F.to_date(ts)
 
 
+# Fixed value: the raw log time text is "yyyy-MM-dd HH".
+LOG_TIME_PATTERN = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2}) ([0-9]{1,2})$"
+
+
+def parse_log_time(text: Column | str) -> Column:
+    """``yyyy-MM-dd HH`` text to TIMESTAMP_NTZ, NULL when malformed or impossible.
+
+    Built from the parsed fields, so no session time zone is involved: parsing
+    as a zoned timestamp and casting would move hours that a daylight-saving
+    change skips.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    field = lambda i: F.regexp_extract(text, LOG_TIME_PATTERN, i).try_cast("int")
+    return F.try_make_timestamp_ntz(field(1), field(2), field(3), field(4), F.lit(0), F.lit(0))
+
+
 def split_hour(split: DateLike, origin: DateLike) -> int:
     """Hour index of midnight of the split day (computed on the driver)."""
     return (as_date(split) - as_date(origin)).days * 24

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.schema import BEHAVIOURS, HEADER_MARK, LOG_TIME_FORMAT, RAW_LOG
+from cartcast.functions.time import parse_log_time
+from cartcast.schema import BEHAVIOURS, HEADER_MARK, RAW_LOG
 
 VALID_CODES = sorted(BEHAVIOURS)
 
@@ -28,7 +29,7 @@ def read_log_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _parsed(raw: DataFrame) -> DataFrame:
     behaviour = F.col("behavior_type").try_cast("int")
-    ts = F.try_to_timestamp(F.col("time"), F.lit(LOG_TIME_FORMAT)).cast("timestamp_ntz")
+    ts = parse_log_time("time")
     reason = (
         F.when(F.col("user_id").isNull(), F.lit("missing user_id"))
         .when(F.col("item_id").isNull(), F.lit("missing item_id"))

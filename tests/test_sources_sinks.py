@@ -118,3 +118,24 @@ def test_log_by_day(spark, golden_log, workdir):
     one = back.where(F.col("day") == F.lit(dt.date(2014, 12, 16)))
     assert one.count() == 4
     assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_time_ignores_session_time_zone(spark):
+    from cartcast.functions.time import parse_log_time
+
+    texts = ["2014-03-09 02", "2014-12-15 23", "2014-12-5 3", "2014-02-30 10", "2014-12-15 24", "bad", None]
+    df = spark.createDataFrame([(t,) for t in texts], "time string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [r[0] for r in df.select(parse_log_time("time")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [
+        dt.datetime(2014, 3, 9, 2),  # a skipped hour in New York, kept as written
+        dt.datetime(2014, 12, 15, 23),
+        dt.datetime(2014, 12, 5, 3),
+        None,
+        None,
+        None,
+        None,
+    ]
