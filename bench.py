@@ -48,7 +48,10 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus)
+    # Local mode runs every task inside the driver JVM, whose heap defaults to
+    # 1 GB; give it room so a long bench is not dominated by garbage collection.
+    memory = os.environ.get("BENCH_DRIVER_MEMORY", "16g")
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, **{"spark.driver.memory": memory})
     run(spark, "ui_features", sf_dir)  # warm-up, not timed
     times = {name: round(run(spark, name, sf_dir), 3) for name in names}
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]

@@ -7,6 +7,7 @@ and Spark runs in local mode (tests, the bench).
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -37,6 +38,32 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf) -
     return spark
 
 
+def cluster_conf(
+    input_bytes: int,
+    total_cores: int,
+    shuffle_fraction: float = 0.3,
+    split_bytes: int = 512 << 20,
+    shuffle_partition_bytes: int = 200 << 20,
+) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of (compressed) log.
+
+    Read splits of ``split_bytes`` keep the map-task count moderate. The first
+    aggregate shuffles roughly ``shuffle_fraction`` of the input after its
+    map-side combine; it gets partitions of about ``shuffle_partition_bytes``
+    (at least two per core), and AQE coalesces the later, smaller shuffles
+    towards the advisory size and splits skewed partitions of shuffled joins.
+    """
+    shuffle_bytes = input_bytes * shuffle_fraction
+    partitions = max(2 * total_cores, math.ceil(shuffle_bytes / shuffle_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * shuffle_partition_bytes),
+    }
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
