@@ -27,11 +27,18 @@ SESSION_CONF = {
 }
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName("cartcast")
+def get_session(
+    master: str | None = "local[*]", shuffle_partitions: int | None = 8, **conf
+) -> SparkSession:
+    """A session with ``SESSION_CONF``. ``master=None`` leaves the master to
+    ``spark-submit``; ``shuffle_partitions=None`` leaves that setting alone."""
+    builder = SparkSession.builder.appName("cartcast")
+    if master is not None:
+        builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -34,12 +34,19 @@ def read_ui_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
 
 def read_keyed_features(
-    spark: SparkSession, path: str, key: str, fmt: str = "csv", schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    key: str,
+    fmt: str = "csv",
+    schema: T.StructType | None = None,
+    header: bool = True,
 ) -> DataFrame:
     """User (S5) or item (S6) feature table keyed by ``key``.
 
-    CSV needs a header line naming the columns unless ``schema`` is given; the
-    key column must be called ``key``.
+    CSV: with ``header`` the first line names the columns and must name the
+    key; without it the key is the first column. CSV values are text, so
+    every other column becomes DOUBLE (NULL where not a number) unless a
+    ``schema`` is given. Parquet is read as written.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -47,7 +54,11 @@ def read_keyed_features(
         df = spark.read.schema(schema).option("header", False).csv(path)
         df = df.where(F.col(key) != F.lit(key))
     else:
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        df = spark.read.option("header", header).option("inferSchema", False).csv(path)
+        if not header:
+            df = df.withColumnRenamed("_c0", key)
+        if key in df.columns:
+            df = df.select(key, *[F.col(c).try_cast("double").alias(c) for c in df.columns if c != key])
     if key not in df.columns:
         raise ValueError(f"feature table at {path} has no key column {key!r}")
     return df

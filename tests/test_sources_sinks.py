@@ -93,6 +93,7 @@ def test_catalogue_and_feature_tables(spark, golden_log, workdir):
     (users / "part.csv").write_text("user_id,score,segment\nu1,0.5,a\nu2,1.5,b\n")
     uf = read_keyed_features(spark, str(users), "user_id")
     assert uf.columns == ["user_id", "score", "segment"] and uf.count() == 2
+    assert dict(uf.dtypes)["score"] == "double"
     with pytest.raises(ValueError):
         read_keyed_features(spark, str(users), "item_id")
 
