@@ -50,6 +50,24 @@ def attach_label(
     return joined.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0)).cast("int")).drop("_hit")
 
 
+def labelled_pairs(log: DataFrame, day: DateLike, name: str = "label") -> DataFrame:
+    """Pairs seen before ``day`` with ``label`` = bought on ``day``, in one pass.
+
+    The same rows as ``attach_label(pairs before day, day_buys(day))`` without
+    a second scan or a join: one aggregation over the rows before the next
+    midnight flags, per pair, whether it was seen before ``day`` and bought on it.
+    """
+    d = as_date(day)
+    start, end = _midnight(d), _midnight(d + dt.timedelta(days=1))
+    per_pair = log.where(F.col("ts") < end).groupBy("user_id", "item_id").agg(
+        F.count_if(F.col("ts") < start).alias("_before"),
+        F.count_if((F.col("behavior_type") == BUY) & (F.col("ts") >= start)).alias("_bought"),
+    )
+    return per_pair.where(F.col("_before") > 0).select(
+        "user_id", "item_id", (F.col("_bought") > 0).cast("int").alias(name)
+    )
+
+
 def positive_count(labelled: DataFrame, label: str = "label") -> DataFrame:
     """Rows with label 1, and all rows, as one row."""
     return labelled.agg(

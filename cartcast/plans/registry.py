@@ -126,9 +126,7 @@ def q_labels(spark, sf):
 
 
 def q_positive_count(spark, sf):
-    log = _log(spark, sf)
-    pairs = features.horizon(log, SPLIT, ORIGIN).select("user_id", "item_id").distinct()
-    return labels.positive_count(labels.attach_label(pairs, labels.day_buys(log, SPLIT)))
+    return labels.positive_count(labels.labelled_pairs(_log(spark, sf), SPLIT))
 
 
 def q_user_features(spark, sf):

@@ -116,3 +116,15 @@ def test_multi_split_training_equals_single_splits(spark, golden_log):
         cols = sorted(single.columns)
         assert sorted(part.columns) == cols
         assert sorted(part.select(cols).collect()) == sorted(single.select(cols).collect())
+
+
+def test_labelled_pairs_equals_join(spark):
+    from cartcast.operators.features import horizon
+    from cartcast.operators.labels import labelled_pairs
+    from test_features_random import random_log
+    from conftest import LOG_DDL
+
+    log = spark.createDataFrame(random_log(21, n=800), LOG_DDL)
+    for day in ("2024-01-09", "2024-01-20", "2024-02-15"):
+        joined = attach_label(horizon(log, day, "2024-01-01").select("user_id", "item_id").distinct(), day_buys(log, day))
+        assert sorted(labelled_pairs(log, day).collect()) == sorted(joined.collect())

@@ -71,3 +71,23 @@ def test_features_scan_the_log_once(spark):
     df = QUERIES["ui_features"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan  # everything reads the written pair-day table
+
+
+@pytest.mark.parametrize("name", ["ui_features", "feature_join_labelled", "multi_split_features"])
+def test_only_bounded_tables_are_broadcast(spark, name):
+    """Planned as for large inputs, every broadcast is a bounded hot-key top-k
+    and no Python runs in the plan."""
+    import re
+
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    broadcasts = len(re.findall("BroadcastExchange", plan))
+    assert broadcasts > 0 and broadcasts == len(re.findall("TakeOrderedAndProject", plan))
+    assert "SortMergeJoin" in plan
+    assert not re.search("EvalPython|InPandas", plan)
