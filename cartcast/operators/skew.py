@@ -30,11 +30,13 @@ SALT = "_salt"
 @dataclass(frozen=True)
 class SkewConfig:
     # A key with more fine rows than this is split into ceil(rows / this) parts.
-    rows_per_split: int = 2_000_000
+    rows_per_split: int = 1_000_000
     # At most this many keys are split; the hot-key table never has more rows.
     max_hot_keys: int = 10_000
-    # Largest number of parts one key is split into.
-    max_splits: int = 4_096
+    # Largest number of parts one key is split into. A split costs one extra
+    # coarse row, so this is generous: a key with a third of 10^12 rows still
+    # ends in parts of a few million rows.
+    max_splits: int = 100_000
 
     def __post_init__(self):
         if self.rows_per_split < 1 or self.max_hot_keys < 1 or self.max_splits < 1:
@@ -56,6 +58,9 @@ def hot_keys(
 
     A top-k, so the table has at most ``cfg.max_hot_keys`` rows whatever the
     data size; keys beyond the k heaviest are still joined exactly, unsplit.
+    The top-k's single merge task receives only keys above the threshold, at
+    most (total weight / ``rows_per_split``) rows, since weights sum to the
+    fine table's row count.
     """
     parts = F.least(
         F.lit(cfg.max_splits).cast("long"),

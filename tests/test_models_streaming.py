@@ -9,7 +9,6 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from cartcast.operators.extensions import submission
 from cartcast.operators.models import confusion, gbt, holdout, predict, random_forest
