@@ -53,6 +53,34 @@ def parse_log_time(text: Column | str) -> Column:
     return F.try_make_timestamp_ntz(field(1), field(2), field(3), field(4), F.lit(0), F.lit(0))
 
 
+def midnight(day: DateLike) -> Column:
+    """00:00 of ``day`` as a TIMESTAMP_NTZ literal (folds to a constant)."""
+    return F.lit(f"{as_date(day).isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
+def time_range(
+    columns: list[str], start: DateLike | None = None, end: DateLike | None = None
+) -> Column:
+    """``midnight(start) <= ts < midnight(end)`` for a log with ``columns``.
+
+    Written on ``ts`` itself so Parquet skips row groups by their statistics.
+    A log stored by day (``write_log_by_day``) also has a ``day`` partition
+    column equal to the date of ``ts``; the same bounds on it prune whole
+    folders.
+    """
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col("ts") >= midnight(start))
+    if end is not None:
+        cond = cond & (F.col("ts") < midnight(end))
+    if "day" in columns:
+        if start is not None:
+            cond = cond & (F.col("day") >= F.lit(as_date(start)))
+        if end is not None:
+            cond = cond & (F.col("day") < F.lit(as_date(end)))
+    return cond
+
+
 def split_hour(split: DateLike, origin: DateLike) -> int:
     """Hour index of midnight of the split day (computed on the driver)."""
     return (as_date(split) - as_date(origin)).days * 24

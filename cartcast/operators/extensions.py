@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import DateLike, as_date, day_of, hour_index
+from cartcast.functions.time import DateLike, as_date, day_of, hour_index, time_range
 from cartcast.operators.features import (
     B,
     DAY,
@@ -20,7 +20,6 @@ from cartcast.operators.features import (
     I,
     U,
     daily_aggs,
-    split_timestamp,
     ui_features_from_pair_days,
 )
 from cartcast.operators.labels import buys_on_days
@@ -45,7 +44,7 @@ def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: Da
     if not dates:
         raise ValueError("give at least one split date")
     arr = F.array(*[F.lit(d) for d in dates])
-    rows = log.where(F.col("ts") < split_timestamp(dates[-1])).select(
+    rows = log.where(time_range(log.columns, end=dates[-1])).select(
         U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
     )
     fanned = rows.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))

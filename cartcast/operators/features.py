@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.functions.ratio import guarded_ratio_sql
-from cartcast.functions.time import DateLike, as_date, day_of, hour_index, split_hour
+from cartcast.functions.time import DateLike, day_of, hour_index, split_hour, time_range
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, salted_join
 from cartcast.session import cut_lineage
 from cartcast.schema import (
@@ -63,18 +63,14 @@ def _tot(b: int) -> str:
     return f"_total_{b}"
 
 
-def split_timestamp(split: DateLike) -> Column:
-    """Midnight of the split day as a TIMESTAMP_NTZ literal (folds to a constant)."""
-    return F.lit(f"{as_date(split).isoformat()} 00:00:00").cast("timestamp_ntz")
-
-
 def horizon(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """Log rows before midnight of ``split`` with hour index and day.
 
-    The cut is written on ``ts`` itself so the Parquet reader skips row groups;
-    ``ts < midnight`` is the same set as ``hour_idx < split_hour``.
+    The cut is written on ``ts`` itself (and on ``day`` for a log stored by
+    day) so the Parquet reader skips row groups and folders; ``ts < midnight``
+    is the same set as ``hour_idx < split_hour``.
     """
-    return log.where(F.col("ts") < split_timestamp(split)).select(
+    return log.where(time_range(log.columns, end=split)).select(
         U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
     )
 

@@ -7,14 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import DateLike, as_date
+from cartcast.functions.time import DateLike, as_date, midnight, time_range
 from cartcast.schema import BUY
 
 
-def _midnight(day: dt.date):
-    return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
-
-
 def day_buys(log: DataFrame, day: DateLike) -> DataFrame:
     """F4 + A11: distinct (user, item) with a buy on ``day``.
 
@@ -23,14 +19,14 @@ def day_buys(log: DataFrame, day: DateLike) -> DataFrame:
     one row per task.
     """
     d = as_date(day)
-    on_day = (F.col("ts") >= _midnight(d)) & (F.col("ts") < _midnight(d + dt.timedelta(days=1)))
+    on_day = time_range(log.columns, d, d + dt.timedelta(days=1))
     return log.where((F.col("behavior_type") == BUY) & on_day).select("user_id", "item_id").distinct()
 
 
 def buys_on_days(log: DataFrame, days, name: str = "split_date") -> DataFrame:
     """``day_buys`` for several days in one scan, keyed by ``name`` = the day."""
     ds = sorted({as_date(d) for d in days})
-    in_range = (F.col("ts") >= _midnight(ds[0])) & (F.col("ts") < _midnight(ds[-1] + dt.timedelta(days=1)))
+    in_range = time_range(log.columns, ds[0], ds[-1] + dt.timedelta(days=1))
     day = F.to_date("ts")
     rows = log.where((F.col("behavior_type") == BUY) & in_range & day.isin(*ds))
     return rows.select(day.alias(name), "user_id", "item_id").distinct()
@@ -58,8 +54,8 @@ def labelled_pairs(log: DataFrame, day: DateLike, name: str = "label") -> DataFr
     midnight flags, per pair, whether it was seen before ``day`` and bought on it.
     """
     d = as_date(day)
-    start, end = _midnight(d), _midnight(d + dt.timedelta(days=1))
-    per_pair = log.where(F.col("ts") < end).groupBy("user_id", "item_id").agg(
+    start = midnight(d)
+    per_pair = log.where(time_range(log.columns, end=d + dt.timedelta(days=1))).groupBy("user_id", "item_id").agg(
         F.count_if(F.col("ts") < start).alias("_before"),
         F.count_if((F.col("behavior_type") == BUY) & (F.col("ts") >= start)).alias("_bought"),
     )

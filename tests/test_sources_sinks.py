@@ -140,3 +140,20 @@ def test_log_time_ignores_session_time_zone(spark):
         None,
         None,
     ]
+
+
+def test_day_partitioned_log_prunes_folders(spark, golden_log, workdir):
+    from cartcast.operators.features import horizon, ui_features
+    from cartcast.operators.labels import day_buys
+
+    back = log_by_day(spark, golden_log, str(workdir / "by_day_prune"))
+    buys = day_buys(back, "2014-12-16")
+    plan = buys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "(day#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert sorted(tuple(r) for r in buys.collect()) == [("u1", "i2"), ("u2", "i1")]
+    h = horizon(back, "2014-12-16", ORIGIN)
+    assert "PartitionFilters: [isnotnull(day" in h._jdf.queryExecution().executedPlan().toString()
+    cols = sorted(ui_features(golden_log, "2014-12-16", ORIGIN).columns)
+    assert sorted(ui_features(back, "2014-12-16", ORIGIN).select(cols).collect()) == sorted(
+        ui_features(golden_log, "2014-12-16", ORIGIN).select(cols).collect()
+    )
