@@ -59,3 +59,25 @@ def test_plan_broadcasts_only_hot_table(spark, skewed):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan  # the big join stays a shuffle join
     assert "TakeOrderedAndProject" in plan  # hot keys are a bounded top-k
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+keys = st.sampled_from(["a", "b", "c", "d", None])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    fine=st.lists(st.tuples(keys, st.integers(0, 30)), min_size=0, max_size=60),
+    coarse=st.lists(st.tuples(keys, st.integers(0, 5)), min_size=0, max_size=8),
+    rows_per_split=st.integers(1, 10),
+    max_hot_keys=st.integers(1, 3),
+    max_splits=st.integers(1, 6),
+    how=st.sampled_from(["inner", "left"]),
+)
+def test_salted_join_property(spark, fine, coarse, rows_per_split, max_hot_keys, max_splits, how):
+    f = spark.createDataFrame(fine, "k string, v int")
+    c = spark.createDataFrame(coarse, "k string, w int")
+    cfg = SkewConfig(rows_per_split=rows_per_split, max_hot_keys=max_hot_keys, max_splits=max_splits)
+    assert rows(skew_join(f, c, ["k"], how, cfg, spread=["v"])) == rows(f.join(c, "k", how))
