@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from cartcast.operators.skew import SkewConfig, hot_keys, key_weights, salted_join, skew_join
@@ -81,3 +83,36 @@ def test_salted_join_property(spark, fine, coarse, rows_per_split, max_hot_keys,
     c = spark.createDataFrame(coarse, "k string, w int")
     cfg = SkewConfig(rows_per_split=rows_per_split, max_hot_keys=max_hot_keys, max_splits=max_splits)
     assert rows(skew_join(f, c, ["k"], how, cfg, spread=["v"])) == rows(f.join(c, "k", how))
+
+
+def test_salting_balances_a_key_with_a_third_of_the_rows(spark):
+    """One user holds a third of the fine rows. A plain shuffle join puts them
+    all in one partition; the salted join spreads them."""
+    conf = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        ids = F.col("id")
+        fine = spark.range(30000).select(
+            F.when(ids < 10000, F.lit("hot")).otherwise(F.concat(F.lit("u"), (ids % 2000).cast("string"))).alias("user_id"),
+            ids.alias("item_id"),
+        )
+        coarse = fine.select("user_id").distinct().withColumn("w", F.lit(1.0))
+
+        def biggest(df):
+            sizes = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            return max(r["count"] for r in sizes)
+
+        plain = fine.join(coarse, "user_id")
+        salted = skew_join(fine, coarse, ["user_id"], "inner", SkewConfig(rows_per_split=1000), spread=["item_id"])
+        assert plain.count() == salted.count() == 30000
+        assert biggest(plain) >= 10000
+        assert biggest(salted) * 2 < biggest(plain)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
