@@ -27,6 +27,13 @@ PROFILE_WINDOWS = (24, 168, 720)
 PROFILE_COUNTS = [count_col(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
 
 
+def profile_columns(other: str) -> list[str]:
+    """Value columns of a profile, in order; ``other`` is ``item_id`` for a
+    user profile and ``user_id`` for an item profile."""
+    name = other.split("_")[0]
+    return PROFILE_COUNTS + [f"{name}_count", f"{name}_buy_count", "active_days", "buy_days", "conv_view_buy"]
+
+
 def profile_from_pair_days(
     daily: DataFrame, key: str, other: str, group: tuple[str, ...] = ()
 ) -> DataFrame:

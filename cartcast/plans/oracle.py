@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from cartcast.functions.time import as_date, split_hour
 from cartcast.operators.features import NEEDED_COUNTS
-from cartcast.operators.profiles import PROFILE_WINDOWS
+from cartcast.operators.profiles import PROFILE_WINDOWS, profile_columns
 from cartcast.plans import registry as R
-from cartcast.schema import BEHAVIOURS, BUY, CART, COUNT_FEATURES, FAV, LONG_WINDOW, VIEW, count_col
+from cartcast.schema import BEHAVIOURS, BUY, CART, COUNT_FEATURES, FAV, LONG_WINDOW, UI_FEATURES, VIEW, count_col
 from cartcast.sources.events import CATALOGUE_TYPE, EVENT_BEHAVIOUR
 
 ORIGIN = R.ORIGIN
@@ -207,6 +207,21 @@ def labels_cte(day, name="lb", source="log") -> str:
 
 
 def feature_join_sql(split, labelled=True) -> str:
+    ctes, final = feature_join_parts(split, labelled)
+    return _with(*ctes) + final
+
+
+def libsvm_sql(split) -> str:
+    """Label, vector width and the in-order sum of each training vector."""
+    ctes, final = feature_join_parts(split, True)
+    cols = UI_FEATURES + [f"u_{c}" for c in profile_columns("item_id")] + [f"i_{c}" for c in profile_columns("user_id")]
+    total = " + ".join(["CAST(0 AS DOUBLE)"] + [f"CAST({c} AS DOUBLE)" for c in cols])
+    return _with(*ctes, f"fj AS ({final})") + (
+        f"SELECT CAST(label AS DOUBLE) AS label, CAST({len(cols)} AS INTEGER) AS width, {total} AS feature_sum FROM fj"
+    )
+
+
+def feature_join_parts(split, labelled=True) -> tuple[list[str], str]:
     ui = ui_features_sql(split)
     ui_body = ui[len("WITH ") :]
     # Reuse the C2 CTEs and wrap the final SELECT as another CTE.
@@ -221,7 +236,7 @@ def feature_join_sql(split, labelled=True) -> str:
         ctes.append(labels_cte(split))
         select += ", CAST(CASE WHEN lb.user_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label"
         joins += " LEFT JOIN lb ON ui.user_id = lb.user_id AND ui.item_id = lb.item_id"
-    return _with(*ctes) + select + "\n" + joins
+    return ctes, select + "\n" + joins
 
 
 def _sql() -> dict[str, str]:
@@ -291,6 +306,7 @@ WHERE event_type IS NULL OR event_type NOT IN ({_types()}) OR user_id IS NULL
     q["item_features"] = _with(LOG_CTE, horizon_cte(S), *ic) + is_
     q["feature_join_labelled"] = feature_join_sql(S, labelled=True)
     q["feature_join_unlabelled"] = feature_join_sql(C, labelled=False)
+    q["libsvm_roundtrip"] = libsvm_sql(S)
     q["multi_split_features"] = ui_features_sql(None, multi=R.MULTI_SPLITS)
     q["log_by_day"] = _with(LOG_CTE) + "SELECT user_id, item_id, behavior_type, ts, CAST(ts AS DATE) AS day FROM log"
     q["eval_metrics"] = _with(LOG_CTE, horizon_cte(S), labels_cte(S)) + f"""SELECT true_pos, pred_pos, actual_pos, rows,

@@ -33,7 +33,7 @@ def test_entry_schema(spark):
 def test_every_sql_query_is_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"libsvm_roundtrip", "gbt_holdout", "rf_holdout", "submission"}
+    assert rows_only == {"gbt_holdout", "rf_holdout", "submission"}
 
 
 def _norm(rows, names):
