@@ -20,12 +20,18 @@ def distinct_items(items: DataFrame) -> DataFrame:
     return catalogue_keys(items).distinct()
 
 
+def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """Whether ``keys`` has at most ``max_rows`` rows. Counts at most
+    ``max_rows + 1`` of them, so the check stays cheap for a huge table."""
+    return keys.limit(max_rows + 1).count() <= max_rows
+
+
 def filter_log(
     log: DataFrame, items: DataFrame, broadcast_max_rows: int = BROADCAST_MAX_ROWS
 ) -> DataFrame:
     """Log rows whose ``item_id`` is in ``items``.
 
-    The catalogue is counted first (a cheap job over the small side). Within
+    The catalogue size is checked first (``fits_broadcast``). Within
     the limit its distinct ids are broadcast and the log is filtered where it
     is read, with no shuffle. Beyond it both sides are shuffled on
     ``item_id``; the catalogue is then not de-duplicated (a semi-join ignores
@@ -33,7 +39,7 @@ def filter_log(
     rule can split a hot item's partition on the log side.
     """
     keys = catalogue_keys(items)
-    if keys.count() <= broadcast_max_rows:
+    if fits_broadcast(keys, broadcast_max_rows):
         return log.join(F.broadcast(keys.distinct()), "item_id", "left_semi")
     return log.join(keys, "item_id", "left_semi")
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.operators.filter import BROADCAST_MAX_ROWS, catalogue_keys
+from cartcast.operators.filter import BROADCAST_MAX_ROWS, catalogue_keys, fits_broadcast
 from cartcast.session import shared_path
 from cartcast.sources.events import log_from_events
 
@@ -44,7 +44,7 @@ def start_filter_stream(
         .parquet(source_dir)
     )
     keys = catalogue_keys(items)
-    if keys.count() <= broadcast_max_rows:
+    if fits_broadcast(keys, broadcast_max_rows):
         keys = F.broadcast(keys.distinct())
     filtered = to_log(stream).join(keys, "item_id", "left_semi")
     writer = (
