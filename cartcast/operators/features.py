@@ -6,18 +6,19 @@ ratios relate a pair to the user's totals. The plan:
 
     H  = log rows with ts < D                       (pushed into the scan)
     D1 = H  group by (user, item, day)              counts, first/last, rows
-    UD = D1 group by (user, day)                    the user's rows that day
-    D2 = D1 join UD on (user, day)                  salted for hot (user, day)
-    A  = D2 group by (user, item)                   rolled-up counts, day stats
-    U  = UD group by user                           totals, active/buy days
-    F  = A  join U on user                          salted for hot users
-
-Every aggregation combines map-side before its shuffle, and both joins split
-heavy keys (``cartcast.operators.skew``), so one user holding a large share of
-the log is spread over many tasks. No step gathers a user's history in one
-place, unlike a group-by-user with per-user loops. D1 and UD are each read by
-several branches, so they are written once (``cut_lineage``) and the raw log
-is scanned once.
+    U  = D1 group by (user, day), then user         totals, active/buy days,
+                                                    day -> rows map (<= one entry per day)
+    J  = D1 join U on user                          salted for hot users; each row
+                                                    looks up its day in U's map
+    F  = J  group by (user, item)                   rolled-up counts, day stats,
+                                                    user values carried as max()
+
+No (user, day) join and no second user join are needed. Every aggregation
+combines map-side before its shuffle, and the one join splits heavy users
+(``cartcast.operators.skew``), so one user holding a large share of the log is
+spread over many tasks. No step gathers a user's history in one place, unlike
+a group-by-user with per-user loops. D1 is read by two branches and U by two,
+so both are written once (``cut_lineage``) and the raw log is scanned once.
 """
 
 from __future__ import annotations
@@ -161,23 +162,27 @@ def item_day_activity(
     materialize: bool = True,
 ) -> DataFrame:
     """Per pair, days the item was touched and bought, its rows, and
-    the user's rows on those days."""
+    the user's rows on those days (looked up in the user's day -> rows map)."""
     h = horizon(log, split, origin)
     daily = h.groupBy(U, I, DAY).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")
     )
     if materialize:
         daily = cut_lineage(daily, "item_days")
-    user_day = daily.groupBy(U, DAY).agg(
-        F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud")
+    per_day = daily.groupBy(U, DAY).agg(F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud"))
+    user = per_day.groupBy(U).agg(
+        F.sum("_items_day").alias("_item_days"),
+        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
     )
-    hot = hot_keys(user_day, [U, DAY], "_items_day", skew)
-    joined = salted_join(daily, user_day.drop("_items_day"), [U, DAY], hot, spread=[I])
+    if materialize:
+        user = cut_lineage(user, "users")
+    hot = hot_keys(user, [U], "_item_days", skew)
+    joined = salted_join(daily, user.drop("_item_days"), [U], hot, spread=[I])
     return joined.groupBy(U, I).agg(
         F.count(F.lit(1)).alias("item_days"),
         F.count_if(F.col("_nb") > 0).alias("item_buy_days"),
         F.sum("_n").alias("item_rows"),
-        F.sum("_ud").alias("same_day_rows"),
+        F.sum(_day_rows_of_row()).alias("same_day_rows"),
     )
 
 
@@ -223,6 +228,36 @@ def daily_aggs(sh: SplitHour) -> list[Column]:
     return aggs
 
 
+def user_day_totals(daily: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Per user (A6-A8): active days, buy days, 720 h totals per behaviour,
+    the pair-day rows (the split weight of the user), and ``_day_rows``, a map
+    from each active day to the user's rows that day.
+
+    The map has one entry per active day before the split, so its size is
+    bounded by the horizon in days (31 in the original calendar), not by the
+    data; it is built by a partial aggregate per (user, day), then per user.
+    """
+    g = list(group)
+    per_day = daily.groupBy(*g, U, DAY).agg(
+        F.count(F.lit(1)).alias("_items_day"),
+        F.sum("_n").alias("_ud"),
+        F.sum("_nb").alias("_udb"),
+        *[F.sum(count_col(b, LONG_WINDOW)).alias(_tot(b)) for b in BEHAVIOURS],
+    )
+    return per_day.groupBy(*g, U).agg(
+        F.count(F.lit(1)).alias("active_days"),
+        F.count_if(F.col("_udb") > 0).alias("buy_days"),
+        F.sum("_items_day").alias("_item_days"),
+        *[F.sum(_tot(b)).alias(_tot(b)) for b in BEHAVIOURS],
+        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
+    )
+
+
+def _day_rows_of_row() -> Column:
+    """The user's rows on this row's day, looked up in the user's day map."""
+    return F.expr(f"coalesce(try_element_at(_day_rows, {DAY}), 0L)")
+
+
 def ui_features_from_pair_days(
     daily: DataFrame,
     sh: SplitHour,
@@ -235,48 +270,38 @@ def ui_features_from_pair_days(
 
     ``group`` adds leading key columns (the split date when several splits
     run in one pass); every aggregation and join then also keys on them, and
-    ``sh`` may then be a column computed from them. ``daily`` is read twice, so
-    pass a written table (``cut_lineage``); ``materialize`` writes the
-    per-(user, day) table, which four branches read.
+    ``sh`` may then be a SQL expression over them. ``daily`` is read twice,
+    so pass a written table (``cut_lineage``); ``materialize`` writes the
+    per-user table, which the hot-key top-k and the join both read.
+
+    Each pair-day row meets its user's row in one join (salted for hot users,
+    weighted by their pair-day rows), takes that day's user total from the
+    user's day map, and a single (user, item) aggregate rolls everything up;
+    user-level values ride along as ``max`` of a constant. Rows of one pair
+    share their salt, so the aggregate combines fully before its shuffle.
     """
     g = list(group)
     counts = [count_col(b, w) for b, w in NEEDED_COUNTS]
-
-    user_day = daily.groupBy(*g, U, DAY).agg(
-        F.count(F.lit(1)).alias("_items_day"),
-        F.sum("_n").alias("_ud"),
-        F.sum("_nb").alias("_udb"),
-        *[F.sum(count_col(b, LONG_WINDOW)).alias(_tot(b)) for b in BEHAVIOURS],
-    )
+    user = user_day_totals(daily, group)
     if materialize:
-        user_day = cut_lineage(user_day, "user_days")
-    hot_days = hot_keys(user_day, [*g, U, DAY], "_items_day", skew)
-    with_day = salted_join(
-        daily, user_day.select(*g, U, DAY, "_ud"), [*g, U, DAY], hot_days, spread=[I]
-    )
-    pair = with_day.groupBy(*g, U, I).agg(
+        user = cut_lineage(user, "users")
+    hot_users = hot_keys(user, [*g, U], "_item_days", skew)
+    joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
+    per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS]]
+    pair = joined.groupBy(*g, U, I).agg(
         *[F.expr(f"sum({c})").alias(c) for c in counts],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],
         F.count(F.lit(1)).alias("item_days"),
         F.count_if(F.col("_nb") > 0).alias("item_buy_days"),
         F.sum("_n").alias("item_rows"),
-        F.sum("_ud").alias("same_day_rows"),
+        F.sum(_day_rows_of_row()).alias("same_day_rows"),
+        *[F.max(c).alias(c) for c in per_user],
     )
-
-    user = user_day.groupBy(*g, U).agg(
-        F.count(F.lit(1)).alias("active_days"),
-        F.count_if(F.col("_udb") > 0).alias("buy_days"),
-        F.sum("_items_day").alias("_item_days"),
-        *[F.sum(_tot(b)).alias(_tot(b)) for b in BEHAVIOURS],
-    )
-    hot_users = hot_keys(user, [*g, U], "_item_days", skew)
-    full = salted_join(pair, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
-
     out = list(COUNT_FEATURES)  # sums of counts: already BIGINT
     out += _recency_span(sh)
     out += _ratios(ratio_mode)
-    return full.select(*g, U, I, *out)
+    return pair.select(*g, U, I, *out)
 
 
 def ui_features(
