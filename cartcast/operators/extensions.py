@@ -85,11 +85,16 @@ def multi_split_training(
     daily, sh = multi_split_pair_days(log, splits, origin)
     daily = cut_lineage(daily, "pair_days")
     g = (SPLIT,)
-    ui = cut_lineage(ui_features_from_pair_days(daily, sh, skew=skew, group=g), "ui_features")
-    users = profile_from_pair_days(daily, U, I, g)
-    items = profile_from_pair_days(daily, I, U, g)
+    ui = ui_features_from_pair_days(daily, sh, skew=skew, group=g)
+    # Profiles are small and read twice (hot keys, join): write them. Their
+    # pair counts per key weigh the hot-key split, so the wide pair table is
+    # computed once, inside the join, and never written.
+    users = cut_lineage(profile_from_pair_days(daily, U, I, g), "user_profiles")
+    items = cut_lineage(profile_from_pair_days(daily, I, U, g), "item_profiles")
     buys = buys_on_days(log, label_days, SPLIT) if label_days else None
-    return training_table(ui, users, items, buys, skew=skew, group=g)
+    return training_table(
+        ui, users, items, buys, skew=skew, group=g, user_weight="item_count", item_weight="user_count"
+    )
 
 
 def log_by_day(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:

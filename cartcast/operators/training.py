@@ -35,6 +35,8 @@ def training_table(
     how: str = "inner",
     skew: SkewConfig = DEFAULT_SKEW,
     group: tuple[str, ...] = (),
+    user_weight: str | None = None,
+    item_weight: str | None = None,
 ) -> DataFrame:
     """C4: user-item rows with user (``u_*``) and item (``i_*``) columns and a label.
 
@@ -43,20 +45,28 @@ def training_table(
     ``day_buys``) adds ``label``; leave it out for the day to predict.
     Duplicate keys in a feature table repeat rows (bag semantics).
 
-    ``ui`` is scanned once more to count pairs per user and per item, so pass
-    a written or checkpointed table rather than a long lineage. ``group``
-    names leading key columns every table shares (the split date of a
-    multi-split table); all joins then key on them too.
+    Hot users and items are found from pairs per key. ``user_weight`` and
+    ``item_weight`` name a column of the user or item table that already holds
+    that count (the profiles' ``item_count`` and ``user_count``); then the
+    small feature tables are read for it. Otherwise ``ui`` is scanned once more
+    per join to count, so pass a written table rather than a long lineage.
+    ``group`` names leading key columns every table shares (the split date of
+    a multi-split table); all joins then key on them too.
     """
     g = list(group)
     out = ui
+
+    def hot_for(key: str, table: DataFrame, weight: str | None):
+        weights = table.select(*g, key, F.col(weight).alias("_weight")) if weight else key_weights(ui, [*g, key])
+        return hot_keys(weights, [*g, key], "_weight", skew)
+
     if user_features is not None:
         users = prefixed(user_features, [*g, U], "u_")
-        hot = hot_keys(key_weights(ui, [*g, U]), [*g, U], "_weight", skew)
+        hot = hot_for(U, user_features, user_weight)
         out = salted_join(out, users, [*g, U], hot, how, spread=[I])
     if item_features is not None:
         items = prefixed(item_features, [*g, I], "i_")
-        hot = hot_keys(key_weights(ui, [*g, I]), [*g, I], "_weight", skew)
+        hot = hot_for(I, item_features, item_weight)
         out = salted_join(out, items, [*g, I], hot, how, spread=[U])
     if buys is not None:
         out = attach_label(out, buys, group=tuple(g))

@@ -48,15 +48,16 @@ def _ui(spark, sf, split=SPLIT, mode="exact"):
 def _training(spark, sf, split, labelled=True):
     log = _log(spark, sf)
     # One pass over the log: the pair-day table feeds the user-item features
-    # and both profiles. The feature table is written too, since the join
-    # reads it three times (pairs per user, pairs per item, the join).
+    # and both profiles. The small profiles are written (read for hot keys and
+    # for the join); their pair counts weigh the hot-key split, so the wide
+    # feature table is computed once, inside the join.
     daily = cut_lineage(features.pair_days(log, split, ORIGIN), "pair_days")
     sh = split_hour(split, ORIGIN)
-    ui = cut_lineage(features.ui_features_from_pair_days(daily, sh), "ui_features")
-    users = profiles.profile_from_pair_days(daily, "user_id", "item_id")
-    items = profiles.profile_from_pair_days(daily, "item_id", "user_id")
+    ui = features.ui_features_from_pair_days(daily, sh)
+    users = cut_lineage(profiles.profile_from_pair_days(daily, "user_id", "item_id"), "user_profiles")
+    items = cut_lineage(profiles.profile_from_pair_days(daily, "item_id", "user_id"), "item_profiles")
     buys = labels.day_buys(log, split) if labelled else None
-    return training.training_table(ui, users, items, buys)
+    return training.training_table(ui, users, items, buys, user_weight="item_count", item_weight="user_count")
 
 
 def q_filter_log(spark, sf):
