@@ -99,3 +99,21 @@ def test_schema_and_order(spark, golden_log):
     types = dict(df.dtypes)
     assert all(types[c] == "bigint" for c in COUNT_FEATURES + RECENCY_FEATURES + SPAN_FEATURES)
     assert all(types[c] == "double" for c in RATIOS)
+
+
+@pytest.mark.parametrize(
+    "conf",
+    [{"spark.sql.session.timeZone": "America/New_York"}, {"spark.sql.ansi.enabled": "false"}],
+    ids=["zone", "no-ansi"],
+)
+def test_session_settings_do_not_change_results(spark, golden_log, conf):
+    want = sorted(ui_features(golden_log, "2014-12-16", ORIGIN).collect())
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(ui_features(golden_log, "2014-12-16", ORIGIN).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
