@@ -53,8 +53,11 @@ def main():
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     # Local mode runs every task inside the driver JVM, whose heap defaults to
     # 1 GB; give it room so a long bench is not dominated by garbage collection.
+    # Shuffles already have one partition per core; AQE's coalescing of small
+    # shuffles would only merge them into one or two tasks and idle the rest.
     memory = os.environ.get("BENCH_DRIVER_MEMORY", "16g")
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, **{"spark.driver.memory": memory})
+    conf = {"spark.driver.memory": memory, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus, **conf)
     cold, warm = {}, {}
     for name in names:
         cold[name] = round(run(spark, name, sf_dir), 3)
