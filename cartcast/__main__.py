@@ -32,18 +32,18 @@ from cartcast.sources.tables import read_catalogue, read_keyed_features, read_li
 DEFAULT_ORIGIN = "2014-11-18"
 
 
-def _log(spark, path, fmt):
-    return read_log_parquet(spark, path) if fmt == "parquet" else read_log(spark, path)
+def _log(spark, path, fmt, calendar=None):
+    return read_log_parquet(spark, path) if fmt == "parquet" else read_log(spark, path, calendar)
 
 
 def _filter(spark, a):
-    log = filter_log(_log(spark, a.log, a.log_format), read_catalogue(spark, a.catalogue))
+    log = filter_log(_log(spark, a.log, a.log_format, a.calendar), read_catalogue(spark, a.catalogue))
     write_log(log, a.out, a.format)
     return {"rows": row_count(_log(spark, a.out, a.format)).first()[0]}
 
 
 def _extract(spark, a):
-    feats = ui_features(_log(spark, a.log, a.log_format), a.split, a.origin, ratio_mode=a.ratio_mode)
+    feats = ui_features(_log(spark, a.log, a.log_format, a.calendar), a.split, a.origin, ratio_mode=a.ratio_mode)
     write_table(feats, a.out, a.format, header=a.header)
     return {"out": a.out}
 
@@ -52,7 +52,7 @@ def _join(spark, a):
     ui = read_ui_features(spark, a.ui, a.format)
     users = read_keyed_features(spark, a.users, "user_id", a.format, header=not a.no_header)
     items = read_keyed_features(spark, a.items, "item_id", a.format, header=not a.no_header)
-    buys = None if a.unlabelled else day_buys(_log(spark, a.log, a.log_format), a.split)
+    buys = None if a.unlabelled else day_buys(_log(spark, a.log, a.log_format, a.calendar), a.split)
     table = training_table(ui, users, items, buys, how=a.how)
     write_table(table, a.out, "parquet")
     return {"out": a.out}
@@ -88,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--catalogue", required=True)
     f.add_argument("--log", required=True)
     f.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
+    f.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
     f.add_argument("--out", required=True)
     f.add_argument("--format", choices=["csv", "parquet"], default="csv")
     f.set_defaults(run=_filter)
@@ -95,6 +96,7 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("extract", help="the 47 user-item features as of a split day")
     e.add_argument("--log", required=True)
     e.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
+    e.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
     e.add_argument("--split", required=True, help="yyyy-MM-dd")
     e.add_argument("--origin", default=DEFAULT_ORIGIN, help="day of hour 0, yyyy-MM-dd")
     e.add_argument("--ratio-mode", choices=["exact", "truncated"], default="exact")
@@ -111,6 +113,7 @@ def parser() -> argparse.ArgumentParser:
     j.add_argument("--no-header", action="store_true", help="user/item CSVs have no header; key first")
     j.add_argument("--log", required=True)
     j.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
+    j.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
     j.add_argument("--split", required=True)
     j.add_argument("--unlabelled", action="store_true", help="the day to predict: no label")
     j.add_argument("--how", choices=["inner", "left"], default="inner")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import parse_log_time
+from cartcast.functions.time import DateLike, as_date, parse_log_time
 from cartcast.schema import BEHAVIOURS, HEADER_MARK, RAW_LOG
 
 VALID_CODES = sorted(BEHAVIOURS)
@@ -27,7 +27,10 @@ def read_log_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return raw.where(F.col("user_id").isNull() | (F.col("user_id") != F.lit(HEADER_MARK)))
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
+Calendar = tuple[DateLike, DateLike]
+
+
+def _parsed(raw: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     behaviour = F.col("behavior_type").try_cast("int")
     ts = parse_log_time("time")
     reason = (
@@ -36,6 +39,10 @@ def _parsed(raw: DataFrame) -> DataFrame:
         .when(behaviour.isNull() | ~behaviour.isin(*VALID_CODES), F.lit("bad behavior_type"))
         .when(ts.isNull(), F.lit("bad time"))
     )
+    if calendar is not None:
+        first, last = (as_date(d) for d in calendar)
+        day = F.to_date(ts)
+        reason = reason.when((day < F.lit(first)) | (day > F.lit(last)), F.lit("outside calendar"))
     return raw.select(
         "user_id",
         "item_id",
@@ -48,20 +55,25 @@ def _parsed(raw: DataFrame) -> DataFrame:
     )
 
 
-def parse_log(raw: DataFrame) -> DataFrame:
-    """Typed, valid log rows (P1-P3). Malformed rows are left out; see ``log_rejects``."""
-    return _parsed(raw).where(F.col("reject_reason").isNull()).drop("reject_reason", "raw_time")
+def parse_log(raw: DataFrame, calendar: Calendar | None = None) -> DataFrame:
+    """Typed, valid log rows (P1-P3). Malformed rows are left out; see ``log_rejects``.
+
+    Any well-formed date is valid by default. ``calendar=(first, last)``
+    keeps only days in that range, as the original did implicitly (it knew
+    only 11-18 to 12-18 and failed on other days); the rest are rejected.
+    """
+    return _parsed(raw, calendar).where(F.col("reject_reason").isNull()).drop("reject_reason", "raw_time")
 
 
-def log_rejects(raw: DataFrame) -> DataFrame:
+def log_rejects(raw: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     """Rows ``parse_log`` leaves out, with the reason."""
-    return _parsed(raw).where(F.col("reject_reason").isNotNull()).select(
+    return _parsed(raw, calendar).where(F.col("reject_reason").isNotNull()).select(
         "user_id", "item_id", "behavior_type", "raw_time", "reject_reason"
     )
 
 
-def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_log(read_log_text(spark, path))
+def read_log(spark: SparkSession, path: str | list[str], calendar: Calendar | None = None) -> DataFrame:
+    return parse_log(read_log_text(spark, path), calendar)
 
 
 def read_log_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -157,3 +157,12 @@ def test_day_partitioned_log_prunes_folders(spark, golden_log, workdir):
     assert sorted(ui_features(back, "2014-12-16", ORIGIN).select(cols).collect()) == sorted(
         ui_features(golden_log, "2014-12-16", ORIGIN).select(cols).collect()
     )
+
+
+def test_calendar_bound_rejects_other_days(spark, raw_csv):
+    text = read_log_text(spark, raw_csv)
+    calendar = ("2014-11-18", "2014-12-18")
+    kept = {r.user_id for r in parse_log(text, calendar).collect()}
+    assert kept == {"u1", "u2"}  # u6's row of 2014-10-01 is outside the calendar
+    reasons = {r.user_id: r.reject_reason for r in log_rejects(text, calendar).collect()}
+    assert reasons["u6"] == "outside calendar" and reasons["u4"] == "bad behavior_type"
