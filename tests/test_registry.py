@@ -91,3 +91,17 @@ def test_only_bounded_tables_are_broadcast(spark, name):
     assert broadcasts > 0 and broadcasts == len(re.findall("TakeOrderedAndProject", plan))
     assert "SortMergeJoin" in plan
     assert not re.search("EvalPython|InPandas", plan)
+
+
+def test_feature_plan_is_whole_stage_codegen(spark):
+    """Apart from scans and exchanges, every operator runs in generated code."""
+    import re
+
+    df = QUERIES["ui_features"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    ops = re.findall(r"[:+]- (\*\(\d+\) )?([A-Za-z]+)", final)
+    outside = {op for star, op in ops if not star}
+    allowed = {"AQEShuffleRead", "Exchange", "FileScan", "ShuffleQueryStage", "BroadcastQueryStage",
+               "BroadcastExchange", "ResultQueryStage", "TableCacheQueryStage", "ReusedExchange"}
+    assert outside <= allowed, outside - allowed
