@@ -213,17 +213,27 @@ def _ratios(mode: str) -> list[Column]:
     return [F.expr(guarded_ratio_sql(num, den, mode)).alias(name) for name, num, den in specs]
 
 
-def pair_days(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
+def pair_days(
+    log: DataFrame,
+    split: DateLike,
+    origin: DateLike,
+    counts: list[tuple[int, int]] = NEEDED_COUNTS,
+    first_last: bool = True,
+) -> DataFrame:
     """Per (user, item, day) before the split: window counts, first and last
     hour of each behaviour, rows and buys. The one pass over the raw log that
-    every feature derives from; partially aggregated before its shuffle."""
+    every feature derives from; partially aggregated before its shuffle.
+    ``counts`` and ``first_last`` trim it for consumers that need less."""
     sh = split_hour(split, origin)
-    return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(sh))
+    return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(sh, counts, first_last))
 
 
-def daily_aggs(sh: SplitHour) -> list[Column]:
-    aggs = [_window_count(b, w, sh) for b, w in NEEDED_COUNTS]
-    aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
+def daily_aggs(
+    sh: SplitHour, counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool = True
+) -> list[Column]:
+    aggs = [_window_count(b, w, sh) for b, w in counts]
+    if first_last:
+        aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
     aggs += [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")]
     return aggs
 

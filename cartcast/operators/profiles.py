@@ -24,7 +24,8 @@ from cartcast.operators.features import DAY, I, U, pair_days
 from cartcast.schema import BEHAVIOURS, BUY, VIEW, count_col
 
 PROFILE_WINDOWS = (24, 168, 720)
-PROFILE_COUNTS = [count_col(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
+PROFILE_PAIRS = [(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
+PROFILE_COUNTS = [count_col(b, w) for b, w in PROFILE_PAIRS]
 
 
 def profile_columns(other: str) -> list[str]:
@@ -62,11 +63,16 @@ def profile_from_pair_days(
     return out.withColumn("conv_view_buy", conv)
 
 
+def _slim_pair_days(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
+    # Only the counts a profile reads; no first/last hours.
+    return pair_days(log, split, origin, counts=PROFILE_PAIRS, first_last=False)
+
+
 def user_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per user active before the split."""
-    return profile_from_pair_days(pair_days(log, split, origin), U, I)
+    return profile_from_pair_days(_slim_pair_days(log, split, origin), U, I)
 
 
 def item_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per item touched before the split."""
-    return profile_from_pair_days(pair_days(log, split, origin), I, U)
+    return profile_from_pair_days(_slim_pair_days(log, split, origin), I, U)
