@@ -117,3 +117,18 @@ def test_session_settings_do_not_change_results(spark, golden_log, conf):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+def test_hour_zero_first_last_is_min_max(spark):
+    """A behaviour at hour 0 (origin midnight) and later. The original's
+    result depended on iteration order; here first/last are min/max."""
+    import datetime as dt
+
+    from conftest import LOG_DDL
+
+    rows = [("u", "i", 1, dt.datetime(2014, 11, 18, 0, 30)), ("u", "i", 1, dt.datetime(2014, 11, 18, 5))]
+    log = spark.createDataFrame(rows, LOG_DDL)
+    got = ui_features(log, "2014-11-19", ORIGIN).first()
+    assert got["span_view"] == 5 and got["since_last_view"] == 24 - 5
+    only_zero = ui_features(spark.createDataFrame(rows[:1], LOG_DDL), "2014-11-19", ORIGIN).first()
+    assert only_zero["span_view"] == 0 and only_zero["since_last_view"] == 24
