@@ -166,9 +166,13 @@ def ui_features_sql(split, mode="exact", source="log", multi=None, origin=ORIGIN
     )
 
 
-def profile_sql(split, key: str, other: str, prefix: str = "", origin=ORIGIN, h="h") -> tuple[list[str], str]:
-    """E4 (user or item profile) as CTEs plus the final SELECT."""
-    sh = split_hour(split, origin)
+def profile_sql(
+    split, key: str, other: str, prefix: str = "", origin=ORIGIN, h="h", multi: bool = False
+) -> tuple[list[str], str]:
+    """E4 (user or item profile) as CTEs plus the final SELECT. With ``multi``
+    the rows of ``h`` carry ``split_date`` and every group keys on it."""
+    sh = f"(date_diff('day', DATE '{as_date(origin)}', split_date) * 24)" if multi else split_hour(split, origin)
+    k = f"split_date, {key}" if multi else key
     name = other.split("_")[0]
     t = f"{prefix or key[0]}"
     counts = ",\n    ".join(
@@ -177,26 +181,47 @@ def profile_sql(split, key: str, other: str, prefix: str = "", origin=ORIGIN, h=
         for b in BEHAVIOURS
     )
     ctes = [
-        f"{t}c AS (SELECT {key}, {counts} FROM {h} GROUP BY {key})",
+        f"{t}c AS (SELECT {k}, {counts} FROM {h} GROUP BY {k})",
         f"""{t}o AS (
-  SELECT {key}, count(*) AS {prefix}{name}_count, count(*) FILTER (WHERE nb > 0) AS {prefix}{name}_buy_count
-  FROM (SELECT {key}, {other}, count(*) FILTER (WHERE behavior_type = {BUY}) AS nb FROM {h} GROUP BY {key}, {other})
-  GROUP BY {key}
+  SELECT {k}, count(*) AS {prefix}{name}_count, count(*) FILTER (WHERE nb > 0) AS {prefix}{name}_buy_count
+  FROM (SELECT {k}, {other}, count(*) FILTER (WHERE behavior_type = {BUY}) AS nb FROM {h} GROUP BY {k}, {other})
+  GROUP BY {k}
 )""",
         f"""{t}d AS (
-  SELECT {key}, count(*) AS {prefix}active_days, count(*) FILTER (WHERE nb > 0) AS {prefix}buy_days
-  FROM (SELECT {key}, day, count(*) FILTER (WHERE behavior_type = {BUY}) AS nb FROM {h} GROUP BY {key}, day)
-  GROUP BY {key}
+  SELECT {k}, count(*) AS {prefix}active_days, count(*) FILTER (WHERE nb > 0) AS {prefix}buy_days
+  FROM (SELECT {k}, day, count(*) FILTER (WHERE behavior_type = {BUY}) AS nb FROM {h} GROUP BY {k}, day)
+  GROUP BY {k}
 )""",
     ]
     conv = _ratio(f"{t}c.{prefix}buy_720h", f"{t}c.{prefix}view_720h")
     select = (
-        f"SELECT {t}c.*, {t}o.* EXCLUDE ({key}), {t}d.* EXCLUDE ({key}), {conv} AS {prefix}conv_view_buy "
-        f"FROM {t}c JOIN {t}o USING ({key}) JOIN {t}d USING ({key})"
+        f"SELECT {t}c.*, {t}o.* EXCLUDE ({k}), {t}d.* EXCLUDE ({k}), {conv} AS {prefix}conv_view_buy "
+        f"FROM {t}c JOIN {t}o USING ({k}) JOIN {t}d USING ({k})"
     )
     return ctes, select
 
 
+def training_multi_split_sql(splits, label_days) -> str:
+    """E1 + C4: training rows for several split days, keyed by ``split_date``."""
+    ui = ui_features_sql(None, multi=splits)
+    head, final = ui[len("WITH ") :].rsplit("\nSELECT ", 1)
+    ctes = [head, f"ui AS (SELECT {final})"]
+    uc, us = profile_sql(None, "user_id", "item_id", prefix="u_", multi=True)
+    ic, is_ = profile_sql(None, "item_id", "user_id", prefix="i_", multi=True)
+    ctes += uc + [f"uf AS ({us})"] + ic + [f"itf AS ({is_})"]
+    days = ", ".join(f"DATE '{as_date(d)}'" for d in label_days)
+    ctes.append(f"""lb AS (
+  SELECT DISTINCT CAST(ts AS DATE) AS split_date, user_id, item_id FROM log
+  WHERE behavior_type = {BUY} AND CAST(ts AS DATE) IN ({days})
+)""")
+    return _with(*ctes) + (
+        "SELECT ui.*, uf.* EXCLUDE (split_date, user_id), itf.* EXCLUDE (split_date, item_id),\n"
+        "  CAST(CASE WHEN lb.user_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label\n"
+        "FROM ui JOIN uf USING (split_date, user_id) JOIN itf USING (split_date, item_id)\n"
+        "LEFT JOIN lb ON ui.split_date = lb.split_date AND ui.user_id = lb.user_id AND ui.item_id = lb.item_id"
+    )
+
+
 def labels_cte(day, name="lb", source="log") -> str:
     d = as_date(day)
     nxt = d.fromordinal(d.toordinal() + 1)
@@ -307,6 +332,7 @@ WHERE event_type IS NULL OR event_type NOT IN ({_types()}) OR user_id IS NULL
     q["feature_join_labelled"] = feature_join_sql(S, labelled=True)
     q["feature_join_unlabelled"] = feature_join_sql(C, labelled=False)
     q["libsvm_roundtrip"] = libsvm_sql(S)
+    q["training_multi_split"] = training_multi_split_sql(R.HOLDOUT_SPLITS, R.HOLDOUT_SPLITS)
     q["multi_split_features"] = ui_features_sql(None, multi=R.MULTI_SPLITS)
     q["log_by_day"] = _with(LOG_CTE) + "SELECT user_id, item_id, behavior_type, ts, CAST(ts AS DATE) AS day FROM log"
     q["eval_metrics"] = _with(LOG_CTE, horizon_cte(S), labels_cte(S)) + f"""SELECT true_pos, pred_pos, actual_pos, rows,

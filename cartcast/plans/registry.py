@@ -27,6 +27,7 @@ SPLIT = "2024-01-30"  # labelled: features before 01-30, buys on 01-30
 CUTOFF_SPLIT = "2024-02-01"  # unlabelled; the first day falls outside 720 h
 TRAIN_SPLIT = "2024-01-29"  # hold-out: train on 01-29, test on 01-30
 MULTI_SPLITS = ("2024-01-28", "2024-01-29", "2024-01-30")
+HOLDOUT_SPLITS = (TRAIN_SPLIT, SPLIT)
 GBT_PARAMS = dict(max_iter=10, max_depth=4, step_size=0.1, subsampling_rate=1.0, seed=7)
 RF_PARAMS = dict(num_trees=10, max_depth=5)
 
@@ -150,6 +151,11 @@ def q_multi_split_features(spark, sf):
     return extensions.multi_split_features(_log(spark, sf), MULTI_SPLITS, ORIGIN)
 
 
+def q_training_multi_split(spark, sf):
+    """The hold-out's input: training rows of both days from one pass."""
+    return extensions.multi_split_training(_log(spark, sf), HOLDOUT_SPLITS, ORIGIN, HOLDOUT_SPLITS)
+
+
 def q_log_by_day(spark, sf):
     path = shared_path(spark, "log_by_day")
     return extensions.log_by_day(spark, _log(spark, sf), path).select(
@@ -195,7 +201,7 @@ def _on(vectors, day):
 
 
 def _holdout(spark, sf, estimator):
-    vectors = _split_vectors(spark, sf, [TRAIN_SPLIT, SPLIT], [TRAIN_SPLIT, SPLIT])
+    vectors = _split_vectors(spark, sf, HOLDOUT_SPLITS, HOLDOUT_SPLITS)
     train, test = _on(vectors, TRAIN_SPLIT), _on(vectors, SPLIT)
     return models.holdout(estimator, train, test).select("true_pos", "pred_pos", "actual_pos", "rows")
 
@@ -242,6 +248,7 @@ QUERIES: dict[str, Query] = {
     "feature_join_labelled": q_feature_join_labelled,
     "feature_join_unlabelled": q_feature_join_unlabelled,
     "multi_split_features": q_multi_split_features,
+    "training_multi_split": q_training_multi_split,
     "log_by_day": q_log_by_day,
     "eval_metrics": q_eval_metrics,
     "stream_filter_log": q_stream_filter_log,

@@ -20,7 +20,7 @@ FAST = [
     "filter_log", "filter_count", "log_projection", "log_rejects", "before_split", "ui_counts",
     "ui_recency", "user_day_activity", "ui_day_activity", "user_totals", "ui_features",
     "ui_features_truncated", "ui_features_720_cutoff", "labels", "positive_count",
-    "user_features", "item_features", "feature_join_labelled", "eval_metrics",
+    "user_features", "item_features", "feature_join_labelled", "eval_metrics", "training_multi_split",
 ]
 
 
