@@ -23,13 +23,13 @@ from cartcast.operators.filter import filter_log, row_count
 from cartcast.operators.labels import day_buys, positive_count
 from cartcast.operators.models import confusion, gbt, predict, random_forest
 from cartcast.operators.training import feature_columns, training_table, write_libsvm
+from cartcast.schema import ORIGINAL_CALENDAR, ORIGINAL_ORIGIN
 from cartcast.session import get_session
 from cartcast.sinks.writers import write_log, write_table
 from cartcast.sources.log import read_log, read_log_parquet
 from cartcast.sources.tables import read_catalogue, read_keyed_features, read_libsvm, read_ui_features
 
-# Fixed value: the original log's hour 0 is 11-18 00:00 (of 2014).
-DEFAULT_ORIGIN = "2014-11-18"
+DEFAULT_ORIGIN = ORIGINAL_ORIGIN
 
 
 def _log(spark, path, fmt, calendar=None):
@@ -88,7 +88,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--catalogue", required=True)
     f.add_argument("--log", required=True)
     f.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
-    f.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
+    f.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help=f"reject CSV log rows outside these days (the original's: {' '.join(ORIGINAL_CALENDAR)})")
     f.add_argument("--out", required=True)
     f.add_argument("--format", choices=["csv", "parquet"], default="csv")
     f.set_defaults(run=_filter)
@@ -96,7 +96,7 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("extract", help="the 47 user-item features as of a split day")
     e.add_argument("--log", required=True)
     e.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
-    e.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
+    e.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help=f"reject CSV log rows outside these days (the original's: {' '.join(ORIGINAL_CALENDAR)})")
     e.add_argument("--split", required=True, help="yyyy-MM-dd")
     e.add_argument("--origin", default=DEFAULT_ORIGIN, help="day of hour 0, yyyy-MM-dd")
     e.add_argument("--ratio-mode", choices=["exact", "truncated"], default="exact")
@@ -113,7 +113,7 @@ def parser() -> argparse.ArgumentParser:
     j.add_argument("--no-header", action="store_true", help="user/item CSVs have no header; key first")
     j.add_argument("--log", required=True)
     j.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
-    j.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help="reject CSV log rows outside these days")
+    j.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help=f"reject CSV log rows outside these days (the original's: {' '.join(ORIGINAL_CALENDAR)})")
     j.add_argument("--split", required=True)
     j.add_argument("--unlabelled", action="store_true", help="the day to predict: no label")
     j.add_argument("--how", choices=["inner", "left"], default="inner")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 #   random forest: 32 bins, seed 12345, impurity gini, feature subset auto
 #   raw log time format: yyyy-MM-dd HH
 #   header marker of the raw log and of feature files: first field "user_id"
+#   original log: hour 0 is 2014-11-18 00:00; known days 2014-11-18 .. 2014-12-18
 # ---------------------------------------------------------------------------
 VIEW, FAV, CART, BUY = 1, 2, 3, 4
 BEHAVIOURS = {VIEW: "view", FAV: "fav", CART: "cart", BUY: "buy"}
@@ -27,6 +28,8 @@ RF_IMPURITY = "gini"
 RF_SUBSET = "auto"
 LOG_TIME_FORMAT = "yyyy-MM-dd HH"
 HEADER_MARK = "user_id"
+ORIGINAL_ORIGIN = "2014-11-18"
+ORIGINAL_CALENDAR = ("2014-11-18", "2014-12-18")
 
 # Longest window: the ratio denominators T(b) sum counts over it.
 LONG_WINDOW = max(WINDOWS)
