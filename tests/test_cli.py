@@ -37,3 +37,18 @@ def test_pipeline_of_jobs(spark, golden_log):
     metrics = main(m + ["holdout", "--train", str(base / "svm"), "--test", str(base / "svm"), "--model", "rf",
                         "--iterations", "3", "--depth", "3", "--num-features", str(svm["num_features"])])
     assert metrics["rows"] == 4 and metrics["actual_pos"] == 2
+
+
+def test_parquet_paths_and_calendar(spark, golden_log):
+    base = Path(tempfile.mkdtemp(prefix="cartcast-cli-pq-"))
+    raw = base / "raw"
+    log_as_text(golden_log).write.option("header", True).csv(str(raw))
+    (base / "items.csv").write_text("i1,g,c\ni2,g,c\ni3,g,c\n")
+    m = ["--master", "local[2]"]
+    out = main(m + ["filter", "--catalogue", str(base / "items.csv"), "--log", str(raw), "--out", str(base / "flt"),
+                    "--format", "parquet", "--calendar", "2014-12-01", "2014-12-18"])
+    assert out["rows"] == 12  # the 11-18 row is outside the calendar
+    main(m + ["extract", "--log", str(base / "flt"), "--log-format", "parquet", "--split", "2014-12-16",
+              "--origin", ORIGIN, "--out", str(base / "ui"), "--format", "parquet"])
+    feats = spark.read.parquet(str(base / "ui"))
+    assert feats.count() == 4 and feats.where("user_id = 'u1' AND item_id = 'i1'").first()["span_view"] == 2
