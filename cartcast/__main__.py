@@ -2,6 +2,7 @@
 
     python -m cartcast filter   --catalogue items.csv --log raw.csv --out filtered
     python -m cartcast extract  --log filtered --split 2014-12-16 --out features
+    python -m cartcast extract  --log filtered --split 2014-12-16 2014-12-17 2014-12-18 --out f
     python -m cartcast join     --ui features --users users.csv --items items.csv \\
                                 --log filtered --split 2014-12-16 --out train
     python -m cartcast libsvm   --table train --out train.svm
@@ -18,6 +19,7 @@ import argparse
 import json
 import sys
 
+from cartcast.operators.extensions import multi_split_features
 from cartcast.operators.features import ui_features
 from cartcast.operators.filter import filter_log, row_count
 from cartcast.operators.labels import day_buys, positive_count
@@ -43,9 +45,15 @@ def _filter(spark, a):
 
 
 def _extract(spark, a):
-    feats = ui_features(_log(spark, a.log, a.log_format, a.calendar), a.split, a.origin, ratio_mode=a.ratio_mode)
-    write_table(feats, a.out, a.format, header=a.header)
-    return {"out": a.out}
+    log = _log(spark, a.log, a.log_format, a.calendar)
+    if len(a.split) == 1:
+        feats = ui_features(log, a.split[0], a.origin, ratio_mode=a.ratio_mode)
+        write_table(feats, a.out, a.format, header=a.header)
+    else:
+        # One pass over the log for all split days; one folder per split day.
+        feats = multi_split_features(log, a.split, a.origin, ratio_mode=a.ratio_mode)
+        write_table(feats, a.out, a.format, header=a.header, partition_by="split_date")
+    return {"out": a.out, "splits": a.split}
 
 
 def _join(spark, a):
@@ -97,7 +105,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--log", required=True)
     e.add_argument("--log-format", choices=["csv", "parquet"], default="csv")
     e.add_argument("--calendar", nargs=2, metavar=("FIRST", "LAST"), help=f"reject CSV log rows outside these days (the original's: {' '.join(ORIGINAL_CALENDAR)})")
-    e.add_argument("--split", required=True, help="yyyy-MM-dd")
+    e.add_argument("--split", required=True, nargs="+", help="yyyy-MM-dd; several: one folder each, one pass")
     e.add_argument("--origin", default=DEFAULT_ORIGIN, help="day of hour 0, yyyy-MM-dd")
     e.add_argument("--ratio-mode", choices=["exact", "truncated"], default="exact")
     e.add_argument("--out", required=True)

@@ -32,9 +32,14 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet") -> None:
         log.write.mode("overwrite").parquet(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = False) -> None:
-    """K2/K3: a feature or training table, one record per row."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", header: bool = False, partition_by: str | None = None
+) -> None:
+    """K2/K3: a feature or training table, one record per row. ``partition_by``
+    writes one folder per value (e.g. ``split_date``: one table per split day)."""
     writer = df.write.mode("overwrite")
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
     if fmt == "csv":
         writer.option("header", header).csv(path)
     else:

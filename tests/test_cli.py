@@ -52,3 +52,19 @@ def test_parquet_paths_and_calendar(spark, golden_log):
               "--origin", ORIGIN, "--out", str(base / "ui"), "--format", "parquet"])
     feats = spark.read.parquet(str(base / "ui"))
     assert feats.count() == 4 and feats.where("user_id = 'u1' AND item_id = 'i1'").first()["span_view"] == 2
+
+
+def test_extract_several_splits_one_folder_each(spark, golden_log):
+    from cartcast.operators.features import ui_features
+
+    base = Path(tempfile.mkdtemp(prefix="cartcast-cli-multi-"))
+    raw = base / "raw"
+    log_as_text(golden_log).write.option("header", True).csv(str(raw))
+    main(["--master", "local[2]", "extract", "--log", str(raw), "--split", "2014-12-16", "2014-12-19",
+          "--origin", ORIGIN, "--out", str(base / "f"), "--format", "parquet"])
+    folders = sorted(p.name for p in (base / "f").iterdir() if p.name.startswith("split_date="))
+    assert folders == ["split_date=2014-12-16", "split_date=2014-12-19"]
+    one = spark.read.parquet(str(base / "f" / "split_date=2014-12-19"))
+    want = ui_features(golden_log, "2014-12-19", ORIGIN)
+    cols = sorted(want.columns)
+    assert sorted(one.select(cols).collect()) == sorted(want.select(cols).collect())
