@@ -5,7 +5,8 @@ split day D. Counts look back over nested hour windows from that midnight;
 ratios relate a pair to the user's totals. The plan:
 
     H  = log rows with ts < D                       (pushed into the scan)
-    D1 = H  group by (user, item, day)              counts, first/last, rows
+    D1 = H  group by (user, item, day)              day counts per behaviour, counts
+                                                    for windows under a day, first/last
     U  = D1 group by (user, day), then user         totals, active/buy days,
                                                     day -> rows map (<= one entry per day)
     J  = D1 join U on user                          salted for hot users; each row
@@ -228,10 +229,34 @@ def pair_days(
     return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(sh, counts, first_last))
 
 
+def _day_count(b: int) -> str:
+    """Column of ``pair_days`` with the day's rows of behaviour ``b``."""
+    return "_nb" if b == BUY else f"_n{b}"
+
+
+def window_of_row(b: int, w: int) -> str:
+    """SQL text: a ``pair_days`` row's count of behaviour ``b`` in window ``w``.
+
+    Windows of whole days (24, 72, 168, 720 h) end at the split midnight, so
+    a day lies entirely inside or entirely outside them: the day's count
+    counts when the day's midnight is at most ``w`` hours before the split
+    (``_day_age``). Shorter windows reach into the last day only and are
+    stored as counts of their own.
+    """
+    if w % 24 == 0:
+        return f"CASE WHEN _day_age <= {w} THEN {_day_count(b)} ELSE 0 END"
+    return count_col(b, w)
+
+
 def daily_aggs(
     sh: SplitHour, counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool = True
 ) -> list[Column]:
-    aggs = [_window_count(b, w, sh) for b, w in counts]
+    """Aggregates of a ``pair_days`` row: per-behaviour counts of the day, the
+    hours from the day's midnight to the split, counts for the windows
+    shorter than a day, and (``first_last``) first and last hour per behaviour."""
+    aggs = [_window_count(b, w, sh) for b, w in counts if w % 24]
+    aggs += [F.count_if(F.col(B) == b).alias(_day_count(b)) for b in BEHAVIOURS if b != BUY]
+    aggs += [F.expr(f"max({_sh(sh)} - ({HOUR} - pmod({HOUR}, 24)))").alias("_day_age")]
     if first_last:
         aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
     aggs += [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")]
@@ -252,7 +277,7 @@ def user_day_totals(daily: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("_items_day"),
         F.sum("_n").alias("_ud"),
         F.sum("_nb").alias("_udb"),
-        *[F.sum(count_col(b, LONG_WINDOW)).alias(_tot(b)) for b in BEHAVIOURS],
+        *[F.expr(f"sum({window_of_row(b, LONG_WINDOW)})").alias(_tot(b)) for b in BEHAVIOURS],
     )
     return per_day.groupBy(*g, U).agg(
         F.count(F.lit(1)).alias("active_days"),
@@ -291,7 +316,6 @@ def ui_features_from_pair_days(
     share their salt, so the aggregate combines fully before its shuffle.
     """
     g = list(group)
-    counts = [count_col(b, w) for b, w in NEEDED_COUNTS]
     user = user_day_totals(daily, group)
     if materialize:
         user = cut_lineage(user, "users")
@@ -299,7 +323,7 @@ def ui_features_from_pair_days(
     joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
     per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS]]
     pair = joined.groupBy(*g, U, I).agg(
-        *[F.expr(f"sum({c})").alias(c) for c in counts],
+        *[F.expr(f"sum({window_of_row(b, w)})").alias(count_col(b, w)) for b, w in NEEDED_COUNTS],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],
         F.count(F.lit(1)).alias("item_days"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cartcast.functions.ratio import guarded_ratio
 from cartcast.functions.time import DateLike
-from cartcast.operators.features import DAY, I, U, pair_days
+from cartcast.operators.features import DAY, I, U, pair_days, window_of_row
 from cartcast.schema import BEHAVIOURS, BUY, VIEW, count_col
 
 PROFILE_WINDOWS = (24, 168, 720)
@@ -45,7 +45,7 @@ def profile_from_pair_days(
     sets = daily.groupingSets([[*g, key, DAY], [*g, key, other]], *g, key, DAY, other).agg(
         F.grouping_id().alias("_gid"),
         F.sum("_nb").alias("_nb"),
-        *[F.sum(c).alias(c) for c in PROFILE_COUNTS],
+        *[F.expr(f"sum({window_of_row(b, w)})").alias(count_col(b, w)) for b, w in PROFILE_PAIRS],
     )
     # grouping_id bits follow (*group, key, day, other); 1 = rolled up.
     by_day = F.col("_gid") == 1
