@@ -71,7 +71,8 @@ def main():
     out.mkdir(parents=True)
     log_dir = out / "eventlog"
     log_dir.mkdir()
-    conf = {"spark.driver.memory": "16g", "spark.eventLog.enabled": "true", "spark.eventLog.dir": str(log_dir)}
+    conf = {"spark.driver.memory": "16g", "spark.eventLog.enabled": "true", "spark.eventLog.dir": str(log_dir),
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as in bench.py
     spark = get_session("local[8]", 8, **conf)
     derive(spark, out, copies)
     for name in ("big", "skew"):
