@@ -164,17 +164,10 @@ def item_day_activity(
 ) -> DataFrame:
     """Per pair, days the item was touched and bought, its rows, and
     the user's rows on those days (looked up in the user's day -> rows map)."""
-    h = horizon(log, split, origin)
-    daily = h.groupBy(U, I, DAY).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")
-    )
+    daily = pair_days(log, split, origin, counts=[], first_last=False)
     if materialize:
-        daily = cut_lineage(daily, "item_days")
-    per_day = daily.groupBy(U, DAY).agg(F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud"))
-    user = per_day.groupBy(U).agg(
-        F.sum("_items_day").alias("_item_days"),
-        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
-    )
+        daily = cut_lineage(daily, "pair_days")
+    user = user_day_totals(daily)
     if materialize:
         user = cut_lineage(user, "users")
     hot = hot_keys(user, [U], "_item_days", skew)
