@@ -227,33 +227,33 @@ def q_stream_filter_log(spark, sf):
 
 
 QUERIES: dict[str, Query] = {
-    "filter_log": q_filter_log,
-    "filter_count": q_filter_count,
-    "log_projection": q_log_projection,
-    "log_rejects": q_log_rejects,
-    "before_split": q_before_split,
-    "ui_counts": q_ui_counts,
-    "ui_recency": q_ui_recency,
-    "user_day_activity": q_user_day_activity,
-    "ui_day_activity": q_ui_day_activity,
-    "user_totals": q_user_totals,
-    "ui_features": q_ui_features,
-    "ui_features_truncated": q_ui_features_truncated,
-    "ui_features_720_cutoff": q_ui_features_720_cutoff,
-    "ui_features_catalogue": q_ui_features_catalogue,
-    "labels": q_labels,
-    "positive_count": q_positive_count,
-    "user_features": q_user_features,
-    "item_features": q_item_features,
-    "feature_join_labelled": q_feature_join_labelled,
-    "feature_join_unlabelled": q_feature_join_unlabelled,
-    "multi_split_features": q_multi_split_features,
-    "training_multi_split": q_training_multi_split,
-    "log_by_day": q_log_by_day,
-    "eval_metrics": q_eval_metrics,
-    "stream_filter_log": q_stream_filter_log,
-    "libsvm_roundtrip": q_libsvm_roundtrip,
-    "gbt_holdout": q_gbt_holdout,
-    "rf_holdout": q_rf_holdout,
-    "submission": q_submission,
+    "filter_log": q_filter_log,  # S1 S3 A1 J1 C1
+    "filter_count": q_filter_count,  # A12
+    "log_projection": q_log_projection,  # P1 P2 P3
+    "log_rejects": q_log_rejects,  # D5 D14
+    "before_split": q_before_split,  # P4 F2
+    "ui_counts": q_ui_counts,  # A3 F3
+    "ui_recency": q_ui_recency,  # A4 P9 P10
+    "user_day_activity": q_user_day_activity,  # A5 A7 A8
+    "ui_day_activity": q_ui_day_activity,  # A5 A9 A10
+    "user_totals": q_user_totals,  # A6
+    "ui_features": q_ui_features,  # C2 P8 (exact)
+    "ui_features_truncated": q_ui_features_truncated,  # C2 P8 D1 (truncated)
+    "ui_features_720_cutoff": q_ui_features_720_cutoff,  # C2, first day outside 720 h
+    "ui_features_catalogue": q_ui_features_catalogue,  # C1 then C2
+    "labels": q_labels,  # C3 F4 A11
+    "positive_count": q_positive_count,  # A13 J4
+    "user_features": q_user_features,  # E4
+    "item_features": q_item_features,  # E4
+    "feature_join_labelled": q_feature_join_labelled,  # C4 J2 J3 J4 P5-P7
+    "feature_join_unlabelled": q_feature_join_unlabelled,  # C4 D8
+    "multi_split_features": q_multi_split_features,  # E1
+    "training_multi_split": q_training_multi_split,  # E1 C4
+    "log_by_day": q_log_by_day,  # E2 K1 S2
+    "eval_metrics": q_eval_metrics,  # A14 A15 F5-F7 D7
+    "stream_filter_log": q_stream_filter_log,  # C1 as a stream
+    "libsvm_roundtrip": q_libsvm_roundtrip,  # C5 K4 S7 P11
+    "gbt_holdout": q_gbt_holdout,  # M1 M3 M4
+    "rf_holdout": q_rf_holdout,  # M2 M3 M4
+    "submission": q_submission,  # E3
 }
