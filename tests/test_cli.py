@@ -11,7 +11,7 @@ from cartcast.sinks.writers import log_as_text
 from conftest import ORIGIN
 
 
-def test_pipeline_of_jobs(spark, golden_log):
+def test_chained_jobs(spark, golden_log):
     base = Path(tempfile.mkdtemp(prefix="cartcast-cli-"))
     raw = base / "raw"
     log_as_text(golden_log).write.option("header", True).csv(str(raw))
