@@ -12,16 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import DateLike, as_date, day_of, hour_index, time_range
-from cartcast.operators.features import (
-    B,
-    DAY,
-    HOUR,
-    I,
-    U,
-    daily_aggs,
-    ui_features_from_pair_days,
-)
+from cartcast.functions.time import DateLike, as_date
+from cartcast.operators.features import DAY, I, U, pair_days, ui_features_from_pair_days
 from cartcast.operators.labels import buys_on_days
 from cartcast.operators.profiles import profile_from_pair_days
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig
@@ -34,22 +26,21 @@ SPLIT = "split_date"
 
 
 def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: DateLike):
-    """``pair_days`` for several split dates in one scan, keyed by ``split_date``.
+    """``pair_days`` for several split dates, keyed by ``split_date``.
 
-    Each log row is repeated once per split it precedes (a generator over a
-    short literal array, not a join). Returns the table and the split hour as
-    a SQL expression over ``split_date``.
+    Pair-day rows do not depend on the split, so the log is aggregated once
+    (up to the last split) and each row is repeated once per split its day
+    precedes (a generator over a short literal array, not a join). Returns
+    the table and the split hour as a SQL expression over ``split_date``.
     """
     dates = sorted({as_date(s) for s in splits})
     if not dates:
         raise ValueError("give at least one split date")
     arr = F.array(*[F.lit(d) for d in dates])
-    rows = log.where(time_range(log.columns, end=dates[-1])).select(
-        U, I, F.col(B).cast("int").alias(B), hour_index("ts", origin).alias(HOUR), day_of("ts").alias(DAY)
-    )
-    fanned = rows.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
+    daily = pair_days(log, dates[-1], origin)
+    fanned = daily.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
     sh = f"datediff({SPLIT}, DATE'{as_date(origin).isoformat()}') * 24"
-    return fanned.groupBy(SPLIT, U, I, DAY).agg(*daily_aggs(sh)), sh
+    return fanned.select(SPLIT, *daily.columns), sh
 
 
 def multi_split_features(
@@ -89,8 +80,8 @@ def multi_split_training(
     # Profiles are small and read twice (hot keys, join): write them. Their
     # pair counts per key weigh the hot-key split, so the wide pair table is
     # computed once, inside the join, and never written.
-    users = cut_lineage(profile_from_pair_days(daily, U, I, g), "user_profiles")
-    items = cut_lineage(profile_from_pair_days(daily, I, U, g), "item_profiles")
+    users = cut_lineage(profile_from_pair_days(daily, U, I, sh, g), "user_profiles")
+    items = cut_lineage(profile_from_pair_days(daily, I, U, sh, g), "item_profiles")
     buys = buys_on_days(log, label_days, SPLIT) if label_days else None
     return training_table(
         ui, users, items, buys, skew=skew, group=g, user_weight="item_count", item_weight="user_count"

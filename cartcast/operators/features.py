@@ -167,7 +167,7 @@ def item_day_activity(
     daily = pair_days(log, split, origin, counts=[], first_last=False)
     if materialize:
         daily = cut_lineage(daily, "pair_days")
-    user = user_day_totals(daily)
+    user = user_day_totals(daily, split_hour(split, origin))
     if materialize:
         user = cut_lineage(user, "users")
     hot = hot_keys(user, [U], "_item_days", skew)
@@ -217,9 +217,9 @@ def pair_days(
     """Per (user, item, day) before the split: window counts, first and last
     hour of each behaviour, rows and buys. The one pass over the raw log that
     every feature derives from; partially aggregated before its shuffle.
-    ``counts`` and ``first_last`` trim it for consumers that need less."""
-    sh = split_hour(split, origin)
-    return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(sh, counts, first_last))
+    ``counts`` and ``first_last`` trim it for consumers that need less. Its
+    rows do not depend on the split; only which days it holds does."""
+    return horizon(log, split, origin).groupBy(U, I, DAY).agg(*daily_aggs(counts, first_last))
 
 
 def _day_count(b: int) -> str:
@@ -227,36 +227,42 @@ def _day_count(b: int) -> str:
     return "_nb" if b == BUY else f"_n{b}"
 
 
-def window_of_row(b: int, w: int) -> str:
-    """SQL text: a ``pair_days`` row's count of behaviour ``b`` in window ``w``.
+def window_of_row(b: int, w: int, sh: SplitHour) -> str:
+    """SQL text: a ``pair_days`` row's count of behaviour ``b`` in window ``w``
+    for the split at hour ``sh``.
 
-    Windows of whole days (24, 72, 168, 720 h) end at the split midnight, so
-    a day lies entirely inside or entirely outside them: the day's count
-    counts when the day's midnight is at most ``w`` hours before the split
-    (``_day_age``). Shorter windows reach into the last day only and are
-    stored as counts of their own.
+    Windows end at the split midnight. Those of whole days (24, 72, 168,
+    720 h) hold a day entirely or not at all: the day's count counts when the
+    day's midnight is at most ``w`` hours before the split. Shorter windows
+    reach only into the last day before the split, where they are the day's
+    counts in its last ``w`` hours.
     """
+    day_age = f"({_sh(sh)} - _day_idx)"
     if w % 24 == 0:
-        return f"CASE WHEN _day_age <= {w} THEN {_day_count(b)} ELSE 0 END"
-    return count_col(b, w)
-
-
-def daily_aggs(
-    sh: SplitHour, counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool = True
-) -> list[Column]:
-    """Aggregates of a ``pair_days`` row: per-behaviour counts of the day, the
-    hours from the day's midnight to the split, counts for the windows
-    shorter than a day, and (``first_last``) first and last hour per behaviour."""
-    aggs = [_window_count(b, w, sh) for b, w in counts if w % 24]
+        return f"CASE WHEN {day_age} <= {w} THEN {_day_count(b)} ELSE 0 END"
+    return f"CASE WHEN {day_age} = 24 THEN {count_col(b, w)} ELSE 0 END"
+
+
+def daily_aggs(counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool = True) -> list[Column]:
+    """Aggregates of a ``pair_days`` row. None depends on the split: per
+    behaviour the day's count and its count in the day's last hours (for the
+    windows shorter than a day), the hour index of the day's midnight, and
+    (``first_last``) first and last hour per behaviour."""
+    hour_of_day = f"pmod({HOUR}, 24)"
+    aggs = [
+        F.expr(f"count_if({B} = {b} AND {hour_of_day} >= {24 - w})").alias(count_col(b, w))
+        for b, w in counts
+        if w % 24
+    ]
     aggs += [F.count_if(F.col(B) == b).alias(_day_count(b)) for b in BEHAVIOURS if b != BUY]
-    aggs += [F.expr(f"max({_sh(sh)} - ({HOUR} - pmod({HOUR}, 24)))").alias("_day_age")]
+    aggs += [F.expr(f"max({HOUR} - {hour_of_day})").alias("_day_idx")]
     if first_last:
         aggs += [c for b in BEHAVIOURS for c in _first_last(b)]
     aggs += [F.count(F.lit(1)).alias("_n"), F.count_if(F.col(B) == BUY).alias("_nb")]
     return aggs
 
 
-def user_day_totals(daily: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+def user_day_totals(daily: DataFrame, sh: SplitHour, group: tuple[str, ...] = ()) -> DataFrame:
     """Per user (A6-A8): active days, buy days, 720 h totals per behaviour,
     the pair-day rows (the split weight of the user), and ``_day_rows``, a map
     from each active day to the user's rows that day.
@@ -270,7 +276,7 @@ def user_day_totals(daily: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("_items_day"),
         F.sum("_n").alias("_ud"),
         F.sum("_nb").alias("_udb"),
-        *[F.expr(f"sum({window_of_row(b, LONG_WINDOW)})").alias(_tot(b)) for b in BEHAVIOURS],
+        *[F.expr(f"sum({window_of_row(b, LONG_WINDOW, sh)})").alias(_tot(b)) for b in BEHAVIOURS],
     )
     return per_day.groupBy(*g, U).agg(
         F.count(F.lit(1)).alias("active_days"),
@@ -309,14 +315,14 @@ def ui_features_from_pair_days(
     share their salt, so the aggregate combines fully before its shuffle.
     """
     g = list(group)
-    user = user_day_totals(daily, group)
+    user = user_day_totals(daily, sh, group)
     if materialize:
         user = cut_lineage(user, "users")
     hot_users = hot_keys(user, [*g, U], "_item_days", skew)
     joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
     per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS]]
     pair = joined.groupBy(*g, U, I).agg(
-        *[F.expr(f"sum({window_of_row(b, w)})").alias(count_col(b, w)) for b, w in NEEDED_COUNTS],
+        *[F.expr(f"sum({window_of_row(b, w, sh)})").alias(count_col(b, w)) for b, w in NEEDED_COUNTS],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],
         F.count(F.lit(1)).alias("item_days"),

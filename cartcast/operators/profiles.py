@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.functions.ratio import guarded_ratio
-from cartcast.functions.time import DateLike
-from cartcast.operators.features import DAY, I, U, pair_days, window_of_row
+from cartcast.functions.time import DateLike, split_hour
+from cartcast.operators.features import DAY, I, U, SplitHour, pair_days, window_of_row
 from cartcast.schema import BEHAVIOURS, BUY, VIEW, count_col
 
 PROFILE_WINDOWS = (24, 168, 720)
@@ -36,7 +36,7 @@ def profile_columns(other: str) -> list[str]:
 
 
 def profile_from_pair_days(
-    daily: DataFrame, key: str, other: str, group: tuple[str, ...] = ()
+    daily: DataFrame, key: str, other: str, sh: SplitHour, group: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per ``key`` (``user_id`` or ``item_id``) of ``pair_days``;
     ``group`` adds leading key columns (the split date of a multi-split table)."""
@@ -45,7 +45,7 @@ def profile_from_pair_days(
     sets = daily.groupingSets([[*g, key, DAY], [*g, key, other]], *g, key, DAY, other).agg(
         F.grouping_id().alias("_gid"),
         F.sum("_nb").alias("_nb"),
-        *[F.expr(f"sum({window_of_row(b, w)})").alias(count_col(b, w)) for b, w in PROFILE_PAIRS],
+        *[F.expr(f"sum({window_of_row(b, w, sh)})").alias(count_col(b, w)) for b, w in PROFILE_PAIRS],
     )
     # grouping_id bits follow (*group, key, day, other); 1 = rolled up.
     by_day = F.col("_gid") == 1
@@ -70,9 +70,9 @@ def _slim_pair_days(log: DataFrame, split: DateLike, origin: DateLike) -> DataFr
 
 def user_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per user active before the split."""
-    return profile_from_pair_days(_slim_pair_days(log, split, origin), U, I)
+    return profile_from_pair_days(_slim_pair_days(log, split, origin), U, I, split_hour(split, origin))
 
 
 def item_profile(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
     """One row per item touched before the split."""
-    return profile_from_pair_days(_slim_pair_days(log, split, origin), I, U)
+    return profile_from_pair_days(_slim_pair_days(log, split, origin), I, U, split_hour(split, origin))

@@ -55,8 +55,8 @@ def _training(spark, sf, split, labelled=True):
     daily = cut_lineage(features.pair_days(log, split, ORIGIN), "pair_days")
     sh = split_hour(split, ORIGIN)
     ui = features.ui_features_from_pair_days(daily, sh)
-    users = cut_lineage(profiles.profile_from_pair_days(daily, "user_id", "item_id"), "user_profiles")
-    items = cut_lineage(profiles.profile_from_pair_days(daily, "item_id", "user_id"), "item_profiles")
+    users = cut_lineage(profiles.profile_from_pair_days(daily, "user_id", "item_id", sh), "user_profiles")
+    items = cut_lineage(profiles.profile_from_pair_days(daily, "item_id", "user_id", sh), "item_profiles")
     buys = labels.day_buys(log, split) if labelled else None
     return training.training_table(ui, users, items, buys, user_weight="item_count", item_weight="user_count")
 

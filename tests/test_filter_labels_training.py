@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartcast.functions.time import split_hour
 from cartcast.operators.features import pair_days, ui_features
 from cartcast.operators.filter import filter_log, row_count
 from cartcast.operators.labels import attach_label, day_buys, positive_count
@@ -49,8 +50,9 @@ def test_training_table(spark, golden_log):
     split = "2014-12-16"
     feats = ui_features(golden_log, split, ORIGIN)
     daily = pair_days(golden_log, split, ORIGIN)
-    users = profile_from_pair_days(daily, "user_id", "item_id").where(F.col("user_id") != "u2")
-    items = profile_from_pair_days(daily, "item_id", "user_id")
+    sh = split_hour(split, ORIGIN)
+    users = profile_from_pair_days(daily, "user_id", "item_id", sh).where(F.col("user_id") != "u2")
+    items = profile_from_pair_days(daily, "item_id", "user_id", sh)
     buys = day_buys(golden_log, split)
     inner = training_table(feats, users, items, buys)
     assert sorted((r.user_id, r.item_id, r.label) for r in inner.collect()) == [("u1", "i1", 0), ("u1", "i2", 1)]
@@ -106,8 +108,8 @@ def test_multi_split_training_equals_single_splits(spark, golden_log):
         daily = pair_days(golden_log, s, ORIGIN)
         single = training_table(
             ui_features(golden_log, s, ORIGIN),
-            profile_from_pair_days(daily, "user_id", "item_id"),
-            profile_from_pair_days(daily, "item_id", "user_id"),
+            profile_from_pair_days(daily, "user_id", "item_id", split_hour(s, ORIGIN)),
+            profile_from_pair_days(daily, "item_id", "user_id", split_hour(s, ORIGIN)),
             day_buys(golden_log, s),
         )
         import datetime as dt
