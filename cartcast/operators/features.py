@@ -5,8 +5,9 @@ split day D. Counts look back over nested hour windows from that midnight;
 ratios relate a pair to the user's totals. The plan:
 
     H  = log rows with ts < D                       (pushed into the scan)
-    D1 = H  group by (user, item, day)              day counts per behaviour, counts
-                                                    for windows under a day, first/last
+    D1 = H  group by (user, item, day)              day counts per behaviour, counts in
+                                                    the day's last 1/3/6/12 h, first/last
+                                                    (no column depends on the split)
     U  = D1 group by (user, day), then user         totals, active/buy days,
                                                     day -> rows map (<= one entry per day)
     J  = D1 join U on user                          salted for hot users; each row
