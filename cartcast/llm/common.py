@@ -20,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_PARTS = 1000
 HOT_LEAST = 100
 
+# Rows of a few fixed-width columns that are broadcast at most: tens of MB.
+SMALL_ROWS = 1_000_000
+
 
 _shipped: set[str] = set()
 
@@ -87,3 +90,14 @@ def attach(
     return rows.join(hot, key, "inner").unionByName(
         rows.join(hot.select(*key), key, "left_anti").join(cold, key, how), allowMissingColumns=False
     )
+
+
+def with_small_side(rows: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join to a side of fixed-width columns that is often, not always, small.
+
+    The side is counted; up to ``SMALL_ROWS`` rows it is broadcast, so the wide
+    rows stay where they are, and beyond that both sides are shuffled.
+    """
+    if side.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(side), list(on))
+    return rows.hint("merge").join(side, list(on))

@@ -200,12 +200,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def keep_good(
+    docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text"
+) -> DataFrame:
     """Documents whose text scores at least ``threshold``, all their columns kept.
 
-    The score is attached where the text lies, so nothing is shuffled.
+    ``labelled_docs`` holds the texts that ``labels`` speak of. The score is
+    attached where the text lies, so nothing is shuffled.
     """
-    model = fit(docs, labels, where=training_rows()).astype(np.float32)
+    model = fit(labelled_docs, labels, where=training_rows()).astype(np.float32)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

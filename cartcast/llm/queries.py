@@ -8,9 +8,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from cartcast.llm.common import read_table, ship_package
+from cartcast.llm.embedding_dedup import near_duplicates
 from cartcast.llm.exact_dedup import exact_duplicates
+from cartcast.llm.licenses import license_scan
+from cartcast.llm.mixing import DOMAINS, domain_labels, mixed
+from cartcast.llm.ngram_join import jaccard_links
 from cartcast.llm.packing import best_fit_packing
 from cartcast.llm.quality import quality_scores
+from cartcast.llm.substring_dedup import repeated_spans
+from cartcast.llm.toxicity import toxicity_scores
+from cartcast.llm.url_filter import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +28,31 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(read_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    return mixed(read_table(spark, sf_dir, "documents"), domain_labels(labels), DOMAINS)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -33,6 +65,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +81,16 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: _shipped(f)
     for f in (
+        op1_substring_dedup,
+        op2_ngram_join,
+        op3_embedding_dedup,
+        op4_toxicity,
+        op5_url_filter,
+        op6_mixing,
         op7_quality,
         op8_packing,
         op9_exact_dedup,
+        op10_license_scan,
     )
 }
 
