@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import cartcast
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +103,20 @@ def with_small_side(rows: DataFrame, side: DataFrame, on: Sequence[str]) -> Data
     if side.count() <= SMALL_ROWS:
         return rows.join(F.broadcast(side), list(on))
     return rows.hint("merge").join(side, list(on))
+
+
+LINKS = "node long, n long, other long"
+
+
+def link_rows(nodes: np.ndarray, counts: np.ndarray, edges: Sequence[tuple[int, int]]) -> pd.DataFrame:
+    """Rows of ``LINKS``: link counts of the nodes that have any (other null), then forest edges (n 0)."""
+    some = np.flatnonzero(counts)
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    other = np.concatenate([np.zeros(len(some), np.int64), ends[:, 1]])
+    return pd.DataFrame(
+        {
+            "node": np.concatenate([nodes[some].astype(np.int64), ends[:, 0]]),
+            "n": np.concatenate([counts[some], np.zeros(len(ends))]).astype(np.int64),
+            "other": pd.arrays.IntegerArray(other, np.arange(len(other)) < len(some)),
+        }
+    )

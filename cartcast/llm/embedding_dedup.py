@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartcast.llm.common import attach, staged
+from cartcast.llm.common import LINKS, attach, link_rows, staged
 from cartcast.llm.components import components
 
 THRESHOLD = 0.95
@@ -169,15 +169,14 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> D
     """Rows (node, linked copies, other): counts have other null, forest edges a count of 0."""
     spark = nodes.sparkSession
     sizes = nodes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).collect()
-    schema = "node long, n long, other long"
-    out = spark.createDataFrame([], schema)
+    out = spark.createDataFrame([], LINKS)
     # Vectors of different width have no cosine, so each width is a table of its own.
     for size in sizes:
-        out = out.unionByName(_links_of_width(nodes.where(F.size("v") == size["width"]), size["width"], size["n"], threshold, tile, schema))
+        out = out.unionByName(_links_of_width(nodes.where(F.size("v") == size["width"]), size["width"], size["n"], threshold, tile))
     return out
 
 
-def _links_of_width(nodes, width, n, threshold, tile, schema) -> DataFrame:
+def _links_of_width(nodes, width, n, threshold, tile) -> DataFrame:
     axes = principal_axes(nodes, width)
     lead = axes[:, : min(2, width)]
 
@@ -206,16 +205,9 @@ def _links_of_width(nodes, width, n, threshold, tile, schema) -> DataFrame:
         raw, two = _matrix(pdf["v"]), pair[:3] != pair[3:]
         node = pdf["node"].to_numpy()
         counts, edges = compare(node, pdf["copies"].to_numpy(float), raw, pdf["side"].to_numpy(), two, axes, threshold)
-        some = counts > 0
-        return pd.DataFrame(
-            {
-                "node": np.concatenate([node[some], [e[0] for e in edges]]).astype("int64"),
-                "n": np.concatenate([counts[some], np.zeros(len(edges))]).astype("int64"),
-                "other": pd.array([None] * int(some.sum()) + [e[1] for e in edges], dtype="Int64"),
-            }
-        )
+        return link_rows(node, counts, edges)
 
-    return dealt.groupBy(*PAIR).applyInPandas(run, schema)
+    return dealt.groupBy(*PAIR).applyInPandas(run, LINKS)
 
 
 PAIR = ("i1", "j1", "s1", "i2", "j2", "s2")

@@ -104,10 +104,11 @@ def with_posteriors(docs: DataFrame, table: Column, priors: list[float], id_col:
     rows = rows.select(
         *keep, "__mx_id", F.size(w).cast("long").alias("__mx_tokens"), F.transform(w, slot).alias("__mx_slots"), table.alias("__mx_table")
     )
-    sums = [
-        F.aggregate("__mx_slots", F.lit(0.0), lambda acc, s, k=k: acc + F.get("__mx_table", s + k * SLOTS).cast("double"))
-        for k in range(len(priors))
-    ]
+
+    def log_likelihood(k: int) -> Column:
+        return F.aggregate("__mx_slots", F.lit(0.0), lambda acc, s: acc + F.get("__mx_table", s + k * SLOTS).cast("double"))
+
+    sums = [log_likelihood(k) for k in range(len(priors))]
     size = F.greatest(F.col("__mx_tokens"), F.lit(1)).cast("double")
     logits = F.array(*[F.lit(prior) + SHARPNESS * s / size for prior, s in zip(priors, sums)])
     rows = rows.select(*keep, "__mx_id", "__mx_tokens", logits.alias("__mx_z"))

@@ -28,7 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartcast.llm.common import HOT_LEAST, HOT_PARTS, SMALL_ROWS, attach, staged, with_small_side
+from cartcast.llm.common import (
+    HOT_LEAST,
+    HOT_PARTS,
+    LINKS,
+    SMALL_ROWS,
+    attach,
+    link_rows,
+    staged,
+    with_small_side,
+)
 from cartcast.llm.components import components
 from cartcast.llm.words import FOLD, NOT_SPACE, blocks, find_words, mix, ngram_hash
 
@@ -381,19 +390,17 @@ def cluster_links(docs: DataFrame, members: DataFrame, shingle: int, percent: in
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, a, b, _ = key
-        out: list[tuple] = []
+        out = [link_rows(np.zeros(0, np.int64), np.zeros(0), [])]
         for _, own in pdf.drop_duplicates(["root", "node", "part"]).groupby("root", sort=False):
             if len(own) < 2:
                 continue
             node = own["node"].to_numpy()
             sets = [np.frombuffer(k, np.uint64) for k in own["keys"]]
             side = (own["part"].to_numpy() == b).astype(int)
-            counts, edges = join_sets(node, own["copies"].to_numpy(float), sets, side, a != b, percent)
-            out += [(int(node[i]), int(counts[i]), None) for i in np.flatnonzero(counts)] + [(x, 0, y) for x, y in edges]
-        frame = pd.DataFrame(out, columns=["node", "n", "other"])
-        return frame.astype({"node": "int64", "n": "int64", "other": "Int64"})
+            out.append(link_rows(node, *join_sets(node, own["copies"].to_numpy(float), sets, side, a != b, percent)))
+        return pd.concat(out, ignore_index=True)
 
-    return dealt.groupBy("task", "a", "b", "parts").applyInPandas(run, "node long, n long, other long")
+    return dealt.groupBy("task", "a", "b", "parts").applyInPandas(run, LINKS)
 
 
 def jaccard_links(
