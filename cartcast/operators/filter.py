@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest catalogue (rows, duplicates included) that is broadcast to every
-# task. Above it the filter is a shuffled semi-join.
-BROADCAST_MAX_ROWS = 5_000_000
-
 
 def catalogue_keys(items: DataFrame) -> DataFrame:
-    """Item ids of the catalogue, duplicates included."""
+    """A1: item ids of the catalogue. Duplicates may stay: a semi-join ignores them."""
     return items.select("item_id").where(F.col("item_id").isNotNull())
 
 
@@ -20,28 +16,17 @@ def distinct_items(items: DataFrame) -> DataFrame:
     return catalogue_keys(items).distinct()
 
 
-def fits_broadcast(keys: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether ``keys`` has at most ``max_rows`` rows. Counts at most
-    ``max_rows + 1`` of them, so the check stays cheap for a huge table."""
-    return keys.limit(max_rows + 1).count() <= max_rows
-
-
-def filter_log(
-    log: DataFrame, items: DataFrame, broadcast_max_rows: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
+def filter_log(log: DataFrame, items: DataFrame) -> DataFrame:
     """Log rows whose ``item_id`` is in ``items``.
 
-    The catalogue size is checked first (``fits_broadcast``). Within
-    the limit its distinct ids are broadcast and the log is filtered where it
-    is read, with no shuffle. Beyond it both sides are shuffled on
-    ``item_id``; the catalogue is then not de-duplicated (a semi-join ignores
-    duplicates), so its shuffle sits right under the join and AQE's skew-join
-    rule can split a hot item's partition on the log side.
+    No hint and no action: Spark broadcasts the catalogue when its size in
+    bytes is below ``spark.sql.autoBroadcastJoinThreshold``, as estimated from
+    its files or, under AQE, as measured. Otherwise both sides are shuffled on
+    ``item_id``; the catalogue is not de-duplicated, so its shuffle sits right
+    under the join and AQE's skew-join rule can split a hot item's partition on
+    the log side.
     """
-    keys = catalogue_keys(items)
-    if fits_broadcast(keys, broadcast_max_rows):
-        return log.join(F.broadcast(keys.distinct()), "item_id", "left_semi")
-    return log.join(keys, "item_id", "left_semi")
+    return log.join(catalogue_keys(items), "item_id", "left_semi")
 
 
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:

@@ -6,8 +6,9 @@ plain shuffle join sends all rows of one key to one task, so a single user
 holding a third of the log would make one task do a third of the work.
 
 Here the heaviest keys are split. ``hot_keys`` picks, from per-key weights,
-the keys heavier than ``rows_per_split`` (at most ``max_hot_keys`` of them, the
-proven bound of what is broadcast) and gives each a split count.
+the keys heavier than ``rows_per_split`` and than a ``1/MAX_HOT_KEYS`` share of
+the total weight, so fewer than ``MAX_HOT_KEYS`` keys can qualify: that is the
+proven bound of what is broadcast. Each gets a split count.
 ``salted_join`` then spreads a hot key's fine rows over that many salts by a
 hash of the other columns, and repeats its coarse rows once per salt, so each
 salt is a separate join key and a separate task. Cold keys keep salt 0 and
@@ -27,19 +28,18 @@ SPLITS = "_n_split"
 SALT = "_salt"
 
 
+# A key is hot only with more than this share's reciprocal of all rows.
+MAX_HOT_KEYS = 100_000
+
+
 @dataclass(frozen=True)
 class SkewConfig:
-    # A key with more fine rows than this is split into ceil(rows / this) parts.
+    # Rows of one key that a task takes unsplit. In a table so large that
+    # 1/MAX_HOT_KEYS of it is more, that share takes its place.
     rows_per_split: int = 1_000_000
-    # At most this many keys are split; the hot-key table never has more rows.
-    max_hot_keys: int = 10_000
-    # Largest number of parts one key is split into. A split costs one extra
-    # coarse row, so this is generous: a key with a third of 10^12 rows still
-    # ends in parts of a few million rows.
-    max_splits: int = 100_000
 
     def __post_init__(self):
-        if self.rows_per_split < 1 or self.max_hot_keys < 1 or self.max_splits < 1:
+        if self.rows_per_split < 1:
             raise ValueError("skew settings must be positive")
 
 
@@ -54,23 +54,17 @@ def key_weights(fine: DataFrame, keys: Sequence[str], name: str = "_weight") ->
 def hot_keys(
     weights: DataFrame, keys: Sequence[str], weight_col: str, cfg: SkewConfig = DEFAULT_SKEW
 ) -> DataFrame:
-    """``keys..., _n_split`` for the heaviest keys above the threshold.
+    """``keys..., _n_split`` for every key above the threshold.
 
-    A top-k, so the table has at most ``cfg.max_hot_keys`` rows whatever the
-    data size; keys beyond the k heaviest are still joined exactly, unsplit.
-    The top-k's single merge task receives only keys above the threshold, at
-    most (total weight / ``rows_per_split``) rows, since weights sum to the
-    fine table's row count.
+    The threshold is the larger of ``rows_per_split`` and a ``1/MAX_HOT_KEYS``
+    share of the total weight, so the table has fewer than ``MAX_HOT_KEYS``
+    rows by arithmetic, and a key is split into at most ``MAX_HOT_KEYS`` parts.
+    The total is a scalar subquery, evaluated where the table is used.
     """
-    parts = F.least(
-        F.lit(cfg.max_splits).cast("long"),
-        F.ceil(F.col(weight_col) / F.lit(float(cfg.rows_per_split))).cast("long"),
-    ).cast("int")
-    return (
-        weights.where(F.col(weight_col) > F.lit(cfg.rows_per_split))
-        .orderBy(F.col(weight_col).desc())
-        .limit(cfg.max_hot_keys)
-        .select(*keys, parts.alias(SPLITS))
+    total = weights.agg((F.coalesce(F.sum(weight_col), F.lit(0)) / F.lit(float(MAX_HOT_KEYS))).alias("share")).scalar()
+    limit = F.greatest(F.lit(float(cfg.rows_per_split)), total)
+    return weights.where(F.col(weight_col) > limit).select(
+        *keys, F.ceil(F.col(weight_col) / limit).cast("int").alias(SPLITS)
     )
 
 
@@ -81,25 +75,29 @@ def salted_join(
     hot: DataFrame,
     how: str = "inner",
     spread: Sequence[str] | None = None,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``fine`` to ``coarse`` on ``on``, splitting the keys listed in ``hot``.
 
     ``spread`` names the fine columns hashed to pick a salt (default: all
     non-key columns); rows that agree on them land on the same salt, so they
     should tell the rows of one key apart. ``how`` is ``inner`` or ``left``.
+    ``keep_salt`` keeps the salt column: grouping by the key, the spread columns
+    and the salt then needs no further shuffle.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     on = list(on)
     spread = list(spread) if spread else [c for c in fine.columns if c not in on]
-    bounded = F.broadcast(hot)  # at most SkewConfig.max_hot_keys rows
+    bounded = F.broadcast(hot)  # fewer than MAX_HOT_KEYS rows
     salt = F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(
         F.pmod(F.xxhash64(*spread), F.col(SPLITS).cast("long")).cast("int")
     )
     fine_s = fine.join(bounded, on, "left").select("*", salt.alias(SALT)).drop(SPLITS)
     copies = F.expr(f"explode(sequence(0, coalesce({SPLITS}, 1) - 1))")
     coarse_s = coarse.join(bounded, on, "left").select("*", copies.alias(SALT)).drop(SPLITS)
-    return fine_s.join(coarse_s, [*on, SALT], how).drop(SALT)
+    joined = fine_s.join(coarse_s, [*on, SALT], how)
+    return joined if keep_salt else joined.drop(SALT)
 
 
 def skew_join(

@@ -11,9 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cartcast.operators.filter import BROADCAST_MAX_ROWS, catalogue_keys, fits_broadcast
+from cartcast.operators.filter import filter_log
 from cartcast.session import shared_path
 from cartcast.sources.events import log_from_events
 
@@ -27,7 +25,6 @@ def start_filter_stream(
     to_log: Callable[[DataFrame], DataFrame] = log_from_events,
     file_glob: str = "*.parquet",
     available_now: bool = True,
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ):
     """Start the stream; returns the ``StreamingQuery``.
 
@@ -43,10 +40,7 @@ def start_filter_stream(
         .option("maxFilesPerTrigger", 64)
         .parquet(source_dir)
     )
-    keys = catalogue_keys(items)
-    if fits_broadcast(keys, broadcast_max_rows):
-        keys = F.broadcast(keys.distinct())
-    filtered = to_log(stream).join(keys, "item_id", "left_semi")
+    filtered = filter_log(to_log(stream), items)
     writer = (
         filtered.writeStream.format("parquet")
         .option("path", sink_path)

@@ -63,7 +63,7 @@ def ints(text):
     return [int(x) for x in text.replace(" ", ",").split(",")]
 
 
-SKEWS = [SkewConfig(), SkewConfig(rows_per_split=1, max_splits=3)]
+SKEWS = [SkewConfig(), SkewConfig(rows_per_split=1)]
 
 
 @pytest.mark.parametrize("skew", SKEWS, ids=["plain", "salted"])
@@ -132,3 +132,16 @@ def test_hour_zero_first_last_is_min_max(spark):
     assert got["span_view"] == 5 and got["since_last_view"] == 24 - 5
     only_zero = ui_features(spark.createDataFrame(rows[:1], LOG_DDL), "2014-11-19", ORIGIN).first()
     assert only_zero["span_view"] == 0 and only_zero["since_last_view"] == 24
+
+
+def test_windows_that_end_inside_a_day(spark, golden_log):
+    """36 h before 12-16 00:00 is 12-14 12:00: part of a day and a whole one."""
+    from cartcast.operators.features import window_counts
+
+    windows = (36, 25, 3)
+    want = by_pair(window_counts(golden_log, "2014-12-16", ORIGIN, windows))
+    got = by_pair(ui_features(golden_log, "2014-12-16", ORIGIN, windows=windows))
+    names = [f"{b}_{w}h" for w in windows for b in ("view", "fav", "cart", "buy")]
+    assert {k: [v[n] for n in names] for k, v in got.items()} == {k: [v[n] for n in names] for k, v in want.items()}
+    with pytest.raises(ValueError):
+        ui_features(golden_log, "2014-12-16", ORIGIN, windows=(0,))

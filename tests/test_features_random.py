@@ -108,7 +108,7 @@ def test_random_logs_match_restatement(spark, seed, mode):
     rows = random_log(seed)
     log = spark.createDataFrame(rows, LOG_DDL)
     for split in ("2024-01-20", "2024-02-01"):
-        skew = SkewConfig(rows_per_split=3, max_splits=4) if seed == 2 else SkewConfig()
+        skew = SkewConfig(rows_per_split=3) if seed == 2 else SkewConfig()
         got = by_pair(Fe.ui_features(log, split, ORIGIN, ratio_mode=mode, skew=skew))
         assert_same(got, brute_features(rows, split, mode))
 

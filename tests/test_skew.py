@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
+from cartcast.operators import skew
 from cartcast.operators.skew import SkewConfig, hot_keys, key_weights, salted_join, skew_join
 
 
@@ -30,17 +31,24 @@ def skewed(spark):
 def test_salted_equals_plain(spark, skewed, how):
     fine, coarse = skewed
     plain = fine.join(coarse, "user_id", how)
-    cfg = SkewConfig(rows_per_split=10, max_hot_keys=5, max_splits=7)
+    cfg = SkewConfig(rows_per_split=10)
     salted = skew_join(fine, coarse, ["user_id"], how, cfg, spread=["item_id"])
     assert rows(salted) == rows(plain)
 
 
-def test_hot_keys_are_bounded_and_split(spark):
+def test_every_key_above_the_threshold_is_split(spark):
     weights = spark.createDataFrame([(f"u{n}", 10 * n) for n in range(1, 11)] + [("hot", 5000)], "user_id string, w long")
-    hot = hot_keys(weights, ["user_id"], "w", SkewConfig(rows_per_split=15, max_hot_keys=3, max_splits=50))
+    hot = hot_keys(weights, ["user_id"], "w", SkewConfig(rows_per_split=15))
     got = {r["user_id"]: r["_n_split"] for r in hot.collect()}
-    # 10 keys exceed the threshold; only the 3 heaviest are listed (the bound)
-    assert got == {"hot": 50, "u10": 7, "u9": 6}  # ceil(w / 15), capped at max_splits
+    assert got == {"hot": 334} | {f"u{n}": -(-10 * n // 15) for n in range(2, 11)}
+
+
+def test_hot_keys_are_bounded_by_their_share(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 4)
+    weights = spark.createDataFrame([(f"u{n}", 100) for n in range(10)] + [("a", 900), ("b", 501)], "user_id string, w long")
+    hot = hot_keys(weights, ["user_id"], "w", SkewConfig(rows_per_split=1))
+    # total 2401: only keys above a quarter of it can be hot, so fewer than four
+    assert {r["user_id"]: r["_n_split"] for r in hot.collect()} == {"a": 2}
 
 
 def test_hot_key_rows_spread_over_salts(spark, skewed):
@@ -60,7 +68,7 @@ def test_plan_broadcasts_only_hot_table(spark, skewed):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan  # the big join stays a shuffle join
-    assert "TakeOrderedAndProject" in plan  # hot keys are a bounded top-k
+    assert "BroadcastHashJoin" in plan  # the hot keys, fewer than MAX_HOT_KEYS
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
@@ -74,14 +82,12 @@ keys = st.sampled_from(["a", "b", "c", "d", None])
     fine=st.lists(st.tuples(keys, st.integers(0, 30)), min_size=0, max_size=60),
     coarse=st.lists(st.tuples(keys, st.integers(0, 5)), min_size=0, max_size=8),
     rows_per_split=st.integers(1, 10),
-    max_hot_keys=st.integers(1, 3),
-    max_splits=st.integers(1, 6),
     how=st.sampled_from(["inner", "left"]),
 )
-def test_salted_join_property(spark, fine, coarse, rows_per_split, max_hot_keys, max_splits, how):
+def test_salted_join_property(spark, fine, coarse, rows_per_split, how):
     f = spark.createDataFrame(fine, "k string, v int")
     c = spark.createDataFrame(coarse, "k string, w int")
-    cfg = SkewConfig(rows_per_split=rows_per_split, max_hot_keys=max_hot_keys, max_splits=max_splits)
+    cfg = SkewConfig(rows_per_split=rows_per_split)
     assert rows(skew_join(f, c, ["k"], how, cfg, spread=["v"])) == rows(f.join(c, "k", how))
 
 
