@@ -55,10 +55,6 @@ RAW_ITEMS = T.StructType(
     ]
 )
 
-# Columns every normalised log carries (ids keep the type they were read with).
-LOG_COLUMNS = ("user_id", "item_id", "behavior_type", "ts")
-
-
 def count_col(behaviour: int, window: int) -> str:
     return f"{BEHAVIOURS[behaviour]}_{window}h"
 

@@ -7,10 +7,12 @@ and Spark runs in local mode (tests, the bench).
 
 from __future__ import annotations
 
+import atexit
 import math
-import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,20 +91,53 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is not set; point it at a folder every executor shares"
             )
         base = tempfile.mkdtemp(prefix="cartcast-ckpt-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
 
 
+# Paths handed out by ``shared_path`` and not yet removed, oldest first.
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cartcast/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/cartcast/{name}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file checks in tests."""
-    return path[5:] if path.startswith("file:") else os.fspath(path)
+def cleanup(spark: SparkSession, since: int = 0) -> int:
+    """Remove the intermediate tables written so far; returns how many.
+
+    Results are lazy and read these tables, so call it when a result has been
+    written or collected. ``since`` (a former ``len(written())``) leaves older
+    ones alone.
+    """
+    paths, _written[since:] = _written[since:], []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(target.getFileSystem(conf).delete(target, True))
+    return removed
+
+
+def written() -> list[str]:
+    """Paths of the intermediate tables that have not been removed."""
+    return list(_written)
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Scope that removes, at its end, the intermediate tables written inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        cleanup(spark, before)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from cartcast.schema import BUY, CART, FAV, VIEW
 
 EVENT_BEHAVIOUR = {"view": VIEW, "click": FAV, "signup": CART, "purchase": BUY}
-EVENTS_ORIGIN = "2024-01-01"
 CATALOGUE_TYPE = "ECONOMY"
 
 

@@ -7,7 +7,7 @@ longs from Parquet); nothing downstream depends on the id type.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartcast.functions.time import DateLike, as_date, parse_log_time
@@ -21,9 +21,15 @@ def read_log_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Header rows are dropped by their first field (F1), so a raw file with a
     header, a filtered file without one, and concatenations of both read alike.
-    Empty fields become NULL.
+    Lines are split at every comma (X1: the format has no quoting) and trimmed
+    (X4); empty and missing fields become NULL, and fields beyond the sixth are
+    ignored. A blank line is a row of NULLs, which ``parse_log`` rejects; Spark's
+    CSV reader would skip it unseen.
     """
-    raw = spark.read.schema(RAW_LOG).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    fields = F.split(F.col("value"), ",", -1)
+    raw = spark.read.text(path).select(
+        *[F.nullif(F.trim(F.get(fields, F.lit(k))), F.lit("")).alias(f.name) for k, f in enumerate(RAW_LOG)]
+    )
     return raw.where(F.col("user_id").isNull() | (F.col("user_id") != F.lit(HEADER_MARK)))
 
 
@@ -33,8 +39,10 @@ Calendar = tuple[DateLike, DateLike]
 def _parsed(raw: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     behaviour = F.col("behavior_type").try_cast("int")
     ts = parse_log_time("time")
+    blank = F.coalesce(*[F.col(f.name) for f in RAW_LOG]).isNull()
     reason = (
-        F.when(F.col("user_id").isNull(), F.lit("missing user_id"))
+        F.when(blank, F.lit("blank line"))
+        .when(F.col("user_id").isNull(), F.lit("missing user_id"))
         .when(F.col("item_id").isNull(), F.lit("missing item_id"))
         .when(behaviour.isNull() | ~behaviour.isin(*VALID_CODES), F.lit("bad behavior_type"))
         .when(ts.isNull(), F.lit("bad time"))
@@ -79,16 +87,3 @@ def read_log(spark: SparkSession, path: str | list[str], calendar: Calendar | No
 def read_log_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A log already written by ``write_log`` (typed Parquet)."""
     return spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
-
-
-def valid_log(log: DataFrame, *, extra: Column | None = None) -> DataFrame:
-    """Guard for typed logs from any source: keys present, behaviour in 1..4."""
-    cond = (
-        F.col("user_id").isNotNull()
-        & F.col("item_id").isNotNull()
-        & F.col("behavior_type").isin(*VALID_CODES)
-        & F.col("ts").isNotNull()
-    )
-    if extra is not None:
-        cond = cond & extra
-    return log.where(cond)

@@ -26,7 +26,8 @@ def ui_feature_schema() -> T.StructType:
 
 def read_ui_features(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """User-item feature table (S4). CSV rows whose first field is ``user_id``
-    (a header) are dropped; Parquet is read as written."""
+    (a header) are dropped, and so are rows without a user, which no join could
+    use; Parquet is read as written."""
     if fmt == "parquet":
         return spark.read.parquet(path)
     df = spark.read.schema(ui_feature_schema()).option("header", False).csv(path)
@@ -44,9 +45,9 @@ def read_keyed_features(
     """User (S5) or item (S6) feature table keyed by ``key``.
 
     CSV: with ``header`` the first line names the columns and must name the
-    key; without it the key is the first column. CSV values are text, so
-    every other column becomes DOUBLE (NULL where not a number) unless a
-    ``schema`` is given. Parquet is read as written.
+    key; without it the key is the first column. The other columns are carried
+    as they are: text, unless a ``schema`` is given (``assemble`` turns numbers
+    into DOUBLE and fails on what is not one). Parquet is read as written.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -57,8 +58,6 @@ def read_keyed_features(
         df = spark.read.option("header", header).option("inferSchema", False).csv(path)
         if not header:
             df = df.withColumnRenamed("_c0", key)
-        if key in df.columns:
-            df = df.select(key, *[F.col(c).try_cast("double").alias(c) for c in df.columns if c != key])
     if key not in df.columns:
         raise ValueError(f"feature table at {path} has no key column {key!r}")
     return df

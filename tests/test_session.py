@@ -1,9 +1,10 @@
-"""Session helpers: cluster sizing, the bounded broadcast check, the shared folder."""
+"""Session helpers: cluster sizing, the shared folder and what is written there."""
 
 from __future__ import annotations
 
-from cartcast.operators.filter import fits_broadcast
-from cartcast.session import cluster_conf, cut_lineage, ensure_checkpoint_dir, shared_path
+from pathlib import Path
+
+from cartcast.session import cluster_conf, cut_lineage, ensure_checkpoint_dir, intermediates, shared_path, written
 
 
 def test_cluster_conf_sizes_partitions():
@@ -14,9 +15,14 @@ def test_cluster_conf_sizes_partitions():
     assert conf["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
 
 
-def test_fits_broadcast_is_exact_at_the_limit(spark):
-    df = spark.range(10)
-    assert fits_broadcast(df, 10) and not fits_broadcast(df, 9)
+def test_intermediates_are_removed_at_the_end_of_their_scope(spark):
+    kept = cut_lineage(spark.range(3), "kept")
+    with intermediates(spark):
+        inner = cut_lineage(spark.range(5), "inner")
+        assert inner.count() == 5
+        path = Path(written()[-1].removeprefix("file:"))
+        assert path.exists()
+    assert not path.exists() and kept.count() == 3
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -56,7 +56,8 @@ def test_read_log_and_rejects(spark, raw_csv):
         ("u2", "i2", 4, dt.datetime(2014, 12, 1, 5), "geo"),  # duplicates count twice
         ("u6", "i6", 2, dt.datetime(2014, 10, 1, 0), "geo"),  # outside the old calendar, valid here
     ]
-    reasons = {r.user_id: r.reject_reason for r in log_rejects(text).collect()}
+    bad = log_rejects(text).where("reject_reason != 'blank line'")
+    reasons = {r.user_id: r.reject_reason for r in bad.collect()}
     assert reasons == {
         "u3": "bad time",
         "u4": "bad behavior_type",
@@ -64,6 +65,7 @@ def test_read_log_and_rejects(spark, raw_csv):
         None: "missing user_id",
         "u8": "bad time",
     }
+    assert log_rejects(text).where("reject_reason = 'blank line'").count() == 1
 
 
 def test_filtered_log_csv_round_trip(spark, raw_csv, workdir):
@@ -90,10 +92,14 @@ def test_catalogue_and_feature_tables(spark, golden_log, workdir):
 
     users = workdir / "users"
     users.mkdir()
-    (users / "part.csv").write_text("user_id,score,segment\nu1,0.5,a\nu2,1.5,b\n")
+    (users / "part.csv").write_text("user_id,score,segment\nu1,9007199254740993,gold\nu2,1.5,\n")
     uf = read_keyed_features(spark, str(users), "user_id")
-    assert uf.columns == ["user_id", "score", "segment"] and uf.count() == 2
-    assert dict(uf.dtypes)["score"] == "double"
+    assert uf.columns == ["user_id", "score", "segment"]
+    assert sorted(tuple(r) for r in uf.collect()) == [("u1", "9007199254740993", "gold"), ("u2", "1.5", None)]
+    numbers = assemble(uf, ["score"], keep=("user_id",))
+    assert sorted(r.features[0] for r in numbers.collect()) == [1.5, 9007199254740992.0]
+    with pytest.raises(Exception, match="not a number: gold"):
+        assemble(uf, ["score", "segment"], keep=("user_id",)).collect()
     with pytest.raises(ValueError):
         read_keyed_features(spark, str(users), "item_id")
 
@@ -111,6 +117,23 @@ def test_libsvm_round_trip(spark, golden_log, workdir):
     assert got == want
 
 
+def test_unlabelled_and_partly_labelled_libsvm(spark, workdir):
+    rows = spark.createDataFrame([("u", "i", 0.0, 2.0, 1), ("u", "j", 3.0, 0.0, None)], "user_id string, item_id string, a double, b double, label int")
+    path = str(workdir / "svm")
+    assert write_libsvm(rows.drop("label"), ["a", "b"], path) == 2
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["0.0 1:0.0 2:2.0", "0.0 1:3.0 2:0.0"]
+    write_libsvm(rows, ["a", "b"], path)  # an unknown label is not a negative
+    assert [r.value for r in spark.read.text(path).collect()] == ["1.0 1:0.0 2:2.0"]
+
+
+def test_log_by_day_files_follow_size(spark, workdir):
+    log = spark.range(4000).selectExpr("id user_id", "id % 7 item_id", "1 behavior_type", "timestamp_ntz'2014-12-01 00:00:00' + make_interval(0, 0, 0, cast(id % 20 as int)) ts")
+    path = workdir / "many"
+    log_by_day(spark, log.repartition(40), str(path))
+    files = [p for p in path.rglob("*.parquet")]
+    assert len(files) <= 40  # 20 days; one file per task and day would be 800
+
+
 def test_log_by_day(spark, golden_log, workdir):
     path = str(workdir / "by_day")
     back = log_by_day(spark, golden_log, path)
