@@ -8,6 +8,8 @@
     python -m cartcast libsvm   --table train --out train.svm
     python -m cartcast holdout  --train train.svm --test test.svm --model gbt \\
                                 --iterations 20 --depth 5 --step 0.1 --subsample 1.0
+    python -m cartcast score    --train train --day next_day --model rf --iterations 20 --depth 5 \\
+                                --out submission
 
 Under ``spark-submit`` pass ``--master ''`` to keep the submitted master. All
 reading and writing is done by Spark; nothing is collected but the metrics row.
@@ -19,12 +21,14 @@ import argparse
 import json
 import sys
 
-from cartcast.operators.extensions import multi_split_features
+from pyspark.sql import functions as F
+
+from cartcast.operators.extensions import multi_split_features, submission
 from cartcast.operators.features import ui_features
 from cartcast.operators.filter import filter_log, row_count
 from cartcast.operators.labels import day_buys, positive_count
 from cartcast.operators.models import confusion, gbt, predict, random_forest
-from cartcast.operators.training import feature_columns, training_table, write_libsvm
+from cartcast.operators.training import assemble, feature_columns, training_table, write_libsvm
 from cartcast.schema import ORIGINAL_CALENDAR, ORIGINAL_ORIGIN
 from cartcast.session import get_session
 from cartcast.sinks.writers import write_log, write_table
@@ -79,14 +83,25 @@ def _libsvm(spark, a):
 def _holdout(spark, a):
     train = read_libsvm(spark, a.train, a.num_features)
     test = read_libsvm(spark, a.test, a.num_features)
-    if a.model == "gbt":
-        est = gbt(a.iterations, a.depth, a.step, a.subsample, a.seed)
-    else:
-        est = random_forest(a.iterations, a.depth) if a.seed is None else random_forest(a.iterations, a.depth, a.seed)
-    metrics = confusion(predict(est.fit(train), test)).first()
+    metrics = confusion(predict(_estimator(a).fit(train), test)).first()
     return metrics.asDict()
 
 
+def _estimator(a):
+    if a.model == "gbt":
+        return gbt(a.iterations, a.depth, a.step, a.subsample, a.seed)
+    return random_forest(a.iterations, a.depth) if a.seed is None else random_forest(a.iterations, a.depth, a.seed)
+
+
+def _score(spark, a):
+    train, day = spark.read.parquet(a.train), spark.read.parquet(a.day)
+    cols = feature_columns(train)
+    train = train.where(F.col("label").isNotNull())
+    model = _estimator(a).fit(assemble(train, cols))
+    write_table(submission(model, assemble(day.drop("label"), cols)), a.out, a.format, header=a.header)
+    return {"out": a.out}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m cartcast")
     p.add_argument("--master", default="local[*]", help="'' keeps the master given to spark-submit")
@@ -144,6 +159,20 @@ def parser() -> argparse.ArgumentParser:
     h.add_argument("--subsample", type=float, default=1.0)
     h.add_argument("--seed", type=int, default=None)
     h.set_defaults(run=_holdout)
+
+    c = sub.add_parser("score", help="train on one training table, write the pairs predicted for another day")
+    c.add_argument("--train", required=True, help="labelled training table (Parquet)")
+    c.add_argument("--day", required=True, help="training table of the day to predict; a label is ignored")
+    c.add_argument("--model", choices=["gbt", "rf"], default="gbt")
+    c.add_argument("--iterations", type=int, required=True, help="boosting rounds or trees")
+    c.add_argument("--depth", type=int, required=True)
+    c.add_argument("--step", type=float, default=0.1)
+    c.add_argument("--subsample", type=float, default=1.0)
+    c.add_argument("--seed", type=int, default=None)
+    c.add_argument("--out", required=True)
+    c.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    c.add_argument("--header", action="store_true")
+    c.set_defaults(run=_score)
     return p
 
 

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartcast.functions.time import DateLike, as_date
 from cartcast.operators.features import DAY, I, U, pair_days, ui_features_from_pair_days
-from cartcast.operators.labels import buys_on_days
+from cartcast.operators.labels import attach_label, buys_on_days
 from cartcast.operators.profiles import profile_from_pair_days
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig
-from cartcast.operators.training import training_table
+from cartcast.operators.training import prefixed, training_table
 from cartcast.session import cut_lineage
 from cartcast.sinks.writers import write_log_by_day
 
@@ -29,15 +29,16 @@ def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: Da
     """``pair_days`` for several split dates, keyed by ``split_date``.
 
     Pair-day rows do not depend on the split, so the log is aggregated once
-    (up to the last split) and each row is repeated once per split its day
-    precedes (a generator over a short literal array, not a join). Returns
-    the table and the split hour as a SQL expression over ``split_date``.
+    (up to the last split) and written; when that table is read, each row is
+    repeated once per split its day precedes (a generator over a short literal
+    array, not a join), so what is stored does not grow with the splits.
+    Returns the table and the split hour as a SQL expression over ``split_date``.
     """
     dates = sorted({as_date(s) for s in splits})
     if not dates:
         raise ValueError("give at least one split date")
     arr = F.array(*[F.lit(d) for d in dates])
-    daily = pair_days(log, dates[-1], origin)
+    daily = cut_lineage(pair_days(log, dates[-1], origin), "pair_days")
     fanned = daily.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
     sh = f"datediff({SPLIT}, DATE'{as_date(origin).isoformat()}') * 24"
     return fanned.select(SPLIT, *daily.columns), sh
@@ -56,7 +57,6 @@ def multi_split_features(
     serves all splits.
     """
     daily, sh = multi_split_pair_days(log, splits, origin)
-    daily = cut_lineage(daily, "pair_days")
     return ui_features_from_pair_days(daily, sh, ratio_mode, skew, group=(SPLIT,))
 
 
@@ -69,23 +69,40 @@ def multi_split_training(
 ) -> DataFrame:
     """E1 + C4: training tables for several splits from one pass over the log.
 
-    Rows carry ``split_date``; ``label`` is 1 when the pair was bought on its
-    split day, for the days in ``label_days`` (a hold-out labels both its
-    training and its test day). Without ``label_days`` there is no label.
+    Rows carry ``split_date``; for the days in ``label_days`` (a hold-out labels
+    both its training and its test day) ``label`` is 1 when the pair was bought
+    on its split day, else 0. On the other splits it is NULL: nothing is known
+    of them. Without ``label_days`` there is no label.
     """
     daily, sh = multi_split_pair_days(log, splits, origin)
-    daily = cut_lineage(daily, "pair_days")
-    g = (SPLIT,)
-    ui = ui_features_from_pair_days(daily, sh, skew=skew, group=g)
-    # Profiles are small and read twice (hot keys, join): write them. Their
-    # pair counts per key weigh the hot-key split, so the wide pair table is
-    # computed once, inside the join, and never written.
-    users = cut_lineage(profile_from_pair_days(daily, U, I, sh, g), "user_profiles")
-    items = cut_lineage(profile_from_pair_days(daily, I, U, sh, g), "item_profiles")
-    buys = buys_on_days(log, label_days, SPLIT) if label_days else None
-    return training_table(
-        ui, users, items, buys, skew=skew, group=g, user_weight="item_count", item_weight="user_count"
-    )
+    days = sorted({as_date(d) for d in label_days or ()})
+    buys = buys_on_days(log, days, SPLIT) if days else None
+    known = F.col(SPLIT).isin(*days) if days else None
+    return training_from_pair_days(daily, sh, buys, skew, (SPLIT,), known)
+
+
+def training_from_pair_days(
+    daily: DataFrame,
+    sh,
+    buys: DataFrame | None = None,
+    skew: SkewConfig = DEFAULT_SKEW,
+    group: tuple[str, ...] = (),
+    label_known: Column | None = None,
+) -> DataFrame:
+    """C4 with both profiles, from the written ``pair_days`` table.
+
+    The user's profile rides along in the join that C2 makes on the user
+    anyway, and the label is joined next, where rows are already dealt by
+    pair; only the item's profile needs a join of its own. Profiles are small
+    and read more than once: they are written.
+    """
+    users = prefixed(profile_from_pair_days(daily, U, I, sh, group), [*group, U], "u_")
+    items = cut_lineage(profile_from_pair_days(daily, I, U, sh, group), "item_profiles")
+    ui = ui_features_from_pair_days(daily, sh, skew=skew, group=group, user_columns=users)
+    if buys is not None:
+        ui = attach_label(ui, buys, group=group, known=label_known)
+    out = training_table(ui, None, items, skew=skew, group=group, item_weight="user_count")
+    return out.select(*[c for c in out.columns if c != "label"], *(["label"] if buys is not None else []))
 
 
 def log_by_day(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:

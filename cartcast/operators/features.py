@@ -15,8 +15,10 @@ ratios relate a pair to the user's totals. The plan:
     F  = J  group by (user, item)                   rolled-up counts, day stats,
                                                     user values carried as max()
 
-No (user, day) join and no second user join are needed. Every aggregation
-combines map-side before its shuffle, and the one join splits heavy users
+No (user, day) join and no second user join are needed. The join's salt is a
+function of the item, so grouping by (user, item, salt) gives the pairs where
+the join left them, without another shuffle. Every other aggregation combines
+map-side before its shuffle, and the one join splits heavy users
 (``cartcast.operators.skew``), so one user holding a large share of the log is
 spread over many tasks. No step gathers a user's history in one place, unlike
 a group-by-user with per-user loops. D1 is read by two branches and U by two,
@@ -25,18 +27,19 @@ so both are written once (``cut_lineage``) and the raw log is scanned once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.functions.ratio import guarded_ratio_sql
 from cartcast.functions.time import DateLike, day_of, hour_index, split_hour, time_range
-from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, salted_join
+from cartcast.operators.skew import DEFAULT_SKEW, SALT, SkewConfig, hot_keys, salted_join
 from cartcast.session import cut_lineage
 from cartcast.schema import (
     BEHAVIOURS,
     BUY,
     CART,
-    COUNT_FEATURES,
     COUNT_WINDOWS,
     FAV,
     LONG_WINDOW,
@@ -51,9 +54,17 @@ B, HOUR, DAY = "behavior_type", "hour_idx", "day"
 
 # (behaviour, window) counts the features need: every behaviour in the written
 # windows, plus views in the 3 h and 12 h windows for two ratios.
+RATIO_COUNTS = [(b, LONG_WINDOW) for b in BEHAVIOURS] + [(VIEW, w) for w in (1, 3, 12, 24)]
 NEEDED_COUNTS = [(b, w) for w in COUNT_WINDOWS for b in BEHAVIOURS] + [(VIEW, 3), (VIEW, 12)]
 
 
+def needed_counts(windows: Sequence[int]) -> list[tuple[int, int]]:
+    """Counts to gather when the count features use ``windows`` (hours)."""
+    if any(w < 1 for w in windows):
+        raise ValueError("windows are positive numbers of hours")
+    return list(dict.fromkeys([(b, w) for w in windows for b in BEHAVIOURS] + RATIO_COUNTS))
+
+
 def _first(b: int) -> str:
     return f"_first_{b}"
 
@@ -119,11 +130,13 @@ def _recency_span(sh: SplitHour) -> list[Column]:
 # ---------------------------------------------------------------------------
 
 
-def window_counts(log: DataFrame, split: DateLike, origin: DateLike) -> DataFrame:
-    """Rows per (user, item, behaviour) in each nested window."""
+def window_counts(
+    log: DataFrame, split: DateLike, origin: DateLike, windows: Sequence[int] = COUNT_WINDOWS
+) -> DataFrame:
+    """Rows per (user, item, behaviour) in each nested window of ``windows`` hours."""
     sh = split_hour(split, origin)
     h = horizon(log, split, origin)
-    aggs = [_window_count(b, w, sh) for w in COUNT_WINDOWS for b in BEHAVIOURS]
+    aggs = [_window_count(b, w, sh) for w in windows for b in BEHAVIOURS]
     return h.groupBy(U, I).agg(*aggs)
 
 
@@ -168,17 +181,17 @@ def item_day_activity(
     daily = pair_days(log, split, origin, counts=[], first_last=False)
     if materialize:
         daily = cut_lineage(daily, "pair_days")
-    user = user_day_totals(daily, split_hour(split, origin))
+    user = user_days(daily)
     if materialize:
         user = cut_lineage(user, "users")
     hot = hot_keys(user, [U], "_item_days", skew)
-    joined = salted_join(daily, user.drop("_item_days"), [U], hot, spread=[I])
-    return joined.groupBy(U, I).agg(
+    joined = salted_join(daily, user.drop("_item_days"), [U], hot, spread=[I], keep_salt=True)
+    return joined.groupBy(U, I, SALT).agg(
         F.count(F.lit(1)).alias("item_days"),
         F.count_if(F.col("_nb") > 0).alias("item_buy_days"),
         F.sum("_n").alias("item_rows"),
         F.sum(_day_rows_of_row()).alias("same_day_rows"),
-    )
+    ).drop(SALT)
 
 
 # ---------------------------------------------------------------------------
@@ -228,20 +241,24 @@ def _day_count(b: int) -> str:
     return "_nb" if b == BUY else f"_n{b}"
 
 
+def _late_count(b: int, hours: int) -> str:
+    """Column of ``pair_days`` with the rows of behaviour ``b`` in the day's last ``hours``."""
+    return f"_n{b}_last{hours}"
+
+
 def window_of_row(b: int, w: int, sh: SplitHour) -> str:
     """SQL text: a ``pair_days`` row's count of behaviour ``b`` in window ``w``
     for the split at hour ``sh``.
 
-    Windows end at the split midnight. Those of whole days (24, 72, 168,
-    720 h) hold a day entirely or not at all: the day's count counts when the
-    day's midnight is at most ``w`` hours before the split. Shorter windows
-    reach only into the last day before the split, where they are the day's
-    counts in its last ``w`` hours.
+    Windows end at the split midnight. A window of ``24 k + r`` hours holds the
+    last ``k`` days entirely (the day's midnight is at most ``24 k`` hours
+    before the split) and, of the day before those, its last ``r`` hours.
     """
     day_age = f"({_sh(sh)} - _day_idx)"
-    if w % 24 == 0:
-        return f"CASE WHEN {day_age} <= {w} THEN {_day_count(b)} ELSE 0 END"
-    return f"CASE WHEN {day_age} = 24 THEN {count_col(b, w)} ELSE 0 END"
+    whole, rest = w - w % 24, w % 24
+    arms = [f"WHEN {day_age} <= {whole} THEN {_day_count(b)}"] if whole else []
+    arms += [f"WHEN {day_age} = {whole + 24} THEN {_late_count(b, rest)}"] if rest else []
+    return f"CASE {' '.join(arms)} ELSE 0 END"
 
 
 def daily_aggs(counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool = True) -> list[Column]:
@@ -250,11 +267,8 @@ def daily_aggs(counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool =
     windows shorter than a day), the hour index of the day's midnight, and
     (``first_last``) first and last hour per behaviour."""
     hour_of_day = f"pmod({HOUR}, 24)"
-    aggs = [
-        F.expr(f"count_if({B} = {b} AND {hour_of_day} >= {24 - w})").alias(count_col(b, w))
-        for b, w in counts
-        if w % 24
-    ]
+    late = dict.fromkeys((b, w % 24) for b, w in counts if w % 24)
+    aggs = [F.expr(f"count_if({B} = {b} AND {hour_of_day} >= {24 - r})").alias(_late_count(b, r)) for b, r in late]
     aggs += [F.count_if(F.col(B) == b).alias(_day_count(b)) for b in BEHAVIOURS if b != BUY]
     aggs += [F.expr(f"max({HOUR} - {hour_of_day})").alias("_day_idx")]
     if first_last:
@@ -268,9 +282,10 @@ def user_day_totals(daily: DataFrame, sh: SplitHour, group: tuple[str, ...] = ()
     the pair-day rows (the split weight of the user), and ``_day_rows``, a map
     from each active day to the user's rows that day.
 
-    The map has one entry per active day before the split, so its size is
-    bounded by the horizon in days (31 in the original calendar), not by the
-    data; it is built by a partial aggregate per (user, day), then per user.
+    The map has one entry per active day before the split. The horizon has no
+    lower bound, so that is the number of days the log covers (31 in the
+    original calendar), whatever its rows; it is built by a partial aggregate
+    per (user, day), then per user.
     """
     g = list(group)
     per_day = daily.groupBy(*g, U, DAY).agg(
@@ -288,6 +303,15 @@ def user_day_totals(daily: DataFrame, sh: SplitHour, group: tuple[str, ...] = ()
     )
 
 
+def user_days(daily: DataFrame) -> DataFrame:
+    """The part of ``user_day_totals`` that A9/A10 need: ``_day_rows`` and the split weight."""
+    per_day = daily.groupBy(U, DAY).agg(F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud"))
+    return per_day.groupBy(U).agg(
+        F.sum("_items_day").alias("_item_days"),
+        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
+    )
+
+
 def _day_rows_of_row() -> Column:
     """The user's rows on this row's day, looked up in the user's day map."""
     return F.expr(f"coalesce(try_element_at(_day_rows, {DAY}), 0L)")
@@ -300,6 +324,8 @@ def ui_features_from_pair_days(
     skew: SkewConfig = DEFAULT_SKEW,
     group: tuple[str, ...] = (),
     materialize: bool = True,
+    windows: Sequence[int] = COUNT_WINDOWS,
+    user_columns: DataFrame | None = None,
 ) -> DataFrame:
     """C2 from the ``pair_days`` table.
 
@@ -312,18 +338,27 @@ def ui_features_from_pair_days(
     Each pair-day row meets its user's row in one join (salted for hot users,
     weighted by their pair-day rows), takes that day's user total from the
     user's day map, and a single (user, item) aggregate rolls everything up;
-    user-level values ride along as ``max`` of a constant. Rows of one pair
-    share their salt, so the aggregate combines fully before its shuffle.
+    user-level values ride along as ``max`` of a constant. The salt is a
+    function of the item, so grouping by it too needs no second shuffle.
+
+    ``user_columns`` (one row per user, numeric columns) rides along the same
+    way, which spares a second join on the user; pairs are then dealt by
+    (user, item) for the label join that follows, and users without a row in it
+    are left out.
     """
     g = list(group)
     user = user_day_totals(daily, sh, group)
+    carried = []
+    if user_columns is not None:
+        carried = [c for c in user_columns.columns if c not in (*g, U)]
+        user = user.join(user_columns, [*g, U])
     if materialize:
         user = cut_lineage(user, "users")
     hot_users = hot_keys(user, [*g, U], "_item_days", skew)
-    joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I])
-    per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS]]
-    pair = joined.groupBy(*g, U, I).agg(
-        *[F.expr(f"sum({window_of_row(b, w, sh)})").alias(count_col(b, w)) for b, w in NEEDED_COUNTS],
+    joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I], keep_salt=not carried)
+    per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS], *carried]
+    pair = joined.groupBy(*g, U, I, *([] if carried else [SALT])).agg(
+        *[F.expr(f"sum({window_of_row(b, w, sh)})").alias(count_col(b, w)) for b, w in needed_counts(windows)],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],
         F.count(F.lit(1)).alias("item_days"),
@@ -332,10 +367,10 @@ def ui_features_from_pair_days(
         F.sum(_day_rows_of_row()).alias("same_day_rows"),
         *[F.max(c).alias(c) for c in per_user],
     )
-    out = list(COUNT_FEATURES)  # sums of counts: already BIGINT
+    out = [count_col(b, w) for w in windows for b in BEHAVIOURS]  # sums of counts: already BIGINT
     out += _recency_span(sh)
     out += _ratios(ratio_mode)
-    return pair.select(*g, U, I, *out)
+    return pair.select(*g, U, I, *out, *carried)
 
 
 def ui_features(
@@ -345,16 +380,20 @@ def ui_features(
     ratio_mode: str = "exact",
     skew: SkewConfig = DEFAULT_SKEW,
     materialize: bool = True,
+    windows: Sequence[int] = COUNT_WINDOWS,
 ) -> DataFrame:
     """The 47 user-item features as of midnight of ``split``.
 
     ``origin`` is the day hour 0 counts from; ``ratio_mode`` is ``exact`` or
     ``truncated`` (integer division, as the original features). One row per
-    (user, item) seen before the split. With ``materialize`` (the default) the
-    intermediate tables are written before this returns.
+    (user, item) seen before the split. ``windows`` replaces the hours of the
+    count features; the ratios keep theirs. With ``materialize`` (the default)
+    the intermediate tables are written before this returns: they feed two
+    branches each, and without the cut the log would be read once per branch.
+    ``materialize=False`` runs nothing.
     """
     sh = split_hour(split, origin)
-    daily = pair_days(log, split, origin)
+    daily = pair_days(log, split, origin, needed_counts(windows))
     if materialize:
         daily = cut_lineage(daily, "pair_days")
-    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, materialize=materialize)
+    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, materialize=materialize, windows=windows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.functions.time import DateLike, as_date, midnight, time_range
@@ -33,9 +33,13 @@ def buys_on_days(log: DataFrame, days, name: str = "split_date") -> DataFrame:
 
 
 def attach_label(
-    pairs: DataFrame, buys: DataFrame, name: str = "label", group: tuple[str, ...] = ()
+    pairs: DataFrame,
+    buys: DataFrame,
+    name: str = "label",
+    group: tuple[str, ...] = (),
+    known: Column | None = None,
 ) -> DataFrame:
-    """``label`` 1 when the pair is in ``buys``, else 0.
+    """``label`` 1 when the pair is in ``buys``, else 0; NULL where ``known`` is false.
 
     Both sides are unique on (user, item) (plus ``group``), so this join
     cannot be skewed: each key has one row per side.
@@ -43,7 +47,8 @@ def attach_label(
     keys = [*group, "user_id", "item_id"]
     hits = buys.select(*keys).distinct().withColumn("_hit", F.lit(1))
     joined = pairs.join(hits, keys, "left")
-    return joined.withColumn(name, F.coalesce(F.col("_hit"), F.lit(0)).cast("int")).drop("_hit")
+    label = F.coalesce(F.col("_hit"), F.lit(0)).cast("int")
+    return joined.withColumn(name, label if known is None else F.when(known, label)).drop("_hit")
 
 
 def labelled_pairs(log: DataFrame, day: DateLike, name: str = "label") -> DataFrame:

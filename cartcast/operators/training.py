@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +52,11 @@ def training_table(
     small feature tables are read for it. Otherwise ``ui`` is scanned once more
     per join to count, so pass a written table rather than a long lineage.
     ``group`` names leading key columns every table shares (the split date of
-    a multi-split table); all joins then key on them too.
+    a multi-split table); all joins then key on them too. The label is joined
+    first, while rows are narrow.
     """
     g = list(group)
-    out = ui
+    out = attach_label(ui, buys, group=tuple(g)) if buys is not None else ui
 
     def hot_for(key: str, table: DataFrame, weight: str | None):
         weights = table.select(*g, key, F.col(weight).alias("_weight")) if weight else key_weights(ui, [*g, key])
@@ -69,14 +71,25 @@ def training_table(
         hot = hot_for(I, item_features, item_weight)
         out = salted_join(out, items, [*g, I], hot, how, spread=[U])
     if buys is not None:
-        out = attach_label(out, buys, group=tuple(g))
+        out = out.select(*[c for c in out.columns if c != "label"], "label")
     return out
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = (U, I, "label", "split_date")) -> list[str]:
-    """Numeric columns to assemble, in table order (keys and label left out)."""
-    numeric = {"int", "bigint", "smallint", "tinyint", "double", "float"}
-    return [c for c, t in df.dtypes if c not in exclude and (t in numeric or t.startswith("decimal"))]
+    """Columns to assemble, in table order (keys and label left out): numeric
+    ones, and text, which ``assemble`` reads as numbers."""
+    kinds = {"int", "bigint", "smallint", "tinyint", "double", "float", "string"}
+    return [c for c, t in df.dtypes if c not in exclude and (t in kinds or t.startswith("decimal"))]
+
+
+def _as_number(df: DataFrame, name: str):
+    """The column as DOUBLE; a value that is not a number is an error, not a NULL."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] != "string":
+        return c.cast("double").alias(name)
+    bad = F.raise_error(F.concat(F.lit(f"feature column {name} holds a value that is not a number: "), c))
+    number = c.try_cast("double")
+    return F.when(c.isNotNull() & number.isNull(), bad.cast("double")).otherwise(number).alias(name)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (U, I)) -> DataFrame:
@@ -90,11 +103,23 @@ def assemble(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (U, I)
     if "label" in df.columns:
         df = df.withColumn("label", F.col("label").cast("double"))
         cols.append("label")
-    casted = df.select(*[c for c in df.columns if c not in columns], *[F.col(c).cast("double").alias(c) for c in columns])
+    casted = df.select(*[c for c in df.columns if c not in columns], *[_as_number(df, c) for c in columns])
     return vec.transform(casted).select(*cols)
 
 
 def write_libsvm(df: DataFrame, columns: Sequence[str], path: str) -> int:
-    """Write ``label i:v ...`` rows; returns the vector width for the reader."""
-    assemble(df, columns, keep=()).select("label", "features").write.mode("overwrite").format("libsvm").save(path)
+    """Write ``label i:v ...`` rows; returns the vector width for the reader.
+
+    Indices count from 1. Zeros are written too (the vectors are dense), so a
+    line has one field per feature. A table without a label column, as for the
+    day to predict, is written with label 0: the format has no place for a
+    missing one. Rows whose label is NULL are left out: they are not negatives.
+    """
+    rows = assemble(df, columns, keep=())
+    if "label" in rows.columns:
+        rows, label = rows.where(F.col("label").isNotNull()), F.col("label")
+    else:
+        label = F.lit(0.0)
+    dense = array_to_vector(vector_to_array("features"))
+    rows.select(label.alias("label"), dense.alias("features")).write.mode("overwrite").format("libsvm").save(path)
     return len(columns)

@@ -3,19 +3,55 @@
 Written independently of the Spark plans: the SQL joins separately grouped
 pieces where the Spark side rolls up one daily aggregate and salts its joins,
 so agreement checks the plan, not just the arithmetic. Column names and types
-match the Spark output (counts BIGINT, hour index INT, ratios DOUBLE).
+match the Spark output (counts BIGINT, hour index INT, ratios DOUBLE). Values
+are written out here, not taken from the engine, so that a mistake there shows.
 """
 
 from __future__ import annotations
 
-from cartcast.functions.time import as_date, split_hour
-from cartcast.operators.features import NEEDED_COUNTS
-from cartcast.operators.profiles import PROFILE_WINDOWS, profile_columns
-from cartcast.plans import registry as R
-from cartcast.schema import BEHAVIOURS, BUY, CART, COUNT_FEATURES, FAV, LONG_WINDOW, UI_FEATURES, VIEW, count_col
-from cartcast.sources.events import CATALOGUE_TYPE, EVENT_BEHAVIOUR
+import datetime as dt
 
-ORIGIN = R.ORIGIN
+# Fixed values, as the survey states them.
+VIEW, FAV, CART, BUY = 1, 2, 3, 4
+BEHAVIOURS = {1: "view", 2: "fav", 3: "cart", 4: "buy"}
+EVENT_BEHAVIOUR = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
+CATALOGUE_TYPE = "ECONOMY"
+LONG_WINDOW = 720
+FEATURE_WINDOWS = (1, 6, 24, 72, 168, 720)
+PROFILE_WINDOWS = (24, 168, 720)
+ORIGIN, SPLIT, CUTOFF_SPLIT, NEXT_SPLIT = "2024-01-01", "2024-01-30", "2024-02-01", "2024-01-31"
+MULTI_SPLITS = ("2024-01-28", "2024-01-29", "2024-01-30")
+HOLDOUT_SPLITS = ("2024-01-29", "2024-01-30")
+
+
+def as_date(day) -> dt.date:
+    return day if isinstance(day, dt.date) else dt.date.fromisoformat(day)
+
+
+def split_hour(split, origin) -> int:
+    return (as_date(split) - as_date(origin)).days * 24
+
+
+def count_col(behaviour: int, window: int) -> str:
+    return f"{BEHAVIOURS[behaviour]}_{window}h"
+
+
+COUNT_FEATURES = [count_col(b, w) for w in FEATURE_WINDOWS for b in BEHAVIOURS]
+NEEDED_COUNTS = [(b, w) for w in FEATURE_WINDOWS for b in BEHAVIOURS] + [(VIEW, 3), (VIEW, 12)]
+UI_FEATURES = [
+    *COUNT_FEATURES,
+    *[f"since_last_{n}" for n in BEHAVIOURS.values()],
+    *[f"span_{n}" for n in BEHAVIOURS.values()],
+    "view_share", "act_per_user_view", "buy_share", "same_day_share", "view_share_24h", "view_share_12h",
+    "view_share_3h", "view_share_1h", "item_day_share", "buy_day_share",
+    "conv_view_buy", "conv_fav_buy", "conv_cart_buy", "conv_view_fav", "conv_view_cart",
+]
+
+
+def profile_columns(other: str) -> list[str]:
+    name = other.split("_")[0]
+    counts = [count_col(b, w) for w in PROFILE_WINDOWS for b in BEHAVIOURS]
+    return [*counts, f"{name}_count", f"{name}_buy_count", "active_days", "buy_days", "conv_view_buy"]
 
 
 def _case_behaviour() -> str:
@@ -216,7 +252,7 @@ def training_multi_split_sql(splits, label_days) -> str:
 )""")
     return _with(*ctes) + (
         "SELECT ui.*, uf.* EXCLUDE (split_date, user_id), itf.* EXCLUDE (split_date, item_id),\n"
-        "  CAST(CASE WHEN lb.user_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label\n"
+        f"  CAST(CASE WHEN ui.split_date NOT IN ({days}) THEN NULL WHEN lb.user_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label\n"
         "FROM ui JOIN uf USING (split_date, user_id) JOIN itf USING (split_date, item_id)\n"
         "LEFT JOIN lb ON ui.split_date = lb.split_date AND ui.user_id = lb.user_id AND ui.item_id = lb.item_id"
     )
@@ -236,10 +272,23 @@ def feature_join_sql(split, labelled=True) -> str:
     return _with(*ctes) + final
 
 
+VECTOR_COLUMNS = (
+    UI_FEATURES + [f"u_{c}" for c in profile_columns("item_id")] + [f"i_{c}" for c in profile_columns("user_id")]
+)
+
+
+def libsvm_array_sql(split, labelled: bool) -> str:
+    """Label (0 where there is none) and the values at every position of each vector."""
+    ctes, final = feature_join_parts(split, labelled)
+    label = "CAST(label AS DOUBLE)" if labelled else "CAST(0 AS DOUBLE)"
+    parts = ", ".join(f"CAST({c} AS DOUBLE) AS f{k:02d}" for k, c in enumerate(VECTOR_COLUMNS))
+    return _with(*ctes, f"fj AS ({final})") + f"SELECT {label} AS label, {parts} FROM fj"
+
+
 def libsvm_sql(split) -> str:
     """Label, vector width and the in-order sum of each training vector."""
     ctes, final = feature_join_parts(split, True)
-    cols = UI_FEATURES + [f"u_{c}" for c in profile_columns("item_id")] + [f"i_{c}" for c in profile_columns("user_id")]
+    cols = VECTOR_COLUMNS
     total = " + ".join(["CAST(0 AS DOUBLE)"] + [f"CAST({c} AS DOUBLE)" for c in cols])
     return _with(*ctes, f"fj AS ({final})") + (
         f"SELECT CAST(label AS DOUBLE) AS label, CAST({len(cols)} AS INTEGER) AS width, {total} AS feature_sum FROM fj"
@@ -265,7 +314,7 @@ def feature_join_parts(split, labelled=True) -> tuple[list[str], str]:
 
 
 def _sql() -> dict[str, str]:
-    S, C = R.SPLIT, R.CUTOFF_SPLIT
+    S, C = SPLIT, CUTOFF_SPLIT
     sh = split_hour(S, ORIGIN)
     names = dict(BEHAVIOURS)
     q: dict[str, str] = {}
@@ -332,8 +381,9 @@ WHERE event_type IS NULL OR event_type NOT IN ({_types()}) OR user_id IS NULL
     q["feature_join_labelled"] = feature_join_sql(S, labelled=True)
     q["feature_join_unlabelled"] = feature_join_sql(C, labelled=False)
     q["libsvm_roundtrip"] = libsvm_sql(S)
-    q["training_multi_split"] = training_multi_split_sql(R.HOLDOUT_SPLITS, R.HOLDOUT_SPLITS)
-    q["multi_split_features"] = ui_features_sql(None, multi=R.MULTI_SPLITS)
+    q["training_multi_split"] = training_multi_split_sql(HOLDOUT_SPLITS, HOLDOUT_SPLITS)
+    q["training_multi_split_partial_labels"] = training_multi_split_sql((S, C), (S,))
+    q["multi_split_features"] = ui_features_sql(None, multi=MULTI_SPLITS)
     q["log_by_day"] = _with(LOG_CTE) + "SELECT user_id, item_id, behavior_type, ts, CAST(ts AS DATE) AS day FROM log"
     q["eval_metrics"] = _with(LOG_CTE, horizon_cte(S), labels_cte(S)) + f"""SELECT true_pos, pred_pos, actual_pos, rows,
   CASE WHEN pred_pos = 0 THEN NULL ELSE CAST(true_pos AS DOUBLE) / pred_pos END AS precision,
@@ -351,6 +401,58 @@ FROM (
     LEFT JOIN lb ON p.user_id = lb.user_id AND p.item_id = lb.item_id
   )
 )"""
+    q["ui_features_salted"] = q["ui_features"]
+    q["ui_features_csv"] = q["ui_features"]
+    q["feature_join_salted"] = q["feature_join_labelled"]
+    q["feature_join_csv"] = q["feature_join_labelled"]
+    q["libsvm_roundtrip_array"] = libsvm_array_sql(S, True)
+    q["libsvm_unlabelled"] = libsvm_array_sql(C, False)
+
+    # Windows given by the caller: 36 h ends inside a day.
+    q["ui_counts_windows"] = _with(LOG_CTE, horizon_cte(S)) + (
+        "SELECT user_id, item_id,\n    "
+        + _counts_select(str(sh), [(b, w) for w in (5, 24, 36, 100) for b in BEHAVIOURS])
+        + "\nFROM h GROUP BY user_id, item_id"
+    )
+
+    # The text path. Times in the raw log are whole hours.
+    q["log_csv_roundtrip"] = _with(LOG_CTE) + (
+        "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, behavior_type, "
+        "date_trunc('hour', ts) AS ts FROM log"
+    )
+    # Error events are written as bad lines: which kind, the event id says.
+    q["log_csv_rejects"] = f"""SELECT
+  CASE WHEN kind IN (1, 2) THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_id,
+  CASE WHEN kind IN (1, 3) THEN NULL ELSE CAST(item_id AS VARCHAR) END AS item_id,
+  CASE kind WHEN 0 THEN 'bad behavior_type' WHEN 1 THEN 'blank line' WHEN 2 THEN 'missing user_id'
+            WHEN 3 THEN 'missing item_id' ELSE 'bad time' END AS reject_reason
+FROM (
+  SELECT event_id % 5 AS kind, user_id, {ITEM_EXPR} AS item_id FROM events
+  WHERE event_type = 'error' AND user_id IS NOT NULL AND {ITEM_EXPR} IS NOT NULL
+)"""
+    q["catalogue_csv"] = f"SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS item_id FROM part WHERE p_type = '{CATALOGUE_TYPE}'"
+    q["filter_log_csv"] = _with(LOG_CTE, FILTERED_CTE) + (
+        "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, behavior_type, "
+        "date_trunc('hour', ts) AS ts FROM flog"
+    )
+    q["feature_join_text_columns"] = _with(LOG_CTE, horizon_cte(S)) + (
+        "SELECT CAST(h.user_id AS VARCHAR) AS user_id, CAST(h.item_id AS VARCHAR) AS item_id, p.p_brand AS i_brand, "
+        "CAST(9007199254740992 + p.p_partkey AS VARCHAR) AS i_code, CAST(count(*) AS BIGINT) AS n "
+        "FROM h JOIN part p ON p.p_partkey = h.item_id GROUP BY ALL"
+    )
+
+    # Models against a rule that SQL knows: label 1 where the pair was viewed in 720 h.
+    rule = f"count(*) FILTER (WHERE behavior_type = {VIEW} AND {{sh}} - hour_idx <= {LONG_WINDOW}) > 0"
+    test = split_hour(S, ORIGIN)
+    q["gbt_rule_holdout"] = q["rf_rule_holdout"] = _with(LOG_CTE, horizon_cte(S)) + (
+        "SELECT count(*) FILTER (WHERE y) AS true_pos, count(*) FILTER (WHERE y) AS pred_pos, "
+        "count(*) FILTER (WHERE y) AS actual_pos, count(*) AS rows, "
+        "CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1 "
+        f"FROM (SELECT {rule.format(sh=test)} AS y FROM h GROUP BY user_id, item_id)"
+    )
+    q["submission_rule"] = _with(LOG_CTE, horizon_cte(NEXT_SPLIT)) + (
+        f"SELECT user_id, item_id FROM h GROUP BY user_id, item_id HAVING {rule.format(sh=split_hour(NEXT_SPLIT, ORIGIN))}"
+    )
     return q
 
 

@@ -49,8 +49,9 @@ def write_table(
 def write_log_by_day(log: DataFrame, path: str) -> None:
     """One folder per calendar day of ``ts``.
 
-    No shuffle: each task sorts its own rows by day and writes at most one file
-    per day it holds. (Repartitioning by day would put a whole day in one task.)
+    ``rebalance`` deals the rows by day and lets AQE split large days and merge
+    small ones, so the number of files follows the size of the log, not tasks
+    times days as without a shuffle, and no task gets a large day whole.
     """
     with_day = log.withColumn("day", F.to_date("ts"))
-    with_day.sortWithinPartitions("day").write.mode("overwrite").partitionBy("day").parquet(path)
+    with_day.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(path)

@@ -34,6 +34,14 @@ def test_chained_jobs(spark, golden_log):
     svm = main(m + ["libsvm", "--table", str(base / "train"), "--out", str(base / "svm")])
     assert svm["positives"] == 2 and svm["num_features"] == 47 + 17 + 17
 
+    table.drop("label").write.parquet(str(base / "day"))  # the day to predict
+    plain = main(m + ["libsvm", "--table", str(base / "day"), "--out", str(base / "svm_day")])
+    assert plain["num_features"] == svm["num_features"] and "positives" not in plain
+    sub = main(m + ["score", "--train", str(base / "train"), "--day", str(base / "day"), "--model", "rf",
+                    "--iterations", "1", "--depth", "3", "--out", str(base / "pairs")])
+    pairs = spark.read.csv(sub["out"], schema="user_id string, item_id string")
+    assert {tuple(r) for r in pairs.collect()} <= {(r.user_id, r.item_id) for r in table.collect()}
+
     metrics = main(m + ["holdout", "--train", str(base / "svm"), "--test", str(base / "svm"), "--model", "rf",
                         "--iterations", "3", "--depth", "3", "--num-features", str(svm["num_features"])])
     assert metrics["rows"] == 4 and metrics["actual_pos"] == 2

@@ -17,10 +17,20 @@ from conftest import ORIGIN, by_pair
 def test_filter_broadcast_and_shuffle_paths_agree(spark, golden_log):
     items = spark.createDataFrame([("i1",), ("i1",), ("i3",), (None,)], "item_id string")
     small = filter_log(golden_log, items)
-    shuffled = filter_log(golden_log, items, broadcast_max_rows=0)
-    assert sorted(small.collect()) == sorted(shuffled.collect())
+    rows = sorted(small.collect())
     assert row_count(small).first().n_rows == 9  # i1: 8 rows, i3: 1; catalogue duplicates add nothing
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()  # small by its bytes
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        shuffled = filter_log(golden_log, items)
+        assert sorted(shuffled.collect()) == rows
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "SinglePartition" not in plan
+    finally:
+        for k in off:
+            spark.conf.unset(k)
 
 
 def test_labels_and_no_leakage(spark, golden_log):
@@ -89,7 +99,7 @@ def test_shuffled_filter_splits_a_hot_item(spark):
             F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz").alias("ts"),
         )
         items = spark.range(0, 500, 2).select(F.col("id").alias("item_id"))
-        out = filter_log(log, items, broadcast_max_rows=0)
+        out = filter_log(log, items)
         want = sum(1 for i in range(30000) if (8 if i % 3 == 0 else i % 500) % 2 == 0)
         assert len(out.collect()) == want
         final = out._jdf.queryExecution().executedPlan().toString()
@@ -120,6 +130,27 @@ def test_multi_split_training_equals_single_splits(spark, golden_log):
         assert sorted(part.select(cols).collect()) == sorted(single.select(cols).collect())
 
 
+def test_splits_that_are_not_labelled_have_no_label(spark, golden_log):
+    from cartcast.operators.extensions import multi_split_training
+
+    out = multi_split_training(golden_log, ["2014-12-16", "2014-12-19"], ORIGIN, label_days=["2014-12-16"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.split_date.isoformat(), set()).add(r.label)
+    assert got == {"2014-12-16": {0, 1}, "2014-12-19": {None}}
+
+
+def test_stored_pair_days_do_not_grow_with_the_splits(spark, golden_log):
+    from cartcast.operators.extensions import multi_split_pair_days
+    from cartcast.session import written
+
+    sizes = []
+    for splits in (["2014-12-19"], ["2014-12-16", "2014-12-17", "2014-12-18", "2014-12-19"]):
+        fanned, _ = multi_split_pair_days(golden_log, splits, ORIGIN)
+        sizes.append((spark.read.parquet(written()[-1]).count(), fanned.count()))
+    assert sizes[0][0] == sizes[1][0] and sizes[1][1] > 2 * sizes[0][1]
+
+
 def test_labelled_pairs_equals_join(spark):
     from cartcast.operators.features import horizon
     from cartcast.operators.labels import labelled_pairs
