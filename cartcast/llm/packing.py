@@ -12,6 +12,7 @@ pieces of each length and places them.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from cartcast.llm.common import staged
 
 CAPACITY = 2048
 END_ID = 0  # closes each document
-CACHED_WORDS = 400_000  # a worker forgets its cache beyond this
 
 # Fixed value: the splitting pattern of byte-level BPE tokenizers of this family.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,51 +38,63 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    A byte-level tokenizer encodes each pre-token by itself, so its ids are
-    looked up per pre-token and encoded once each. Texts with a special token's
-    string, and tokenizers of another kind, are encoded whole.
+    A byte-level BPE whose merges come in the order of their ids is the same
+    as merging by rank, which ``tiktoken`` does several times faster, so ids
+    come from there. Texts with a special token's string, and tokenizers of
+    another kind, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
-        import json
-
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = (
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.ranks = self._ranks(spec)
+
+    @staticmethod
+    def _ranks(spec: dict):
+        """An encoder by rank, or None if the tokenizer is not one of that kind."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = (
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
+            and model.get("type", "BPE") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges"))
+            and not (model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
         )
-        special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.split = regex.compile(BYTE_LEVEL).findall
-        self.known = _Known(self.whole)
+        if not plain:
+            return None
+        import tiktoken
+
+        vocab = model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        letters = _byte_letters()
+        own = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in own}
+        single = [ranks.get(bytes([b])) for b in range(256)]
+        if merged != sorted(merged) or None in single or len(merged) + 256 != len(ranks) or (merged and max(single) > merged[0]):
+            return None
+        return tiktoken.Encoding("by-rank", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word or (self.special and self.special.search(text)):
+        if self.ranks is None or (self.special and self.special.search(text)):
             return self.whole(text)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, self.split(text)))
-
+        return np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
 
-class _Known(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(word)
-        return ids
+def _byte_letters() -> dict[str, int]:
+    """The printable letter by which byte-level vocabularies write each byte."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=2)
