@@ -1,18 +1,21 @@
 """Toxicity: class-conditional Kneser-Ney bigram models of toxic and ordinary text.
 
-Every labelled training text is counted. For class ``c`` (toxic or ordinary)::
-
-    p_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + D * types_c(v) / n_c(v) * p_c(w)
-    p_c(w)     = max(n_c(w) - D, 0) / N_c     + D * types_c / N_c     * p(w)
-
-where ``p(w)`` is the continuation probability of ``w`` over both classes: the
-number of different words it follows. Expressions making up less than a
-``1/SHARE`` part of a class's tokens carry no count of their own in either
-class and are left to the backoff both classes share, so at most ``2 * SHARE``
-expressions of each order are kept however large the corpus: that is the bound
-of the model that is broadcast. A text's score compares its log-likelihoods
-per word under the two models, mapped to a probability by a logistic fit on
-labelled rows of a fold that was not counted.
+Every labelled training text is counted, an expression once per text. For class
+``c`` (toxic or ordinary)::
+
+    p_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + back(v) * p_c(w)
+    p_c(w)     = max(n_c(w) - D, 0) / N_c     + D * types_c / N_c * p(w)
+
+``p(w)``, the continuation probability of ``w`` (the number of different words
+it follows), and the backoff weight ``back(v)`` come from both classes' counts
+together. An expression keeps counts of its own only if it is not rare (it
+makes up a ``1/SHARE`` part of a class's tokens, so at most ``2 * SHARE``
+expressions of each order are kept however large the corpus: that bounds the
+model that is broadcast) and if its counts differ between the classes beyond
+chance. All others are left to the backoff the classes share, where they speak
+for neither. A text's score compares its log-likelihoods per word under the two
+models, mapped to a probability by a logistic fit on labelled rows of a fold
+that was not counted.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from cartcast.llm.words import ALNUM, FOLD, Block, blocks, find_words, mix
 DISCOUNT = 0.75
 SHARE = 1 << 19
 LEAST = 2  # an expression seen once is rare in any corpus
+Z = 4.0  # standard deviations by which a class's count must be off its share
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 CALIBRATION_ROWS = 20_000  # the first of the calibration fold by a hash of the id
 THRESHOLD = 0.5
@@ -44,10 +48,8 @@ class Model:
 
     words: np.ndarray
     word_llr: np.ndarray  # log p_1(w) / p_0(w)
-    backoff_llr: np.ndarray  # log of the classes' backoff weights after w
     pairs: np.ndarray
     pair_llr: np.ndarray  # log p_1(w | v) / p_0(w | v)
-    rare_llr: float  # a word without counts of its own
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -60,7 +62,10 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """Counts by class of (word, next word) over rows of (y, text); a text's last word has w = v's null mark 0."""
+    """Texts of each class (n1, n0) holding each (word, next word), over rows of (y, text).
+
+    The last word of a text is followed by 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,12 +75,13 @@ def count_pairs(rows: DataFrame) -> DataFrame:
                 v = _signed(words.hash)
                 w = np.zeros_like(v)
                 w[:-1] = np.where(words.doc[1:] == words.doc[:-1], v[1:], 0)
-                cls = y[block.first + words.doc]
-                order = np.lexsort((w, v))
-                v, w, cls = v[order], w[order], cls[order]
+                order = np.lexsort((words.doc, w, v))
+                v, w, doc = v[order], w[order], words.doc[order]
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-                at = np.flatnonzero(new)
+                once = new.copy()
+                once[1:] |= doc[1:] != doc[:-1]
+                v, w, cls, at = v[once], w[once], y[block.first + doc[once]], np.flatnonzero(new[once])
                 n1 = np.add.reduceat(cls, at) if len(at) else cls[:0]
                 n = np.diff(np.append(at, len(v)))
                 yield pa.RecordBatch.from_arrays(
@@ -89,17 +95,15 @@ def count_pairs(rows: DataFrame) -> DataFrame:
 def learn(rows: DataFrame) -> Model | None:
     """Model of labelled rows (y, text); None unless both classes have words."""
     pairs = staged(count_pairs(rows), "toxic-pairs")
-    follow = [F.when((F.col("w") != 0) & (F.col(n) > 0), 1).otherwise(0) for n in ("n1", "n0")]
-    contexts = pairs.groupBy(F.col("v").alias("k")).agg(
-        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum(follow[0]).alias("t1"), F.sum(follow[1]).alias("t0")
-    )
+    types = F.count_if(F.col("w") != 0)
+    contexts = pairs.groupBy(F.col("v").alias("k")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), types.alias("types"))
     continued = pairs.where("w != 0").groupBy(F.col("w").alias("k")).agg(F.count(F.lit(1)).alias("cont"))
     words = staged(contexts.join(continued, "k", "left").fillna(0, ["cont"]), "toxic-words")
     total = words.agg(
         F.sum("n1").alias("n1"),
         F.sum("n0").alias("n0"),
-        F.sum((F.col("n1") > 0).cast("long")).alias("u1"),
-        F.sum((F.col("n0") > 0).cast("long")).alias("u0"),
+        F.count_if(F.col("n1") > 0).alias("u1"),
+        F.count_if(F.col("n0") > 0).alias("u0"),
         F.sum("cont").alias("cont"),
         F.count(F.lit(1)).alias("u"),
     ).first()
@@ -107,54 +111,49 @@ def learn(rows: DataFrame) -> Model | None:
         return None
     enough = [max(LEAST, -(-total[n] // SHARE)) for n in ("n1", "n0")]
     often = (F.col("n1") >= enough[0]) | (F.col("n0") >= enough[1])
-    kept = words.where(often).toPandas().sort_values("k")  # at most 2 * SHARE rows
-    kept_pairs = pairs.where("w != 0").where(often).toPandas()  # at most 2 * SHARE rows
+    share = total["n1"] / (total["n1"] + total["n0"])
+    n = F.col("n1") + F.col("n0")
+    differs = F.abs(F.col("n1") - n * share) >= Z * F.sqrt(n * share * (1 - share))
+    # Pairs bring their words' counts along; both tables are bounded by SHARE.
+    own_pairs = pairs.where("w != 0").where(often & differs)
+    needed = own_pairs.select(F.col("v").alias("k")).union(own_pairs.select("w")).distinct().withColumn("asked", F.lit(True))
+    kept = words.join(needed, "k", "left").where((often & differs) | F.col("asked"))
+    kept = kept.withColumn("own", often & differs).toPandas().sort_values("k")
+    kept_pairs = own_pairs.toPandas()
 
     shared = (kept["cont"].to_numpy() + 0.5) / (total["cont"] + 0.5 * total["u"] + 0.5)
-    keys = kept["k"].to_numpy()
-    p, back = {}, {}
+    keys, own = kept["k"].to_numpy(np.int64), kept["own"].to_numpy(bool)
+    p = {}
     for c in "10":
-        n, n_all, types = kept[f"n{c}"].to_numpy(float), total[f"n{c}"], total[f"u{c}"]
-        p[c] = np.maximum(n - DISCOUNT, 0) / n_all + DISCOUNT * types / n_all * shared
-        back[c] = np.where(n > 0, np.maximum(DISCOUNT * kept[f"t{c}"].to_numpy(), DISCOUNT) / np.maximum(n, 1), 1.0)
-    known = np.isin(kept_pairs["v"], keys) & np.isin(kept_pairs["w"], keys)
-    kept_pairs = kept_pairs[known]
-    iv, iw = (np.searchsorted(keys, kept_pairs[c].to_numpy()) for c in "vw")
+        n_all = total[f"n{c}"]
+        mine = np.maximum(kept[f"n{c}"].to_numpy(float) - DISCOUNT, 0) / n_all + DISCOUNT * total[f"u{c}"] / n_all * shared
+        p[c] = np.where(own, mine, shared)
+    both = (kept["n1"] + kept["n0"]).to_numpy(float)
+    back = np.clip(DISCOUNT * kept["types"].to_numpy() / np.maximum(both, 1), 1e-3, 1.0)
+    iv, iw = (np.searchsorted(keys, kept_pairs[c].to_numpy(np.int64)) for c in "vw")
     pc = {}
     for c in "10":
-        nv = kept[f"n{c}"].to_numpy(float)[iv]
-        own = np.where(nv > 0, np.maximum(kept_pairs[f"n{c}"].to_numpy() - DISCOUNT, 0) / np.maximum(nv, 1), 0)
-        pc[c] = own + back[c][iv] * p[c][iw]
+        nv = np.maximum(kept[f"n{c}"].to_numpy(float)[iv], 1)
+        pc[c] = np.maximum(kept_pairs[f"n{c}"].to_numpy() - DISCOUNT, 0) / nv + back[iv] * p[c][iw]
     key = pair_key(kept_pairs["v"].to_numpy(np.int64), kept_pairs["w"].to_numpy(np.int64))
     order = np.argsort(key)
-    return Model(
-        keys,
-        np.log(p["1"] / p["0"]),
-        np.log(back["1"] / back["0"]),
-        key[order],
-        np.log(pc["1"] / pc["0"])[order],
-        float(np.log(total["u1"] / total["n1"]) - np.log(total["u0"] / total["n0"])),
-    )
+    return Model(keys[own], np.log(p["1"] / p["0"])[own], key[order], np.log(pc["1"] / pc["0"])[order])
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
     if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        return otherwise.copy()
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+    return np.where(keys[at] == wanted, values[at], otherwise)
 
 
 def evidence(block: Block, model: Model) -> np.ndarray:
     """Columns per text: log-likelihood ratio per word, and per square root of words."""
     words = find_words(block, ALNUM, FOLD)
     w = _signed(words.hash)
-    at, known = _find(model.words, w)
-    llr = np.where(known, model.word_llr[at], model.rare_llr) if len(model.words) else np.full(len(w), model.rare_llr)
+    llr = _look_up(model.words, model.word_llr, w, np.zeros(len(w)))
     if len(w) > 1:
-        after = np.where(known[:-1], model.backoff_llr[at[:-1]], 0.0)
-        pair, seen = _find(model.pairs, pair_key(w[:-1], w[1:]))
-        joint = np.where(seen, model.pair_llr[pair], after + llr[1:]) if len(model.pairs) else after + llr[1:]
-        llr = llr.copy()
+        joint = _look_up(model.pairs, model.pair_llr, pair_key(w[:-1], w[1:]), llr[1:])
         llr[1:] = np.where(words.doc[1:] == words.doc[:-1], joint, llr[1:])
     n = np.maximum(words.counts, 1)
     total = np.bincount(words.doc, llr, block.n)
@@ -207,7 +206,7 @@ def toxicity_scores(
         seen = usable.agg(F.avg("__tx_y")).first()[0]
         weights = np.array([0.0, 0.0, 0.0])
         weights[0] = 0.0 if seen is None else (4.0 if seen > 0.5 else -4.0)
-        model = Model(*(np.zeros(0, t) for t in (np.int64, float, float, np.int64, float)), 0.0)
+        model = Model(*(np.zeros(0, t) for t in (np.int64, float, np.int64, float)))
     shared = spark.sparkContext.broadcast(model)
 
     def measure(rows: DataFrame, extra: str) -> DataFrame:
