@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from cartcast.llm.common import staged, with_small_side
 
 SLOTS = 1 << 14  # hashed words; bounds the classifier whatever the vocabulary
 MAX_ROWS = 20_000  # labelled documents the classifier learns from, the first by a hash of the id
+PRIOR_WORDS = 1000.0
 SHARPNESS = 40.0  # weight of a text's mean log-likelihood per word against the prior
 STEPS = 25
+RIDGE = 1e-4  # keeps a step bounded for domains with next to no tokens
 TOLERANCE = 1e-6  # share of all tokens by which domain totals may miss their targets
 
 #: Domains of the driver's labels and the shares of tokens wanted.
@@ -61,8 +64,9 @@ def classifier(
 ) -> tuple[Column, list[float]]:
     """Per-slot log probabilities by domain (one array column, domain-major) and log priors.
 
-    ``labelled``: id and ``domain``. Counts are add-one smoothed within each
-    domain; a domain without labelled words is uniform.
+    ``labelled``: id and ``domain``. A domain's counts are smoothed by
+    ``PRIOR_WORDS`` words of all domains' text, so what a domain has seen
+    little of speaks neither for nor against it.
     """
     chosen = (
         labelled.where(F.col("domain").isin(domains) & F.col(id_col).isNotNull())
@@ -89,9 +93,12 @@ def classifier(
     grid = spark.range(len(domains) * SLOTS).select(
         F.col("id").alias("at"), (F.col("id") / SLOTS).cast("int").alias("d"), (F.col("id") % SLOTS).cast("int").alias("slot")
     )
-    total = F.element_at(F.array(*[F.lit(totals[k] + SLOTS) for k in range(len(domains))]), F.col("d") + 1)
-    filled = grid.join(counts, ["d", "slot"], "left").select(
-        "at", F.log((F.coalesce("n", F.lit(0)) + 1) / total).cast("float").alias("lp")
+    everything = sum(totals.values()) + SLOTS
+    shared = counts.groupBy("slot").agg(F.sum("n").alias("all"))
+    prior = PRIOR_WORDS * (F.coalesce("all", F.lit(0)) + 1) / F.lit(float(everything))
+    total = F.element_at(F.array(*[F.lit(totals[k] + PRIOR_WORDS) for k in range(len(domains))]), F.col("d") + 1)
+    filled = grid.join(counts, ["d", "slot"], "left").join(shared, "slot", "left").select(
+        "at", F.log((F.coalesce("n", F.lit(0)) + prior) / total).cast("float").alias("lp")
     )
     table = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "lp"))), lambda s: s["lp"]).alias("lp"))
     return staged(table, "mix-table").scalar(), priors
@@ -143,26 +150,30 @@ def rate(moves: list[list[float]], p: str = "p") -> Column:
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Gradient steps whose ``rate`` brings the expected domain totals to the targets.
 
-    ``members``: tokens and p. Distances are weighted by the domains' shares at
-    the start, which makes the least squares well conditioned; the budget is
-    the tokens there are. Each step is one aggregate of a few numbers.
+    ``members``: tokens and p. The gradient of the least-squares distance is
+    scaled by the domains' second moments over the documents whose rate is not
+    held at 0, so a few steps suffice; the budget is the tokens there are. Each
+    step is one aggregate of a few numbers.
     """
     n = len(targets)
     moves: list[list[float]] = []
-    share = None
     for _ in range(steps + 1):
-        t = F.col("tokens").cast("double")
-        s = members.select(t.alias("t"), "p", rate(moves).alias("r")).agg(
-            F.sum("t").alias("all"), *[F.sum(F.col("t") * F.col("r") * F.col("p")[k]).alias(f"s{k}") for k in range(n)]
+        t, r, p = F.col("t"), F.col("r"), [F.col("p")[k] for k in range(n)]
+        pairs = [(j, k) for j in range(n) for k in range(j + 1)]
+        s = members.select(F.col("tokens").cast("double").alias("t"), "p", rate(moves).alias("r")).agg(
+            F.sum("t").alias("all"),
+            *[F.sum(t * r * p[k]).alias(f"s{k}") for k in range(n)],
+            *[F.sum(F.when(r > 0, t * p[j] * p[k])).alias(f"m{j}_{k}") for j, k in pairs],
         ).first()
         if not s["all"]:
             return []
-        now = [s[f"s{k}"] / s["all"] for k in range(n)]
-        share = share or [max(x, 1e-3) for x in now]
-        off = [now[k] - targets[k] for k in range(n)]
-        if max(map(abs, off)) < tolerance or len(moves) == steps:
+        off = np.array([s[f"s{k}"] / s["all"] - targets[k] for k in range(n)])
+        if np.abs(off).max() < tolerance or len(moves) == steps:
             break
-        moves.append([off[k] / share[k] for k in range(n)])
+        moment = np.zeros((n, n))
+        for j, k in pairs:
+            moment[j, k] = moment[k, j] = (s[f"m{j}_{k}"] or 0.0) / s["all"]
+        moves.append([float(x) for x in np.linalg.solve(moment + RIDGE * np.eye(n), off)])
     return moves
 
 

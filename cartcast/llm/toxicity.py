@@ -189,8 +189,9 @@ def toxicity_scores(
     Labels of the held-out fold (crc32 of the id modulo 5 is 0) are never
     read. A null text counts as empty and scores as no words do; a null id is
     scored and not held out; repeated rows are scored each; null labels are not
-    used. If the labels lack a class, every score is the share of the class
-    there is (0.5 without labels). Other columns are ignored.
+    used. If the labels lack a class, or no word tells the classes apart, every
+    score is the share of toxic rows (0.5 without labels). Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("__tx_id"), F.col(text_col).cast("string").alias("__tx_text"))
@@ -202,10 +203,11 @@ def toxicity_scores(
     counted = with_small_side(texts, usable.where(fold != CALIBRATION), ["__tx_id"])
     model = learn(counted.select("__tx_y", "__tx_text"))
 
-    if model is None:
+    weights = np.zeros(3)
+    if model is None or not len(model.words):
         seen = usable.agg(F.avg("__tx_y")).first()[0]
-        weights = np.array([0.0, 0.0, 0.0])
-        weights[0] = 0.0 if seen is None else (4.0 if seen > 0.5 else -4.0)
+        if seen is not None:
+            weights[0] = np.log((seen + 0.01) / (1.01 - seen))
         model = Model(*(np.zeros(0, t) for t in (np.int64, float, np.int64, float)))
     shared = spark.sparkContext.broadcast(model)
 

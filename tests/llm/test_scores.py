@@ -212,13 +212,12 @@ TARGETS = {"clean": 0.8, "poor": 0.1, "toxic": 0.1}
 
 def rates_brute(tokens, p, target, steps):
     r = np.ones(len(tokens))
-    share = None
     for _ in range(steps):
-        now = (tokens * r) @ p / tokens.sum()
-        share = np.maximum(now, 1e-3) if share is None else share
-        if np.abs(now - target).max() < mixing.TOLERANCE:
+        off = (tokens * r) @ p / tokens.sum() - target
+        if np.abs(off).max() < mixing.TOLERANCE:
             break
-        r = np.maximum(0, r - p @ ((now - target) / share))
+        moment = (p * (tokens * (r > 0))[:, None]).T @ p / tokens.sum()
+        r = np.maximum(0, r - p @ np.linalg.solve(moment + mixing.RIDGE * np.eye(len(target)), off))
     return r
 
 
