@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartcast.llm.common import read_table, ship_package
 from cartcast.llm.embedding_dedup import near_duplicates
@@ -45,7 +46,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+    rows = url_verdicts(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("good_rate", "good_rate_bound")})
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +96,100 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_FOLDED = f"translate(coalesce(text, ''), {_AZ})"
+
+# Pairs (a, b) of linked ids in both directions, closed over by the smallest id reachable.
+_REACHABLE = """reach(id, other) AS (
+  SELECT a, b FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a
+),
+lowest AS (SELECT id, min(other) AS low FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)"""
+
+# What is 1 / rho - 1 for counts (n, good) of units around the rate p of their parents.
+_STRENGTH = """SELECT CASE WHEN coalesce(room, 0) = 0 THEN 1.0
+  ELSE 1 / least(greatest((seen - noise) / room, 1 / 1001.0), 0.5) - 1 END AS s
+FROM (SELECT sum(n * (good / n - p) * (good / n - p)) AS seen, sum(p * (1 - p)) AS noise, sum(p * (1 - p) * (n - 1)) AS room
+      FROM {level} WHERE n > 0)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) END AS s
+          FROM w
+        ),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        pair AS (
+          SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i
+          FROM e x JOIN e y ON x.g = y.g AND x.doc_id != y.doc_id GROUP BY x.doc_id, y.doc_id
+        ),
+        link AS (SELECT a, b FROM pair WHERE 100 * i >= 90 * (na + nb - i)),
+        {_REACHABLE}
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.low, s.doc_id)) AS component_id,
+               CAST(coalesce(d.n, 0) AS BIGINT) AS n_links
+        FROM s LEFT JOIN lowest l ON l.id = s.doc_id LEFT JOIN degree d ON d.id = s.doc_id""",
+    "op3_embedding_dedup": f"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x != 0)) > 0
+        ),
+        link AS (
+          SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id != y.vec_id AND len(x.v) = len(y.v)
+          WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+        ),
+        {_REACHABLE}
+        SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.low, e.vec_id)) AS component_id,
+               e.vec_id <= coalesce(l.low, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN lowest l ON l.id = e.vec_id LEFT JOIN degree d ON d.id = e.vec_id""",
+    "op5_url_filter": f"""
+        WITH h AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_AZ}) AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+          FROM pages
+        ),
+        c AS (
+          SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+                 count(*) AS n, CAST(sum(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS good
+          FROM h JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+)?/?$', 1) AS BIGINT)
+          WHERE host != '' AND quality IS NOT NULL GROUP BY ALL
+        ),
+        t AS (SELECT coalesce(sum(n), 0) AS n, (coalesce(sum(good), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS p FROM c),
+        sl AS (SELECT suffix, sum(c.n) AS n, sum(good) AS good, any_value(t.p) AS p FROM c, t GROUP BY suffix),
+        ss AS ({_STRENGTH.format(level="sl")}),
+        sf AS (SELECT suffix, (good + s * p) / (n + s) AS m, n + s AS w FROM sl, ss),
+        dl AS (SELECT domain, sum(c.n) AS n, sum(good) AS good, any_value(sf.m) AS p FROM c JOIN sf USING (suffix) GROUP BY domain),
+        ds AS ({_STRENGTH.format(level="dl")}),
+        dm AS (SELECT domain, (good + s * p) / (n + s) AS m, n + s AS w FROM dl, ds),
+        hl AS (
+          SELECT k.host, coalesce(c.n, 0) AS n, coalesce(c.good, 0) AS good, coalesce(dm.m, sf.m, t.p) AS p,
+                 coalesce(dm.w, sf.w, t.n + 1) AS above
+          FROM (SELECT DISTINCT host FROM h) k CROSS JOIN t LEFT JOIN c ON c.host = k.host
+          LEFT JOIN dm ON dm.domain = regexp_extract(k.host, '([^.]*[.])?[^.]*$')
+          LEFT JOIN sf ON sf.suffix = regexp_extract(k.host, '[^.]*$')
+        ),
+        hs AS ({_STRENGTH.format(level="hl")}),
+        hm AS (
+          SELECT host, m, greatest(m - 1.645 * sqrt(m * (1 - m) / (w + 1)), 0) AS lower
+          FROM (SELECT host, (good + s * p) / (n + s) AS m, CASE WHEN n > 0 THEN n + s ELSE above END AS w FROM hl, hs)
+        ),
+        r AS (
+          SELECT h.*, hm.m, hm.lower,
+            CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+          FROM h JOIN hm USING (host)
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                    WHEN lower >= 0.5 THEN 'allow' ELSE 'block' END AS verdict,
+               round(m, 6) AS good_rate, round(lower, 6) AS good_rate_bound
+        FROM r""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLDED}) AS h FROM documents)
         SELECT doc_id,
