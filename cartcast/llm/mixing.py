@@ -125,14 +125,15 @@ def with_posteriors(docs: DataFrame, table: Column, priors: list[float], id_col:
     return rows.select(*keep, "__mx_id", "__mx_tokens", F.transform("__mx_e", lambda x: x / total).alias("__mx_p"))
 
 
-def _members(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str, text_col: str, max_rows: int):
-    """The documents with their posteriors, the small table of those, and the fitted steps."""
-    domains, whole = sorted(targets), sum(targets.values())
-    table, priors = classifier(docs, labelled, domains, id_col, text_col, max_rows)
-    rows = with_posteriors(docs, table, priors, id_col, text_col)
-    small = rows.select(F.col("__mx_id").alias("id"), F.col("__mx_tokens").alias("tokens"), F.col("__mx_p").alias("p"))
-    small = staged(small, "mix-members")
-    return rows, small, fit_rates(small, [targets[d] / whole for d in domains])
+def _posteriors(docs, labelled, targets, id_col, text_col, max_rows) -> DataFrame:
+    table, priors = classifier(docs, labelled, sorted(targets), id_col, text_col, max_rows)
+    return with_posteriors(docs, table, priors, id_col, text_col)
+
+
+def _fit(rows: DataFrame, targets: Mapping[str, float]) -> list[list[float]]:
+    whole = sum(targets.values())
+    members = rows.select(F.col("__mx_tokens").alias("tokens"), F.col("__mx_p").alias("p"))
+    return fit_rates(members, [targets[d] / whole for d in sorted(targets)])
 
 
 def rate(moves: list[list[float]], p: str = "p") -> Column:
@@ -195,14 +196,15 @@ def mixed(
     rates are equal. Other columns are ignored, and an empty table gives no rows.
     """
     domains = sorted(targets)
-    _, members, moves = _members(docs, labelled, targets, id_col, text_col, max_rows)
-    rated = members.withColumn("rate", rate(moves))
-    return rated.select(
-        F.col("id").alias(id_col),
-        "tokens",
-        *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)],
-        "rate",
-        copies(F.col("id"), F.col("rate")).alias("copies"),
+    rows = _posteriors(docs.select(id_col, text_col), labelled, targets, id_col, text_col, max_rows)
+    rows = staged(rows.select("__mx_id", "__mx_tokens", "__mx_p"), "mix-members")
+    r = rate(_fit(rows, targets), "__mx_p")
+    return rows.select(
+        F.col("__mx_id").alias(id_col),
+        F.col("__mx_tokens").alias("tokens"),
+        *[F.col("__mx_p")[k].alias(f"p_{d}") for k, d in enumerate(domains)],
+        r.alias("rate"),
+        copies(F.col("__mx_id"), r).alias("copies"),
     )
 
 
@@ -222,10 +224,10 @@ def resample(
 ) -> DataFrame:
     """The documents repeated ``copies`` times (0: dropped), all columns kept.
 
-    Rates come from the fit over the whole table and are applied where the text
-    lies, from its posterior, so no text is shuffled.
+    The documents are written once with their posteriors, so texts are scored
+    once; the fit reads the posteriors alone, and no text is shuffled.
     """
-    rows, _, moves = _members(docs, labelled, targets, id_col, text_col, max_rows)
-    n = copies(F.col("__mx_id"), rate(moves, "__mx_p"))
+    rows = staged(_posteriors(docs, labelled, targets, id_col, text_col, max_rows), "mix-documents")
+    n = copies(F.col("__mx_id"), rate(_fit(rows, targets), "__mx_p"))
     rows = rows.select(*docs.columns, n.alias("__mx_copies")).where("__mx_copies > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))).alias("__mx_copy")).drop("__mx_copy")
