@@ -3,19 +3,19 @@
 A document is its set of distinct word shingles, each a 64-bit hash. Hashing a
 set's shingles into groups and counting per group makes it a point; two sets
 share at most the sum over groups of the smaller count, and two boxes of an
-R-tree at most the sum of the smaller upper corners. The join descends pairs of
-boxes whose bound (and size range) still allows the threshold, down to points,
-and verifies the pairs left by exact intersection.
-
-To spread this over a cluster, the points are first divided into clusters that
-cannot link with each other. Shingles are ordered from rare to frequent (by the
-document counts of their hashed groups over all documents); a set with ``n``
-shingles cannot share ``t * n`` of them with another unless the two have one of
-their first ``n - ceil(t n) + 1`` in common. Sets that share such a shingle,
-directly or through others, form a cluster, and each cluster is joined by its
-own R-tree in one task, or, if it is large, in blocks whose pairs are tasks.
-Equal sets are one point. No pair is ever emitted: a task returns a link count
-per point and a spanning forest of the links it found.
+R-tree at most the sum of the smaller upper corners. A join descends pairs of
+boxes whose bound (and size range) still allows the threshold, down to points;
+the pairs left are verified by exact intersection.
+
+To spread this over a cluster, shingles are ordered from rare to frequent (by
+the document counts of their hashed groups over all documents). A set with
+``n`` shingles cannot share ``t * n`` of them with another unless the two have
+one of their first ``n - ceil(t n) + 1`` in common, so the points that share
+such a shingle are joined among themselves, bucket by bucket. Points whose
+bound allows a link are tied; what is tied forms a cluster, and each cluster is
+joined once more, now with its sets, by an R-tree in one task, or, if it is
+large, in blocks whose pairs are tasks. Equal sets are one point. No pair is
+ever emitted: a task returns a link count per point and a spanning forest.
 """
 
 from __future__ import annotations
@@ -43,11 +43,13 @@ from cartcast.llm.words import FOLD, NOT_SPACE, blocks, find_words, mix, ngram_h
 
 SHINGLE = 3
 PERCENT = 90  # links have 100 * intersection >= PERCENT * union
-GROUP_BITS = 18  # groups whose document counts order the shingles
+GROUP_BITS = 19  # groups whose document counts order the shingles
 LEAF = 32  # points of a leaf
 FANOUT = 8  # boxes of an inner box
 MASS = 1 << 20  # shingles joined in one task
-BUSY = 8  # times the mean group count from which a shingle's cluster edges are salted
+GROUPS = 256  # of the points that buckets are joined by
+BUCKET = 4096  # points of a bucket joined by its own R-tree
+TASK_ROWS = 40_000  # bucket members handled by one task
 
 
 def text_sets(texts: pa.Array, shingle: int, order: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -71,7 +73,7 @@ def text_sets(texts: pa.Array, shingle: int, order: np.ndarray | None = None) ->
             at = np.searchsorted(doc, short)
             doc, h = np.insert(doc, at, short), np.insert(h, at, whole)
         if order is not None:
-            h = order[(h & mask).astype(np.int64)] << np.uint64(64 - GROUP_BITS) | h >> np.uint64(GROUP_BITS)
+            h = order[(h & mask).astype(np.int64)].astype(np.uint64) << np.uint64(64 - GROUP_BITS) | h >> np.uint64(GROUP_BITS)
         cuts = np.searchsorted(doc, np.arange(block.n + 1)).tolist()
         for i in range(block.n):
             yield np.unique(h[cuts[i] : cuts[i + 1]])
@@ -82,22 +84,28 @@ def set_digest(keys: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(keys), keepdims=True) + np.uint64(len(keys))).view(np.int64)[0])
 
 
+def group_point(keys: np.ndarray, groups: int) -> np.ndarray:
+    """How many of a set's hashes fall into each of ``groups`` groups."""
+    return np.bincount((mix(keys) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def survey(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (doc, n, node) of every document, and one row per task (doc null, counts) of group document counts."""
+    """Rows (doc, n, node, point) of every document, and one row per task (n -1) of group document counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << GROUP_BITS, np.int64)
         mask = np.uint64((1 << GROUP_BITS) - 1)
-        names, some = ["doc", "n", "node", "counts"], False
+        names, some = ["doc", "n", "node", "point"], False
         for batch in batches:
-            sizes, nodes, pending, held = [], [], [], 0
+            sizes, nodes, points, pending, held = [], [], [], [], 0
             for keys in text_sets(batch.column(1), shingle):
                 sizes.append(len(keys))
                 nodes.append(set_digest(keys) if len(keys) else None)
+                points.append(np.minimum(group_point(keys, GROUPS), 0xFFFF).astype(np.uint16).tobytes())
                 pending.append(keys)
                 held += len(keys)
                 if held > 1 << 18:
@@ -107,72 +115,143 @@ def survey(docs: DataFrame, shingle: int) -> DataFrame:
                 counts += np.bincount((np.concatenate(pending) & mask).astype(np.int64), minlength=len(counts))
             some = True
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.nulls(len(sizes), pa.binary())], names
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names
             )
         if some:
-            row = [pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())]
+            # Counts only order the shingles, so they may saturate.
+            small = np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
+            row = [pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([small], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, names)
 
-    return staged(docs.mapInArrow(run, "doc long, n int, node long, counts binary"), "shingle-survey")
+    return staged(docs.mapInArrow(run, "doc long, n int, node long, point binary"), "shingle-survey")
 
 
 def group_counts(surveyed: DataFrame) -> np.ndarray:
-    """Document counts per group: the tasks' counts summed, first in parts, the parts here."""
+    """Document counts per group: the tasks' counts summed in parts, then over the parts; one row comes here."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << GROUP_BITS, np.int64)
-        for batch in batches:
-            for row in batch.column(0):
-                total += np.frombuffer(row.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+    def total_of(kind: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << GROUP_BITS, np.int64)
+            for batch in batches:
+                for row in batch.column(0):
+                    total += np.frombuffer(row.as_py(), kind)
+            small = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([small], pa.binary())], ["point"])
 
-    parts = surveyed.where("n = -1").select("counts").repartition(16).mapInArrow(run, "counts binary")
-    return sum((np.frombuffer(r["counts"], np.int64) for r in parts.collect()), np.zeros(1 << GROUP_BITS, np.int64))
+        return run
 
+    rows = surveyed.where("n = -1").select("point")
+    parts = rows.repartition(16).mapInArrow(total_of(np.uint16), "point binary")
+    whole = parts.repartition(1).mapInArrow(total_of(np.uint32), "point binary").collect()
+    return np.frombuffer(whole[0]["point"], np.uint32) if whole else np.zeros(1 << GROUP_BITS, np.uint32)
 
-def shared_prefixes(
-    docs: DataFrame, counts: np.ndarray, copied: dict[int, int], shingle: int, percent: int
-) -> DataFrame:
-    """Edges (a, b) between points that share one of their rarest shingles, enough to connect all that do.
 
-    Within a shingle every point is tied to the smallest. A shingle of a busy
-    group is salted by point, and its salts' smallest points are tied in turn.
+def prefixes(docs: DataFrame, counts: np.ndarray, copied: dict[int, int], shingle: int, percent: int) -> DataFrame:
+    """Rows (shingle, node, n): the rarest shingles of every point; a written table.
+
     ``copied``: of very large groups of equal sets, the document that stands for them.
     """
-    order = np.empty(len(counts), np.uint64)
-    order[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
-    by_rank = np.sort(counts)
-    busy = max(float(BUSY * counts.mean()), 1000.0)
-    salts = np.ceil(by_rank / busy).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((order, salts, copied))
+    order = np.empty(len(counts), np.uint32)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast((order, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, salts, copied = shared.value
-        names = ["shingle", "salt", "node"]
+        order, copied = shared.value
         for batch in batches:
-            ids, keys_out, nodes_out = batch.column(0).to_pylist(), [], []
+            ids, firsts, nodes, sizes = batch.column(0).to_pylist(), [], [], []
             for doc, keys in zip(ids, text_sets(batch.column(1), shingle, order)):
                 if not len(keys) or doc is None:
                     continue
                 node = set_digest(_unordered(keys, order))
-                if copied.get(node, doc) != doc:
-                    continue
-                first = keys[: prefix_length(len(keys), percent)]
-                keys_out.append(first)
-                nodes_out.append(np.full(len(first), node, np.int64))
-            if keys_out:
-                k, node = np.concatenate(keys_out), np.concatenate(nodes_out)
-                s = salts[(k >> np.uint64(64 - GROUP_BITS)).astype(np.int64)]
-                salt = np.where(s > 1, (mix(node.view(np.uint64)) % np.maximum(s, 1).astype(np.uint64)).astype(np.int64), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(node)], names)
-
-    rows = staged(docs.mapInArrow(run, "shingle long, salt int, node long"), "prefixes")
+                if copied.get(node, doc) == doc:
+                    firsts.append(keys[: prefix_length(len(keys), percent)])
+                    nodes.append(node)
+                    sizes.append(len(keys))
+            if firsts:
+                times = [len(f) for f in firsts]
+                columns = [
+                    pa.array(np.concatenate(firsts).view(np.int64)),
+                    pa.array(np.repeat(np.array(nodes, np.int64), times)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), times)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "n"])
+
+    return staged(docs.mapInArrow(run, "shingle long, node long, n int"), "prefixes")
+
+
+def ties(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all points whose bound allows a link.
+
+    ``rows``: shingle, node, n; ``points``: node, point. The points of a bucket
+    that have one of fitting size beside them are joined by an R-tree. In a
+    bucket of more than ``BUCKET`` points all are tied, each to the smallest of
+    its salt and those to the smallest of the bucket: that may join clusters
+    that need not be, but separates none.
+    """
+    size = rows.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("rows"))
+    size = staged(size.where("low < high").select("shingle", "rows"), "buckets")
+    members = staged(attach(rows, size, ["shingle"], "rows"), "bucket-members")
+
+    by_size = Window.partitionBy("shingle").orderBy("n", "node")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.lead("n").over(by_size) * percent <= F.col("n") * 100)
+    few = members.where(F.col("rows") <= BUCKET).withColumn("fits", fits).where("fits").select("shingle", "node", "n")
+    few = staged(few, "bucket-fits")
+    tasks = max(1, few.count() // TASK_ROWS)
+    wide = few.join(points, "node").withColumn("task", F.pmod(F.xxhash64("shingle"), F.lit(tasks)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["shingle", "node"]).sort_values(["shingle", "node"], kind="stable")
+        node, size = pdf["node"].to_numpy(), pdf["n"].to_numpy(np.int64)
+        point = np.frombuffer(b"".join(pdf["point"]), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+        point[point == 0xFFFF] = 1 << 24  # saturated: bounds nothing
+        key = pdf["shingle"].to_numpy()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.diff(np.append(start, len(node)))
+        two = start[length == 2]  # most buckets: one bound each
+        fits = bounded(point[two], size[two], point[two + 1], size[two + 1], percent)
+        edges = [(node[two[fits]], node[two[fits] + 1])]
+        for at, k in zip(start[length > 2], length[length > 2]):
+            own = slice(at, at + k)
+            x, y = tied_points(RTree(size[own], point[own]), percent)
+            edges.append((node[own][x], node[own][y]))
+        return pd.DataFrame({c: np.concatenate([e[i] for e in edges]) for i, c in enumerate("ab")}).drop_duplicates()
+
+    near = wide.select("task", "shingle", "node", "n", "point").groupBy("task").applyInPandas(run, "a long, b long")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BUCKET))
+    many = members.where(F.col("rows") > BUCKET).select("shingle", salt.alias("salt"), "node")
     low = F.min("node").over(Window.partitionBy("shingle", "salt"))
-    near = rows.select("node", low.alias("low")).where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    lows = rows.where("salt >= 0").groupBy("shingle", "salt").agg(F.min("node").alias("node"))
-    lowest = F.min("node").over(Window.partitionBy("shingle"))
-    far = lows.select("node", lowest.alias("low")).where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return near.union(far)
+    star = many.select(F.col("node").alias("a"), low.alias("b")).where("a != b")
+    lows = many.groupBy("shingle", "salt").agg(F.min("node").alias("a"))  # one row per salt
+    far = lows.select("a", F.min("a").over(Window.partitionBy("shingle")).alias("b")).where("a != b")
+    return near.union(star).union(far)
+
+
+def bounded(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sums of smaller counts of points p, q (sizes n, m) reach what a link needs."""
+    return np.minimum(p, q).sum(1) >= _needed(n, m, percent)
+
+
+def tied_points(tree: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of points whose bound allows a link."""
+    up = list(range(len(tree.rows)))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for p, q in leaf_pairs(tree, tree, percent):
+        i, j = tree.leaf_points(p), tree.leaf_points(q)
+        ri, rj = tree.rows[i], tree.rows[j]
+        if len({find(int(r)) for r in (*ri, *rj)}) == 1:
+            continue  # all connected already
+        for x, y in zip(*np.nonzero(tree.allowed(tree, i, j, percent))):
+            a, b = find(int(ri[x])), find(int(rj[y]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    x = np.array([i for i in range(len(up)) if find(i) != i], dtype=int)
+    return x, np.array([find(int(i)) for i in x], dtype=int)
 
 
 _inverse: dict[int, np.ndarray] = {}
@@ -197,15 +276,11 @@ class RTree:
     corners of level ``k``; level 0 are the leaves.
     """
 
-    def __init__(self, sets: list[np.ndarray], groups: int):
+    def __init__(self, size: np.ndarray, counts: np.ndarray, sets: list[np.ndarray] | None = None):
         self.sets = sets
-        size = np.array([len(s) for s in sets])
-        counts = np.zeros((len(sets), groups), np.int32)
-        for i, s in enumerate(sets):
-            counts[i] = np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)
         self.rows = self._packed(size, counts)
         self.size, self.counts = size[self.rows], counts[self.rows]
-        leaf = np.arange(0, len(sets), LEAF)
+        leaf = np.arange(0, len(size), LEAF)
         self.upper = [np.maximum.reduceat(self.counts, leaf)]
         self.least = [np.minimum.reduceat(self.size, leaf)]
         self.most = [np.maximum.reduceat(self.size, leaf)]
@@ -230,6 +305,15 @@ class RTree:
             order[at : at + slab] = part
         return order
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], groups: int) -> RTree:
+        return cls(np.array([len(s) for s in sets]), np.stack([group_point(s, groups) for s in sets]), sets)
+
+    def allowed(self, other: RTree, i: slice, j: slice, percent: int) -> np.ndarray:
+        """Which points i of this tree and j of the other may link, by their bound."""
+        bound = np.minimum(self.counts[i, None, :], other.counts[None, j, :]).sum(2)
+        return bound >= _needed(self.size[i, None], other.size[None, j], percent)
+
     def leaf_points(self, leaf: int) -> slice:
         return slice(leaf * LEAF, min((leaf + 1) * LEAF, len(self.rows)))
 
@@ -290,9 +374,8 @@ def tree_links(one: RTree, two: RTree, percent: int) -> Iterator[tuple[np.ndarra
     """Linked pairs (set of one, set of two), in batches; with ``one is two`` each pair once."""
     for p, q in leaf_pairs(one, two, percent):
         i, j = one.leaf_points(p), two.leaf_points(q)
-        bound = np.minimum(one.counts[i, None, :], two.counts[None, j, :]).sum(2)
         need = _needed(one.size[i, None], two.size[None, j], percent)
-        maybe = bound >= need
+        maybe = one.allowed(two, i, j, percent)
         if one is two and p == q:
             maybe &= np.arange(len(maybe))[:, None] < np.arange(maybe.shape[1])[None, :]
         x, y = np.nonzero(maybe)
@@ -332,10 +415,10 @@ def join_sets(
         parts = [np.flatnonzero(side == s) for s in (0, 1)]
         if not len(parts[0]) or not len(parts[1]):
             return counts, []
-        trees = [RTree([sets[i] for i in part], groups) for part in parts]
+        trees = [RTree.of_sets([sets[i] for i in part], groups) for part in parts]
         found = ((parts[0][x], parts[1][y]) for x, y in tree_links(trees[0], trees[1], percent))
     else:
-        tree = RTree(sets, groups)
+        tree = RTree.of_sets(sets, groups)
         found = tree_links(tree, tree, percent)
     for x, y in found:
         counts += np.bincount(x, copies[y], n).astype(np.int64) + np.bincount(y, copies[x], n).astype(np.int64)
@@ -420,7 +503,7 @@ def jaccard_links(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     surveyed = survey(texts, shingle)
-    rows = surveyed.where("n >= 0").select("doc", "n", "node")
+    rows = surveyed.where("n >= 0")
     points = rows.where("node IS NOT NULL AND doc IS NOT NULL").groupBy("node").agg(
         F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")
     )
@@ -429,8 +512,9 @@ def jaccard_links(
     limit = max(total // HOT_PARTS, HOT_LEAST)
     copied = {r["node"]: r["doc"] for r in points.where(F.col("copies") > limit).select("node", "doc").collect()}  # < HOT_PARTS
 
-    edges = shared_prefixes(texts, group_counts(surveyed), copied, shingle, percent)
-    members = components(edges).join(points, "node")
+    firsts = prefixes(texts, group_counts(surveyed), copied, shingle, percent)
+    vectors = rows.join(points.select("node", "doc"), ["node", "doc"]).select("node", "point")
+    members = components(ties(firsts, vectors, percent)).join(points, "node")
     found = staged(cluster_links(texts, staged(members, "clusters"), shingle, percent, mass), "shingle-links")
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
