@@ -1,11 +1,14 @@
-"""Substring deduplication by content-defined chunks.
-
-A gear rolling hash cuts each text into variable chunks where the hash of the
-last ``WINDOW`` bytes has its top bits zero, so a passage is cut alike wherever
-it stands, whatever was inserted before it. Chunks are deduplicated by digest:
-the first occurrence, by document and place, stays. Neighbouring repeated
-chunks of a document are joined to runs; a run of enough words is a repeated
-passage, and its bytes are removed.
+"""Substring deduplication: every passage of enough words that occurs before.
+
+A passage is found by its windows of ``min_words`` words, compared byte for
+byte by digest: a window that occurs before, by document and place, is
+repeated, and the repeated windows of a document that overlap or touch are one
+span, from its first word to its last. To hash few windows, texts are first
+winnowed: of each ``min_words`` words one shorter run, the one of smallest
+hash, is an anchor. The choice only depends on these words, so equal windows
+have equal anchors, and only windows around an anchor that occurs more than
+once can repeat. Spans are also measured in content-defined chunks, cut where
+the gear hash of the last ``WINDOW`` bytes has its top bits zero.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartcast.llm.common import HOT_LEAST, HOT_PARTS, staged
-from cartcast.llm.words import NOT_SPACE, Block, blocks, span_hash
+from cartcast.llm.common import attach, staged
+from cartcast.llm.words import NOT_SPACE, Block, Words, blocks, find_words, ngram_hash, span_hash
 
 WINDOW = 16  # bytes the rolling hash sees
 BITS = 5  # top bits that are zero at a cut: one place in 32
 SHORTEST, LONGEST = 16, 128  # bytes of a chunk
-MIN_WORDS = 24  # words of a run; a passage of 50 loses at most its two outer chunks
+MIN_WORDS = 24  # words of a passage; every repeat of so many words is found
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -74,58 +77,132 @@ def chunk_ends(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.array(docs, np.int64), np.array(ends, np.int64)
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, start, stop (bytes), words (that begin in the chunk), digest of every chunk of every text."""
+def anchors(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, at (word it begins with), digest of every anchor: the run of about
+    half of ``min_words`` words whose hash is smallest (the last of equal ones)
+    among those within some ``min_words`` words of a text."""
+    run_words = anchor_words(min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
-                doc, end = chunk_ends(block)
-                if not len(end):
-                    continue
-                start = np.append(0, end[:-1])
-                first = np.append(True, doc[1:] != doc[:-1])
-                start[first] = block.offsets[doc[first]]
-                inside = NOT_SPACE[block.data]
-                begins = inside.copy()
-                begins[1:] &= ~inside[:-1]
-                number = np.append(0, np.cumsum(begins))
+                words = find_words(block, NOT_SPACE)
+                first = np.cumsum(words.counts) - words.counts
+                word = np.unique(anchor_of(words, min_words)[1])
+                doc = words.doc[word]
+                # The digest is of the bytes, white space between the words too.
+                digest = span_hash(block.data, words.start[word], words.end[word + run_words - 1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[block.first + doc].astype(np.int64)),
+                        pa.array((word - first[doc]).astype(np.int32)),
+                        pa.array(digest.view(np.int64)),
+                    ],
+                    ["doc", "at", "digest"],
+                )
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, at int, digest long")
+
+
+def anchor_words(min_words: int) -> int:
+    return max(1, min_words // 2)
+
+
+def anchor_of(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of every window of ``min_words`` words within a text, and of its anchor."""
+    n = anchor_words(min_words)
+    choice = min_words - n + 1
+    doc, h = ngram_hash(words, n)
+    if len(h) < choice:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    back = np.lib.stride_tricks.sliding_window_view(h[::-1], choice).argmin(1)[::-1]
+    last = np.arange(choice - 1, len(h))
+    inside = doc[last - choice + 1] == doc[last]
+    runs = np.maximum(words.counts - n + 1, 0)
+    to_word = (np.cumsum(words.counts) - words.counts) - (np.cumsum(runs) - runs)
+    last, anchor = last[inside], (last - back)[inside]
+    shift = to_word[doc[last]]
+    return last - choice + 1 + shift, anchor + shift
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return source.where("doc IS NOT NULL")
+
+
+def windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The windows of ``min_words`` words whose anchor occurs more than once.
+
+    digest, doc, at (its first word), start and size (bytes), chunk (the number
+    of the one that holds its first byte), more (chunks begun after that), again
+    (it occurs in the text before, not overlapping its first place there).
+    """
+    found = staged(anchors(docs, min_words, id_col, text_col), "anchors")
+    counts = staged(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
+    places = attach(found, counts, ["digest"], "n").groupBy("doc").agg(F.collect_set("at").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for block in blocks(batch.column(1)):
+                words = find_words(block, NOT_SPACE)
+                first = np.cumsum(words.counts) - words.counts
+                rows = batch.column(2).slice(block.first, block.n)
+                of = np.repeat(np.arange(block.n), np.diff(rows.offsets.to_numpy()))
+                place = rows.flatten().to_numpy()
+                here = place < words.counts[of]  # an id may have several texts
+                of, place = of[here], place[here]
+                repeated = np.zeros(len(words.start), bool)
+                repeated[first[of] + place] = True
+                begin, anchor = anchor_of(words, min_words)
+                begin = begin[repeated[anchor]]
+                doc = words.doc[begin]
+                start, stop = words.start[begin], words.end[begin + min_words - 1]
+                digest = span_hash(block.data, start, stop)
+                _, ends = chunk_ends(block)
+                chunk, last_chunk = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop - 1, "right")
                 base = block.offsets[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(digest.view(np.int64)),
                         pa.array(ids[block.first + doc].astype(np.int64)),
+                        pa.array((begin - first[doc]).astype(np.int32)),
                         pa.array((start - base).astype(np.int32)),
-                        pa.array((end - base).astype(np.int32)),
-                        pa.array((number[end] - number[start]).astype(np.int32)),
-                        pa.array(span_hash(block.data, start, end).view(np.int64)),
+                        pa.array((stop - start).astype(np.int32)),
+                        pa.array((chunk - np.searchsorted(ends, base, "right")).astype(np.int32)),
+                        pa.array((last_chunk - chunk).astype(np.int32)),
+                        pa.array(again(doc, digest, start, stop)),
                     ],
-                    ["doc", "start", "stop", "words", "digest"],
+                    ["digest", "doc", "at", "start", "size", "chunk", "more", "again"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return source.where("doc IS NOT NULL").mapInArrow(run, "doc long, start int, stop int, words int, digest long")
+    rows = _texts(docs, id_col, text_col).join(staged(places, "anchor-places"), "doc").select("doc", "text", "places")
+    return rows.mapInArrow(run, "digest long, doc long, at int, start int, size int, chunk int, more int, again boolean")
 
 
-def repeated_chunks(all_chunks: DataFrame) -> DataFrame:
-    """Chunks whose digest occurred before, by (document, place), with the document of the first.
+def again(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which windows begin at or after the end of the first like them in their text."""
+    order = np.lexsort((start, digest, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    ends = stop[order][new][np.cumsum(new) - 1]
+    out = np.zeros(len(order), bool)
+    out[order] = start[order] >= ends
+    return out
 
-    ``all_chunks`` is a written table. Digests are counted with partial
-    aggregation; those that repeat meet their chunks again, the at most
-    ``HOT_PARTS`` very common ones by broadcast, so no task gathers one.
+
+def repeated_windows(every: DataFrame) -> DataFrame:
+    """Windows that occurred before, by (document, place), with the document of the first.
+
+    ``every`` is a written table. Digests are counted with partial aggregation;
+    those that repeat meet their windows again, the very common ones by
+    broadcast, so no task gathers one. A window that overlaps its own first
+    place is part of what stays.
     """
-    seen = all_chunks.groupBy("digest").agg(
-        F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1")
-    seen = staged(seen.select("digest", "n", F.col("first.doc").alias("keep_doc"), F.col("first.start").alias("keep_start")), "repeats")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    limit = max(total // HOT_PARTS, HOT_LEAST)
-    hot = seen.where(F.col("n") > limit).drop("n")
-    cold = seen.where(F.col("n") <= limit).drop("n")
-    common = all_chunks.join(F.broadcast(hot), "digest")
-    rare = all_chunks.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
-    later = (F.col("doc") != F.col("keep_doc")) | (F.col("start") != F.col("keep_start"))
-    return common.unionByName(rare).where(later).select("doc", "start", "stop", "words", "keep_doc")
+    seen = every.groupBy("digest").agg(F.min("doc").alias("keep_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = attach(every, staged(seen, "repeats"), ["digest"], "n")
+    return found.where((F.col("doc") != F.col("keep_doc")) | F.col("again")).drop("digest", "n", "again")
 
 
 def repeated_spans(
@@ -133,26 +210,26 @@ def repeated_spans(
 ) -> DataFrame:
     """Repeated passages: id, start, end (bytes of the text), n_words, n_chunks, first_doc_ids.
 
-    A passage stays in the document of smallest id that has it (in its first
-    place there); every other occurrence is a row. Texts wholly repeated are one
-    row. Null and empty texts have no chunks; rows with a null id are not
-    looked at; rows with equal id and text are one document. Other columns are
-    ignored, and an empty table gives no rows.
+    Every run of ``min_words`` or more words, alike in every byte from its first
+    word to its last, that occurs before. A passage stays in the document of
+    smallest id that has it (in its first place there); every other occurrence
+    is a row, ``n_chunks`` the content-defined chunks it touches. Texts wholly
+    repeated are one row. Null and empty texts and texts of fewer words have
+    none; rows with a null id are not looked at; rows with equal id and text are
+    one document. Other columns are ignored, and an empty table gives no rows.
     """
-    found = repeated_chunks(staged(chunks(docs, id_col, text_col), "chunks")).distinct()
-    place = Window.partitionBy("doc").orderBy("start")
-    runs = found.withColumn("new", (F.col("start") != F.lag("stop", 1, -1).over(place)).cast("int"))
+    found = repeated_windows(staged(windows(docs, min_words, id_col, text_col), "windows")).distinct()
+    place = Window.partitionBy("doc").orderBy("at")
+    runs = found.withColumn("new", (F.col("at") > F.lag("at", 1, -1 - min_words).over(place) + min_words).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(place))
     spans = runs.groupBy("doc", "run").agg(
         F.min("start").alias("start"),
-        F.max("stop").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.max(F.col("start") + F.col("size")).alias("end"),
+        (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words"),
+        (F.max(F.col("chunk") + F.col("more")) - F.min("chunk") + 1).cast("long").alias("n_chunks"),
         F.sort_array(F.collect_set("keep_doc")).alias("first_doc_ids"),
     )
-    return spans.where(F.col("n_words") >= min_words).select(
-        F.col("doc").alias(id_col), "start", "end", "n_words", "n_chunks", "first_doc_ids"
-    )
+    return spans.select(F.col("doc").alias(id_col), "start", "end", "n_words", "n_chunks", "first_doc_ids")
 
 
 def remove_repeats(

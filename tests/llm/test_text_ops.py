@@ -250,3 +250,49 @@ def test_whole_copies_and_odd_rows(spark):
     out = substring_dedup.remove_repeats(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert substring_dedup.repeated_spans(make_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n_words", [24, 51, 60])
+def test_no_repeated_passage_is_lost(spark, n_words):
+    rng = random.Random(n_words)
+    words = vocabulary(rng, 3000)
+    pairs, passages = [], []
+    for k in range(400):
+        passages.append(invented(rng, n_words, words))
+        pairs += [(2 * k + j, f"{invented(rng, rng.randint(1, 60), words)} {passages[k]} {invented(rng, 20, words)}") for j in (0, 1)]
+    rows = {r.doc_id: r for r in substring_dedup.repeated_spans(make_docs(spark, pairs)).collect()}
+    texts = dict(pairs)
+    assert set(rows) == {2 * k + 1 for k in range(400)}
+    for k, passage in enumerate(passages):
+        r, text = rows[2 * k + 1], texts[2 * k + 1].encode()
+        assert passage.encode() in text[r.start : r.end] and text[r.start : r.end].decode() in texts[2 * k]
+        assert r.n_words == len(text[r.start : r.end].split()) and r.first_doc_ids == [2 * k] and r.n_chunks > 0
+
+
+def spans_brute(pairs, n):
+    """Spans of the windows of ``n`` words that occur before, not overlapping their first place."""
+    first, out = {}, []
+    for i, t in sorted((p for p in pairs if p[0] is not None), key=lambda p: p[0]):
+        data = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        spans = []
+        for k in range(len(at) - n + 1):
+            start, stop = at[k][0], at[k + n - 1][1]
+            doc, end = first.setdefault(data[start:stop], (i, stop))
+            if doc != i or start >= end:
+                if not spans or k > spans[-1][2] + n:
+                    spans.append([start, stop, k])
+                spans[-1][1:] = stop, k
+        out += [(i, s, e) for s, e, _ in spans]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 24])
+def test_spans_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    words = vocabulary(rng, 40)
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    pairs = [(k, rng.choice(["\n", "  ", " "]).join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for k in range(150)]
+    pairs += [(500, "tie " * 300), (501, "tie " * 300), (502, "===== " * 23), (503, "é 漢字\t" * 40), (504, None), (None, lines[0])]
+    rows = substring_dedup.repeated_spans(make_docs(spark, pairs), n).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in rows) == sorted(spans_brute(pairs, n))
