@@ -8,14 +8,14 @@ Every labelled training text is counted, an expression once per text. For class
 
 ``p(w)``, the continuation probability of ``w`` (the number of different words
 it follows), and the backoff weight ``back(v)`` come from both classes' counts
-together. An expression keeps counts of its own only if it is not rare (it
-makes up a ``1/SHARE`` part of a class's tokens, so at most ``2 * SHARE``
-expressions of each order are kept however large the corpus: that bounds the
-model that is broadcast) and if its counts differ between the classes beyond
-chance. All others are left to the backoff the classes share, where they speak
-for neither. A text's score compares its log-likelihoods per word under the two
-models, mapped to a probability by a logistic fit on labelled rows of a fold
-that was not counted.
+together. An expression keeps counts of its own only if it is not seen once
+only and if its counts differ between the classes beyond chance, whatever the
+size of the corpus. All others are left to the backoff the classes share, where
+they speak for neither. The expressions kept are a table that grows with the
+corpus. While it has few rows it is broadcast; beyond that the distinct
+expressions of the texts are joined to it, with the same scores. A text's score
+compares its log-likelihoods per word under the two models, mapped to a
+probability by a logistic fit on labelled rows of a fold that was not counted.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartcast.llm.common import crc32_bucket, staged, with_small_side
+from cartcast.llm.common import SMALL_ROWS, attach, crc32_bucket, staged, with_small_side
 from cartcast.llm.words import ALNUM, FOLD, Block, blocks, find_words, mix
 
 DISCOUNT = 0.75
-SHARE = 1 << 19
 LEAST = 2  # an expression seen once is rare in any corpus
 Z = 4.0  # standard deviations by which a class's count must be off its share
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -92,7 +92,17 @@ def count_pairs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _COUNTS).groupBy("v", "w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def learn(rows: DataFrame) -> Model | None:
+@dataclass
+class Tables:
+    """Written tables of what an expression adds to the log-likelihood ratio."""
+
+    words: DataFrame  # w, llr: log p_1(w) / p_0(w)
+    pairs: DataFrame  # v, w, llr: log p_1(w | v) / p_0(w | v)
+    n_words: int
+    n_pairs: int
+
+
+def learn(rows: DataFrame) -> Tables | None:
     """Model of labelled rows (y, text); None unless both classes have words."""
     pairs = staged(count_pairs(rows), "toxic-pairs")
     types = F.count_if(F.col("w") != 0)
@@ -109,35 +119,42 @@ def learn(rows: DataFrame) -> Model | None:
     ).first()
     if not total["n1"] or not total["n0"]:
         return None
-    enough = [max(LEAST, -(-total[n] // SHARE)) for n in ("n1", "n0")]
-    often = (F.col("n1") >= enough[0]) | (F.col("n0") >= enough[1])
+    often = F.greatest("n1", "n0") >= LEAST
     share = total["n1"] / (total["n1"] + total["n0"])
     n = F.col("n1") + F.col("n0")
     differs = F.abs(F.col("n1") - n * share) >= Z * F.sqrt(n * share * (1 - share))
-    # Pairs bring their words' counts along; both tables are bounded by SHARE.
-    own_pairs = pairs.where("w != 0").where(often & differs)
-    needed = own_pairs.select(F.col("v").alias("k")).union(own_pairs.select("w")).distinct().withColumn("asked", F.lit(True))
-    kept = words.join(needed, "k", "left").where((often & differs) | F.col("asked"))
-    kept = kept.withColumn("own", often & differs).toPandas().sort_values("k")
-    kept_pairs = own_pairs.toPandas()
-
-    shared = (kept["cont"].to_numpy() + 0.5) / (total["cont"] + 0.5 * total["u"] + 0.5)
-    keys, own = kept["k"].to_numpy(np.int64), kept["own"].to_numpy(bool)
+
+    shared = (F.col("cont") + 0.5) / F.lit(total["cont"] + 0.5 * total["u"] + 0.5)
     p = {}
     for c in "10":
         n_all = total[f"n{c}"]
-        mine = np.maximum(kept[f"n{c}"].to_numpy(float) - DISCOUNT, 0) / n_all + DISCOUNT * total[f"u{c}"] / n_all * shared
-        p[c] = np.where(own, mine, shared)
-    both = (kept["n1"] + kept["n0"]).to_numpy(float)
-    back = np.clip(DISCOUNT * kept["types"].to_numpy() / np.maximum(both, 1), 1e-3, 1.0)
-    iv, iw = (np.searchsorted(keys, kept_pairs[c].to_numpy(np.int64)) for c in "vw")
-    pc = {}
-    for c in "10":
-        nv = np.maximum(kept[f"n{c}"].to_numpy(float)[iv], 1)
-        pc[c] = np.maximum(kept_pairs[f"n{c}"].to_numpy() - DISCOUNT, 0) / nv + back[iv] * p[c][iw]
-    key = pair_key(kept_pairs["v"].to_numpy(np.int64), kept_pairs["w"].to_numpy(np.int64))
+        mine = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / n_all + DISCOUNT * total[f"u{c}"] / n_all * shared
+        p[c] = F.when(often & differs, mine).otherwise(shared)
+    own_words = staged(words.where(often & differs).select(F.col("k").alias("w"), F.log(p["1"] / p["0"]).alias("llr")), "toxic-own-words")
+
+    back = F.least(F.greatest(DISCOUNT * F.col("types") / F.greatest(n, F.lit(1)), F.lit(1e-3)), F.lit(1.0))
+    first = words.select(F.col("k").alias("v"), "types", F.col("n1").alias("v1"), F.col("n0").alias("v0"), back.alias("back"))
+    second = words.select(F.col("k").alias("w"), "cont", p["1"].alias("p1"), p["0"].alias("p0"))
+    # Pairs bring their words' counts along; a word has at most ``types`` and ``cont`` pairs.
+    own_pairs = attach(pairs.where("w != 0").where(often & differs), first, ["v"], "types").drop("types")
+    own_pairs = attach(staged(own_pairs, "toxic-contexts"), second, ["w"], "cont")
+    pc = {
+        c: F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"v{c}"), F.lit(1)) + F.col("back") * F.col(f"p{c}")
+        for c in "10"
+    }
+    own_pairs = staged(own_pairs.select("v", "w", F.log(pc["1"] / pc["0"]).alias("llr")), "toxic-own-pairs")
+    return Tables(own_words, own_pairs, own_words.count(), own_pairs.count())
+
+
+def collected(tables: Tables) -> Model:
+    """The tables as sorted arrays, for at most ``SMALL_ROWS`` rows."""
+    words = tables.words.toPandas().sort_values("w")
+    pairs = tables.pairs.toPandas()
+    key = pair_key(pairs["v"].to_numpy(np.int64), pairs["w"].to_numpy(np.int64))
     order = np.argsort(key)
-    return Model(keys[own], np.log(p["1"] / p["0"])[own], key[order], np.log(pc["1"] / pc["0"])[order])
+    return Model(
+        words["w"].to_numpy(np.int64), words["llr"].to_numpy(float), key[order], pairs["llr"].to_numpy(float)[order]
+    )
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
@@ -160,6 +177,64 @@ def evidence(block: Block, model: Model) -> np.ndarray:
     return np.column_stack([total / n, total / np.sqrt(n)])
 
 
+def text_expressions(rows: DataFrame) -> DataFrame:
+    """part, row, k, v, w, n over rows of (k, text): how often each text has each
+    (previous word, word); v is 0 for a text's first word. A text also has one
+    row with null v and w, whose n is its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for block in blocks(batch.column(1), 4 << 20):
+                words = find_words(block, ALNUM, FOLD)
+                w = _signed(words.hash)
+                v = np.zeros_like(w)
+                v[1:] = np.where(words.doc[1:] == words.doc[:-1], w[:-1], 0)
+                order = np.lexsort((w, v, words.doc))
+                v, w, doc = v[order], w[order], words.doc[order]
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
+                at = np.flatnonzero(new)
+                of = np.append(np.arange(block.n), doc[at])
+                whole = np.arange(len(of)) < block.n
+                keys = [np.append(np.zeros(block.n, np.int64), x[at]) for x in (v, w)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(of), part, np.int32)),
+                        pa.array(seen + of),
+                        batch.column(0).take(pa.array(block.first + of)),
+                        *[pa.array(x, mask=whole) for x in keys],
+                        pa.array(np.append(words.counts, np.diff(np.append(at, len(v)))).astype(np.int64)),
+                    ],
+                    ["part", "row", "k", "v", "w", "n"],
+                )
+                seen += block.n
+
+    return rows.mapInArrow(run, "part int, row long, k long, v long, w long, n long")
+
+
+def joined_evidence(rows: DataFrame, tables: Tables) -> DataFrame:
+    """k, a, b as ``evidence`` has them, over rows of (k, text), by joins.
+
+    Each distinct expression of the texts gets its ratio once, from its pair or
+    else its word; then texts' rows meet it, those of very common ones by
+    broadcast.
+    """
+    every = staged(text_expressions(rows), "toxic-texts")
+    found = every.where("w IS NOT NULL")
+    uses = found.groupBy("v", "w").agg(F.count(F.lit(1)).alias("uses"))
+    uses = staged(uses.join(tables.pairs, ["v", "w"], "left"), "toxic-uses")
+    rest = uses.where("llr IS NULL").drop("llr")
+    weight = staged(rest.groupBy("w").agg(F.count(F.lit(1)).alias("kinds")).join(tables.words, "w"), "toxic-word-uses")
+    known = uses.where("llr IS NOT NULL").unionByName(attach(rest, weight, ["w"], "kinds").drop("kinds"))
+    sums = attach(found, staged(known, "toxic-known"), ["v", "w"], "uses").groupBy("part", "row").agg(
+        F.sum(F.col("n") * F.col("llr")).alias("total")
+    )
+    n, total = F.greatest(F.col("n"), F.lit(1)), F.coalesce("total", F.lit(0.0))
+    texts = every.where("w IS NULL").select("part", "row", "k", "n").join(sums, ["part", "row"], "left")
+    return texts.select("k", (total / n).alias("a"), (total / F.sqrt(n)).alias("b"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (constant first) of a logistic fit by Newton's method, on scaled columns."""
     scale = np.maximum(x.std(0), 1e-9)
@@ -201,15 +276,19 @@ def toxicity_scores(
         .where(F.col("__tx_y").isin(0, 1) & (fold != HELD_OUT))
     )
     counted = with_small_side(texts, usable.where(fold != CALIBRATION), ["__tx_id"])
-    model = learn(counted.select("__tx_y", "__tx_text"))
+    tables = learn(counted.select("__tx_y", "__tx_text"))
 
     weights = np.zeros(3)
-    if model is None or not len(model.words):
+    known = tables is not None and tables.n_words > 0
+    if not known:
         seen = usable.agg(F.avg("__tx_y")).first()[0]
         if seen is not None:
             weights[0] = np.log((seen + 0.01) / (1.01 - seen))
         model = Model(*(np.zeros(0, t) for t in (np.int64, float, np.int64, float)))
-    shared = spark.sparkContext.broadcast(model)
+    small = not known or tables.n_words + tables.n_pairs <= SMALL_ROWS
+    if known and small:
+        model = collected(tables)
+    shared = spark.sparkContext.broadcast(model) if small else None
 
     def measure(rows: DataFrame, extra: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +297,11 @@ def toxicity_scores(
                 x = np.concatenate(parts or [np.zeros((0, 2))])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["k", "a", "b"])
 
+        if not small:
+            return joined_evidence(rows.select(F.col(extra).alias("k"), "__tx_text"), tables)
         return rows.select(extra, "__tx_text").mapInArrow(run, "k long, a double, b double")
 
-    if len(model.words):
+    if known:
         chosen = (
             usable.where(fold == CALIBRATION).orderBy(F.xxhash64("__tx_id"), "__tx_id", "__tx_y").limit(CALIBRATION_ROWS)
         )

@@ -134,6 +134,35 @@ def test_toxic_pairs_are_counted_once_per_text(spark):
     assert counts == [(1, 0), (1, 1), (1, 2)] and len(got) == 3
 
 
+def test_toxic_words_keep_their_counts_whatever_the_size(spark, monkeypatch):
+    """A word of two texts stays evidence however many tokens there are beside it (a share of them was asked)."""
+    monkeypatch.setattr(toxicity, "SHARE", 1 << 5, raising=False)
+    rng = random.Random(8)
+    words = vocabulary(rng, 200)
+    rows, docs, at = [], [], 0
+    while len(rows) < 1500:
+        at += 1
+        text, toxic = invented(rng, 12, words), len(rows) < 60
+        if fold(at, 5):
+            text += f" rare{len(rows) // 4}" if toxic else ""
+            rows.append((at, 1, int(toxic), 1, "x"))
+        docs.append((at, text))
+    docs += [(10**6 + k, f"{invented(rng, 5, words)} rare{k}") for k in range(15)]
+    docs += [(2 * 10**6 + k, f"{invented(rng, 5, words)} new{k}") for k in range(15)]
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(make_docs(spark, docs), spark.createDataFrame(rows, LABELS)).collect()}
+    # A few of the rare words were counted in one text only.
+    assert sum(got[10**6 + k] > got[2 * 10**6 + k] for k in range(15)) >= 12
+
+
+def test_toxicity_joined_equals_broadcast(spark, data, monkeypatch):
+    docs, labels, _ = data
+    docs = docs.unionByName(make_docs(spark, ODD + [(-7, "tie " * 500), (None, "x")]).select(*docs.columns))
+    want = sorted((str(r.doc_id), round(r.score, 9), r.held_out) for r in toxicity.toxicity_scores(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "SMALL_ROWS", 0)
+    got = sorted((str(r.doc_id), round(r.score, 9), r.held_out) for r in toxicity.toxicity_scores(docs, labels).collect())
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 and a[2] == b[2] for a, b in zip(got, want))
+
+
 @pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
 def test_scores_of_odd_rows_and_empty_tables(spark, data, scores):
     _, labels, _ = data
