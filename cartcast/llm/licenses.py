@@ -1,8 +1,8 @@
 """License scan: ordered signature rules with a keyword gate.
 
 A rule is a regular expression over the lower-cased (A-Z) UTF-8 bytes of a
-text, with a label, a priority and a keyword that its matches contain. Rules
-run only on texts holding their keyword. Detections are taken by priority,
+text, with a label, a priority and a keyword, a single word or part of one,
+that each of its matches contains. Rules run only on texts holding their keyword. Detections are taken by priority,
 then by length; one lying inside a detection already taken is suppressed. The
 base phrases are rules too, exempt from suppression.
 """
@@ -121,9 +121,9 @@ def rules() -> tuple[Rule, ...]:
     add("bsd", 2, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted")
 
     # Single-text licenses: by name, and by a sentence of their text.
-    add("mit", 1, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy")
+    add("mit", 1, "hereby", "permission is hereby granted free of charge to any person obtaining a copy")
     add("mit", 2, "mit", "mit licen[cs]e", "licen[cs]ed under the mit", "mit x11 licen[cs]e", "mit licen[cs]ed")
-    add("isc", 1, "permission to use", "permission to use copy modify and or distribute this software for any purpose")
+    add("isc", 1, "permission", "permission to use copy modify and or distribute this software for any purpose")
     add("isc", 2, "isc", "isc license")
     add("zlib", 2, "zlib", "zlib(?: libpng)? license")
     add("unlicense", 1, "unencumbered", "free and unencumbered software released into the public domain")
@@ -137,8 +137,8 @@ def rules() -> tuple[Rule, ...]:
     add("w3c", 2, "w3c", "w3c software notice and license", "w3c license")
     add("curl", 2, "curl", "curl license")
     add("beerware", 2, "beer", "beer~ware license")
-    add("public-domain", 2, "public domain", "released into the public domain", "dedicated to the public domain", "is in the public domain")
-    add("public-domain", 4, "public domain", "public domain")
+    add("public-domain", 2, "domain", "released into the public domain", "dedicated to the public domain", "is in the public domain")
+    add("public-domain", 4, "domain", "public domain")
 
     # Identifiers as tools write them.
     for name in (
@@ -156,7 +156,8 @@ def rules() -> tuple[Rule, ...]:
     add("copyright", 3, "copyright", "copyright(?: c)? [12][0-9]{3}", "copyright holders?", "copyright by")
     add("proprietary", 3, "proprietary", "proprietary and confidential", "confidential and proprietary")
     add("no-redistribution", 3, "permission", "without (?:the )?(?:express |prior )?(?:written )?permission")
-    add("license-mention", 4, "licen", "licen[cs]ed under(?: the)?", "terms of the licen[cs]e", "released under(?: the)?", "licen[cs]e agreement")
+    add("license-mention", 4, "licen", "licen[cs]ed under(?: the)?", "terms of the licen[cs]e", "licen[cs]e agreement")
+    add("license-mention", 4, "released", "released under(?: the)?")
     return tuple(sorted(out, key=lambda r: r.priority))
 
 

@@ -178,6 +178,43 @@ def test_license_rules():
     assert {d[2] for d in found} == {"lgpl-2.1-or-later", "license-mention"}  # the gpl rules lie inside
 
 
+def a_match(rng, parsed):
+    """Lower-case bytes that a parsed pattern matches, gaps and options drawn at random."""
+    out = b""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += bytes([arg])
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            chars = [c for c in (range(value[0], value[1] + 1) if str(kind) == "RANGE" else [value]) if not 0x41 <= c <= 0x5A]
+            out += bytes([rng.choice(chars)])
+        elif op == "MAX_REPEAT":
+            low, high, inner = arg
+            out += b"".join(a_match(rng, inner) for _ in range(rng.randint(low, min(high, low + 2))))
+        elif op == "SUBPATTERN":
+            out += a_match(rng, arg[-1])
+        elif op == "BRANCH":
+            out += a_match(rng, rng.choice(arg[1]))
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_license_keywords_gate_no_match_away(monkeypatch):
+    rng = random.Random(12)
+    texts = [b"x is in the public\n# domain.", b"permission  is hereby\n * granted, free of charge, to any person obtaining a copy", b"released under"]
+    for r in licenses.rules():
+        for _ in range(20):
+            found = a_match(rng, re._parser.parse(r.pattern.pattern))
+            assert r.pattern.search(found) and r.keyword in found
+        texts.append(b"a: " + found + b" z")
+    gated = [licenses.detect(t) for t in texts]
+    assert {d[2] for d in gated[0]} == {"public-domain"} and {d[2] for d in gated[1]} == {"mit"} and gated[2]
+    monkeypatch.setattr(licenses, "_by_keyword", lambda: ((b"", licenses.rules()),))
+    assert gated == [licenses.detect(t) for t in texts]
+
+
 # substring dedup
 
 
