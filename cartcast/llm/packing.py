@@ -28,10 +28,13 @@ from cartcast.llm.common import staged
 
 CAPACITY = 2048
 END_ID = 0  # closes each document
+LONG_SPACE = 100_000
 
 # Fixed value: the splitting pattern of byte-level BPE tokenizers of this family.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_SPACES = re.compile(r"\s+")
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, seq long"
 
 
@@ -40,8 +43,10 @@ class Encoder:
 
     A byte-level BPE whose merges come in the order of their ids is the same
     as merging by rank, which ``tiktoken`` does several times faster, so ids
-    come from there. Texts with a special token's string, and tokenizers of
-    another kind, go through ``tokenizers``.
+    come from there. Texts with a special token's string, texts with a run of
+    ``LONG_SPACE`` white-space characters (``tiktoken`` backtracks over them and
+    panics at about a million), and tokenizers of another kind, go through
+    ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -85,11 +90,18 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.ranks is None or (self.special and self.special.search(text)):
+        if self.ranks is None or (self.special and self.special.search(text)) or long_space(text):
             return self.whole(text)
         return np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
 
 
+def long_space(text: str) -> bool:
+    """Whether ``text`` has ``LONG_SPACE`` white-space characters in a row."""
+    if len(text) < LONG_SPACE:
+        return False
+    return any(m.end() - m.start() >= LONG_SPACE for m in _SPACES.finditer(text))
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter by which byte-level vocabularies write each byte."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -131,6 +131,14 @@ def test_rank_encoder_equals_the_tokenizer(reference_ids):
     assert other.ranks is None and other("Some Words") == other.whole("Some Words")
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \t"])
+def test_very_long_white_space_is_encoded(reference_ids, space):
+    e = packing.Encoder(tokenizer_path())
+    for n in (99_999, 100_000, 1_200_000):
+        text = "some words" + (space * n)[:n] + "x y"
+        assert np.frombuffer(e(text), "<u4").tolist() + [0] == reference_ids(text)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.best_fit_packing(make_docs(spark, []), tokenizer_path()).count() == 0
 
