@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 import cartcast
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartcast.session import cut_lineage
 
+SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A key holding more than 1/HOT_PARTS of the rows counts as hot, so fewer than
@@ -67,6 +68,17 @@ def crc32_bucket(key: str | Column, buckets: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(buckets)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def word_array(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text that is not null, in order."""
+    inner = F.btrim(text, F.lit(SPACE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back: one evaluation,
     however many branches follow, and no recomputing after a lost executor."""
