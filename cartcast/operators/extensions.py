@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.functions.time import DateLike, as_date
+from cartcast.functions.time import DateLike, as_date, split_hour
+from cartcast.operators import models
 from cartcast.operators.features import DAY, I, U, pair_days, ui_features_from_pair_days
 from cartcast.operators.labels import attach_label, buys_on_days
 from cartcast.operators.profiles import profile_from_pair_days
@@ -40,8 +41,12 @@ def multi_split_pair_days(log: DataFrame, splits: Sequence[DateLike], origin: Da
     arr = F.array(*[F.lit(d) for d in dates])
     daily = cut_lineage(pair_days(log, dates[-1], origin), "pair_days")
     fanned = daily.withColumn(SPLIT, F.explode(F.filter(arr, lambda s: F.col(DAY) < s)))
-    sh = f"datediff({SPLIT}, DATE'{as_date(origin).isoformat()}') * 24"
-    return fanned.select(SPLIT, *daily.columns), sh
+    return fanned.select(SPLIT, *daily.columns), _split_hours(origin)
+
+
+def _split_hours(origin: DateLike) -> str:
+    """The split hour as SQL text over ``split_date``."""
+    return f"datediff({SPLIT}, DATE'{as_date(origin).isoformat()}') * 24"
 
 
 def multi_split_features(
@@ -53,11 +58,15 @@ def multi_split_features(
 ) -> DataFrame:
     """``ui_features`` for each date in ``splits``, with a ``split_date`` column.
 
-    Every aggregation and join keys on ``split_date`` too; one scan of the log
-    serves all splits.
+    One scan of the log serves all splits, and one join on the user: pair-day
+    rows are repeated per split after it (``ui_features_from_pair_days``).
     """
-    daily, sh = multi_split_pair_days(log, splits, origin)
-    return ui_features_from_pair_days(daily, sh, ratio_mode, skew, group=(SPLIT,))
+    dates = sorted({as_date(s) for s in splits})
+    if not dates:
+        raise ValueError("give at least one split date")
+    daily = cut_lineage(pair_days(log, dates[-1], origin), "pair_days")
+    of = [(d.isoformat(), split_hour(d, origin)) for d in dates]
+    return ui_features_from_pair_days(daily, _split_hours(origin), ratio_mode, skew, group=(SPLIT,), splits=of)
 
 
 def multi_split_training(
@@ -119,3 +128,12 @@ def submission(model, features: DataFrame, keys: Sequence[str] = (U, I)) -> Data
     """(user, item) pairs the model predicts will be bought."""
     scored = model.transform(features)
     return scored.where(F.col("prediction") == 1.0).select(*keys)
+
+
+def submission_rare(estimator, train: DataFrame, features: DataFrame, keys: Sequence[str] = (U, I)) -> DataFrame:
+    """E3 where positives are rare: fitted with class weights, predicted from the cut-off
+    that ``train``'s day taught (``models.holdout_rare`` measures the same on a labelled day)."""
+    known = train.where(F.col("label").isNotNull())
+    model = estimator.fit(models.with_class_weights(known))
+    cutoff = cut_lineage(models.learn_cutoff(models.scored(model, known)), "cutoff")
+    return models.predict_from(model, cutoff, features, tuple(keys)).where(F.col("prediction") == 1.0).select(*keys)

@@ -9,9 +9,9 @@ ratios relate a pair to the user's totals. The plan:
                                                     the day's last 1/3/6/12 h, first/last
                                                     (no column depends on the split)
     U  = D1 group by (user, day), then user         totals, active/buy days,
-                                                    day -> rows map (<= one entry per day)
+                                                    rows of each day, an array by day
     J  = D1 join U on user                          salted for hot users; each row
-                                                    looks up its day in U's map
+                                                    takes its day's entry of U's array
     F  = J  group by (user, item)                   rolled-up counts, day stats,
                                                     user values carried as max()
 
@@ -177,7 +177,7 @@ def item_day_activity(
     materialize: bool = True,
 ) -> DataFrame:
     """Per pair, days the item was touched and bought, its rows, and
-    the user's rows on those days (looked up in the user's day -> rows map)."""
+    the user's rows on those days (an entry of the user's array of day totals)."""
     daily = pair_days(log, split, origin, counts=[], first_last=False)
     if materialize:
         daily = cut_lineage(daily, "pair_days")
@@ -277,15 +277,29 @@ def daily_aggs(counts: list[tuple[int, int]] = NEEDED_COUNTS, first_last: bool =
     return aggs
 
 
+# The user's rows on each day from its first active one (``_first_day``) to its
+# last, 0 between: a row finds its day's entry by its offset, in the same time
+# whether the log covers a month or years. Made from the day totals in order,
+# each preceded by the zeros of the gap before it.
+_DAY_ROWS = f"""flatten(transform(_days, (x, k) -> concat(
+    array_repeat(0L, CASE WHEN k = 0 THEN 0 ELSE datediff(x.{DAY}, get(_days, k - 1).{DAY}) - 1 END), array(x._ud))))"""
+_DAYS = f"sort_array(collect_list(struct({DAY}, _ud))) AS _days"
+
+
+def _with_day_rows(users: DataFrame) -> DataFrame:
+    """Replace ``_days`` (day totals in order) by ``_first_day`` and the array ``_day_rows``."""
+    kept = [c for c in users.columns if c != "_days"]
+    return users.select(*kept, F.expr(f"get(_days, 0).{DAY}").alias("_first_day"), F.expr(_DAY_ROWS).alias("_day_rows"))
+
+
 def user_day_totals(daily: DataFrame, sh: SplitHour, group: tuple[str, ...] = ()) -> DataFrame:
     """Per user (A6-A8): active days, buy days, 720 h totals per behaviour,
-    the pair-day rows (the split weight of the user), and ``_day_rows``, a map
-    from each active day to the user's rows that day.
+    the pair-day rows (the split weight of the user), and ``_day_rows``, the
+    user's rows on each day from ``_first_day`` on.
 
-    The map has one entry per active day before the split. The horizon has no
-    lower bound, so that is the number of days the log covers (31 in the
-    original calendar), whatever its rows; it is built by a partial aggregate
-    per (user, day), then per user.
+    The array is as long as the days from the user's first to its last before
+    the split, whatever its rows; it is built by a partial aggregate per
+    (user, day), then per user.
     """
     g = list(group)
     per_day = daily.groupBy(*g, U, DAY).agg(
@@ -299,22 +313,42 @@ def user_day_totals(daily: DataFrame, sh: SplitHour, group: tuple[str, ...] = ()
         F.count_if(F.col("_udb") > 0).alias("buy_days"),
         F.sum("_items_day").alias("_item_days"),
         *[F.sum(_tot(b)).alias(_tot(b)) for b in BEHAVIOURS],
-        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
-    )
+        F.expr(_DAYS),
+    ).transform(_with_day_rows)
 
 
 def user_days(daily: DataFrame) -> DataFrame:
     """The part of ``user_day_totals`` that A9/A10 need: ``_day_rows`` and the split weight."""
     per_day = daily.groupBy(U, DAY).agg(F.count(F.lit(1)).alias("_items_day"), F.sum("_n").alias("_ud"))
-    return per_day.groupBy(U).agg(
-        F.sum("_items_day").alias("_item_days"),
-        F.map_from_entries(F.collect_list(F.struct(DAY, "_ud"))).alias("_day_rows"),
+    return per_day.groupBy(U).agg(F.sum("_items_day").alias("_item_days"), F.expr(_DAYS)).transform(_with_day_rows)
+
+
+def user_split_totals(daily: DataFrame, splits: Sequence[tuple[str, int]], name: str) -> DataFrame:
+    """``user_day_totals`` for several splits, one row per user.
+
+    ``splits``: (date, split hour) of each. ``_splits`` holds a struct per
+    split with ``name`` (the date) and the totals as of it; the day totals
+    are aggregated once, per (user, day), and each split sums those before it.
+    """
+    per_day = daily.groupBy(U, DAY).agg(
+        F.count(F.lit(1)).alias("_items_day"),
+        F.sum("_n").alias("_ud"),
+        F.max("_day_idx").alias("_day_idx"),
+        *[F.sum(_day_count(b)).alias(_day_count(b)) for b in BEHAVIOURS],
     )
+    totals = []
+    for date, sh in splits:
+        before = f"{DAY} < DATE'{date}'"
+        sums = [f"DATE'{date}' AS {name}", f"count_if({before}) AS active_days", f"count_if({before} AND _nb > 0) AS buy_days"]
+        sums += [f"sum(CASE WHEN {before} THEN {window_of_row(b, LONG_WINDOW, sh)} ELSE 0 END) AS {_tot(b)}" for b in BEHAVIOURS]
+        totals.append(F.expr(f"struct({', '.join(sums)})"))
+    users = per_day.groupBy(U).agg(F.sum("_items_day").alias("_item_days"), F.expr(_DAYS), F.array(*totals).alias("_splits"))
+    return _with_day_rows(users)
 
 
 def _day_rows_of_row() -> Column:
-    """The user's rows on this row's day, looked up in the user's day map."""
-    return F.expr(f"coalesce(try_element_at(_day_rows, {DAY}), 0L)")
+    """The user's rows on this row's day: an entry of the user's array of days."""
+    return F.expr(f"coalesce(get(_day_rows, datediff({DAY}, _first_day)), 0L)")
 
 
 def ui_features_from_pair_days(
@@ -326,6 +360,8 @@ def ui_features_from_pair_days(
     materialize: bool = True,
     windows: Sequence[int] = COUNT_WINDOWS,
     user_columns: DataFrame | None = None,
+    co_located: bool = False,
+    splits: Sequence[tuple[str, int]] | None = None,
 ) -> DataFrame:
     """C2 from the ``pair_days`` table.
 
@@ -337,7 +373,7 @@ def ui_features_from_pair_days(
 
     Each pair-day row meets its user's row in one join (salted for hot users,
     weighted by their pair-day rows), takes that day's user total from the
-    user's day map, and a single (user, item) aggregate rolls everything up;
+    user's array of days, and a single (user, item) aggregate rolls everything up;
     user-level values ride along as ``max`` of a constant. The salt is a
     function of the item, so grouping by it too needs no second shuffle.
 
@@ -345,19 +381,38 @@ def ui_features_from_pair_days(
     way, which spares a second join on the user; pairs are then dealt by
     (user, item) for the label join that follows, and users without a row in it
     are left out.
+
+    ``splits`` ((date, split hour) of each, with ``group`` naming the date's
+    column and ``sh`` an expression over it) takes ``daily`` as it is, once for
+    all: it meets its user's totals of every split in one join, and rows are
+    repeated per split only there, so what is shuffled does not grow with them.
+
+    ``co_located`` says that ``daily`` is bucketed by user and that no user is
+    hot: a plain join and aggregates, all where the buckets lie.
     """
     g = list(group)
-    user = user_day_totals(daily, sh, group)
+    if splits:
+        user = user_split_totals(daily, splits, g[0])
+    else:
+        user = user_day_totals(daily, sh, group)
     carried = []
     if user_columns is not None:
         carried = [c for c in user_columns.columns if c not in (*g, U)]
         user = user.join(user_columns, [*g, U])
     if materialize:
         user = cut_lineage(user, "users")
-    hot_users = hot_keys(user, [*g, U], "_item_days", skew)
-    joined = salted_join(daily, user.drop("_item_days"), [*g, U], hot_users, spread=[I], keep_salt=not carried)
+    salt = [] if carried or co_located else [SALT]
+    if co_located:
+        joined = daily.join(user.drop("_item_days"), [*g, U])
+    else:
+        on = [U] if splits else [*g, U]
+        hot_users = hot_keys(user, on, "_item_days", skew)
+        joined = salted_join(daily, user.drop("_item_days"), on, hot_users, spread=[I], keep_salt=bool(salt))
+    if splits:
+        later = F.explode(F.expr(f"filter(_splits, s -> {DAY} < s.{g[0]})")).alias("_split")
+        joined = joined.select(*[c for c in joined.columns if c != "_splits"], later).select("*", "_split.*").drop("_split")
     per_user = ["active_days", "buy_days", *[_tot(b) for b in BEHAVIOURS], *carried]
-    pair = joined.groupBy(*g, U, I, *([] if carried else [SALT])).agg(
+    pair = joined.groupBy(*g, U, I, *salt).agg(
         *[F.expr(f"sum({window_of_row(b, w, sh)})").alias(count_col(b, w)) for b, w in needed_counts(windows)],
         *[F.min(_first(b)).alias(_first(b)) for b in BEHAVIOURS],
         *[F.max(_last(b)).alias(_last(b)) for b in BEHAVIOURS],

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig, hot_keys, key_weights, salted_join
+
 
 def catalogue_keys(items: DataFrame) -> DataFrame:
     """A1: item ids of the catalogue. Duplicates may stay: a semi-join ignores them."""
@@ -29,6 +31,36 @@ def filter_log(log: DataFrame, items: DataFrame) -> DataFrame:
     return log.join(catalogue_keys(items), "item_id", "left_semi")
 
 
+def filter_log_split(
+    log: DataFrame,
+    items: DataFrame,
+    cfg: SkewConfig = DEFAULT_SKEW,
+    weights: DataFrame | None = None,
+    weight_col: str = "n_rows",
+) -> DataFrame:
+    """J1 for a catalogue too large to broadcast: hot items are split, whatever AQE does.
+
+    The log rows of an item above ``cfg``'s threshold are dealt over salts by a
+    hash of their other columns, and the catalogue, reduced to distinct ids, is
+    repeated for those items only. Rows of other items, and the catalogue's,
+    are shuffled once on the item as in a plain join. The same rows as
+    ``filter_log``; rows without an item stay out.
+
+    ``weights`` is a table of rows per item (``weight_col``), such as one kept
+    from a former run; only which items are split depends on it, not the result.
+    Without it the log's item column is scanned once more to count. Items off
+    the catalogue are not counted as hot where the catalogue tells (their rows
+    meet nothing): the weights are reduced to it first, a join of two tables of
+    one row per item.
+    """
+    keys = distinct_items(items)
+    if weights is None:
+        weights, weight_col = key_weights(log.where(F.col("item_id").isNotNull()), ["item_id"]), "_weight"
+    known = weights.select("item_id", weight_col).join(keys, "item_id", "left_semi")
+    hot = hot_keys(known, ["item_id"], weight_col, cfg)
+    return salted_join(log, keys, ["item_id"], hot, "left_semi")
+
+
 def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
     """One-row count, kept as a DataFrame so it runs where the data is."""
     return df.agg(F.count(F.lit(1)).alias(name))

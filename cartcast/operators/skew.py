@@ -81,13 +81,17 @@ def salted_join(
 
     ``spread`` names the fine columns hashed to pick a salt (default: all
     non-key columns); rows that agree on them land on the same salt, so they
-    should tell the rows of one key apart. ``how`` is ``inner`` or ``left``.
+    should tell the rows of one key apart. ``how`` is ``inner``, ``left`` or
+    ``left_semi`` (``coarse`` is then reduced to its distinct keys, which is all
+    a semi-join asks of it).
     ``keep_salt`` keeps the salt column: grouping by the key, the spread columns
     and the salt then needs no further shuffle.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError("salted_join supports inner, left and left_semi joins")
     on = list(on)
+    if how == "left_semi":
+        coarse = coarse.select(*on).distinct()
     spread = list(spread) if spread else [c for c in fine.columns if c not in on]
     bounded = F.broadcast(hot)  # fewer than MAX_HOT_KEYS rows
     salt = F.when(F.col(SPLITS).isNull(), F.lit(0)).otherwise(

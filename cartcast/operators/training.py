@@ -82,6 +82,40 @@ def feature_columns(df: DataFrame, exclude: Sequence[str] = (U, I, "label", "spl
     return [c for c, t in df.dtypes if c not in exclude and (t in kinds or t.startswith("decimal"))]
 
 
+def column_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """What each column holds, by one aggregate over the table: a row per column with
+    ``column``, ``kind`` (``number``, ``text``, or ``empty`` for no value at all),
+    ``n_values`` (not NULL) and ``n_text`` (values that are no number).
+
+    Typed columns are numbers without a look at their values.
+    """
+    columns = list(columns) if columns is not None else feature_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, kind string, n_values long, n_text long")
+    types = dict(df.dtypes)
+    aggs = []
+    for k, c in enumerate(columns):
+        text = F.col(c).isNotNull() & F.col(c).try_cast("double").isNull() if types[c] == "string" else F.lit(False)
+        aggs += [F.count(F.col(c)).alias(f"v{k}"), F.count_if(text).alias(f"t{k}")]
+    kind = "CASE WHEN n_values = 0 THEN 'empty' WHEN n_text = 0 THEN 'number' ELSE 'text' END"
+    one = lambda k, c: F.struct(F.lit(c).alias("column"), F.col(f"v{k}").alias("n_values"), F.col(f"t{k}").alias("n_text"))
+    listed = F.array(*[one(k, c) for k, c in enumerate(columns)])
+    rows = df.agg(*aggs).select(F.explode(listed).alias("c")).select("c.*")
+    return rows.select("column", F.expr(kind).alias("kind"), "n_values", "n_text")
+
+
+def numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
+    """(columns to assemble, text columns left out), in table order, by ``column_kinds``.
+
+    The report has one row per column of the table. A column without any value
+    is kept: it assembles to NaN at its place, so the vector's width does not
+    depend on the day's rows.
+    """
+    wanted = list(columns) if columns is not None else feature_columns(df)
+    text = {r["column"] for r in column_kinds(df, wanted).where("kind = 'text'").collect()}
+    return [c for c in wanted if c not in text], [c for c in wanted if c in text]
+
+
 def _as_number(df: DataFrame, name: str):
     """The column as DOUBLE; a value that is not a number is an error, not a NULL."""
     c = F.col(name)

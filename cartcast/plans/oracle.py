@@ -441,10 +441,30 @@ FROM (
         "FROM h JOIN part p ON p.p_partkey = h.item_id GROUP BY ALL"
     )
 
+    q["filter_log_split"] = q["filter_log"]
+    q["filter_count_observed"] = q["filter_count"]
+    q["pair_day_store"] = q["pair_day_store_hot"] = q["ui_features"]
+    q["training_table_csv"] = q["feature_join_labelled"]
+    ctes, final = feature_join_parts(S, True)
+    q["training_counts_observed"] = _with(*ctes, f"fj AS ({final})") + (
+        "SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) AS rows FROM fj"
+    )
+    q["log_split_one_pass"] = f"""SELECT user_id, item_id, behavior_type, ts, CAST(NULL AS VARCHAR) AS reject_reason
+FROM ({q["log_csv_roundtrip"]})
+UNION ALL SELECT user_id, item_id, NULL, NULL, reject_reason FROM ({q["log_csv_rejects"]})"""
+    q["feature_column_kinds"] = _with(LOG_CTE, horizon_cte(S), """j AS (
+  SELECT h.user_id, h.item_id, count(*) AS n, any_value(p_size) AS size, any_value(p_type) AS type, any_value(p_brand) AS brand
+  FROM h JOIN part p ON p.p_partkey = h.item_id GROUP BY ALL
+)""") + """SELECT 'n' AS column, 'number' AS kind, count(*) AS n_values, CAST(0 AS BIGINT) AS n_text FROM j
+UNION ALL SELECT 'i_brand', 'text', count(*), count(*) FILTER (WHERE TRY_CAST(brand AS DOUBLE) IS NULL) FROM j
+UNION ALL SELECT 'i_price', 'number', count(*), CAST(0 AS BIGINT) FROM j
+UNION ALL SELECT 'i_mixed', 'text', count(*), count(*) FILTER (WHERE size > 25) FROM j
+UNION ALL SELECT 'i_nothing', 'empty', CAST(0 AS BIGINT), CAST(0 AS BIGINT)"""
+
     # Models against a rule that SQL knows: label 1 where the pair was viewed in 720 h.
     rule = f"count(*) FILTER (WHERE behavior_type = {VIEW} AND {{sh}} - hour_idx <= {LONG_WINDOW}) > 0"
     test = split_hour(S, ORIGIN)
-    q["gbt_rule_holdout"] = q["rf_rule_holdout"] = _with(LOG_CTE, horizon_cte(S)) + (
+    q["gbt_rule_holdout"] = q["rf_rule_holdout"] = q["rf_rare_rule_holdout"] = _with(LOG_CTE, horizon_cte(S)) + (
         "SELECT count(*) FILTER (WHERE y) AS true_pos, count(*) FILTER (WHERE y) AS pred_pos, "
         "count(*) FILTER (WHERE y) AS actual_pos, count(*) AS rows, "
         "CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1 "

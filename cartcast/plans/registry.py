@@ -7,6 +7,7 @@ collected. The interaction log is the whole ``events`` table mapped by
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -15,14 +16,21 @@ from pyspark.sql import functions as F
 
 from cartcast.functions.time import as_date, hour_index, split_hour
 from cartcast.operators import extensions, features, labels, models, profiles, training
-from cartcast.operators.filter import distinct_items, filter_log, row_count
+from cartcast.operators.filter import distinct_items, filter_log, filter_log_split, row_count
 from cartcast.operators.skew import SkewConfig
+from cartcast.operators.store import PairDayStore
 from cartcast.schema import BEHAVIOURS, count_col
 from cartcast.session import cut_lineage, shared_path
-from cartcast.sinks.writers import write_log, write_table
+from cartcast.sinks.writers import write_log, write_log_counted, write_table, write_training
 from cartcast.sources.events import event_rejects, events_log, item_key, part_catalogue, table
-from cartcast.sources.log import log_rejects, parse_log, read_log, read_log_text
-from cartcast.sources.tables import read_catalogue, read_keyed_features, read_libsvm, read_ui_features
+from cartcast.sources.log import log_rejects, parse_log, read_log, read_log_text, split_log
+from cartcast.sources.tables import (
+    read_catalogue,
+    read_keyed_features,
+    read_libsvm,
+    read_training,
+    read_ui_features,
+)
 from cartcast.streaming.filter import stream_filter_log
 
 # Parameters of the registered queries (events run 2024-01-01 .. 01-30).
@@ -74,6 +82,18 @@ def q_filter_count(spark, sf):
     return row_count(_filtered(spark, sf))
 
 
+def q_filter_log_split(spark, sf):
+    """C1 with hot items split, whatever the size of the catalogue."""
+    out = filter_log_split(_log(spark, sf), part_catalogue(spark, sf), SALTED)
+    return out.select("user_id", "item_id", "behavior_type", "ts")
+
+
+def q_filter_count_observed(spark, sf):
+    """The number of rows that the job writing the filtered log reports."""
+    n = write_log_counted(_filtered(spark, sf), shared_path(spark, "filtered_log"))
+    return spark.createDataFrame([(n,)], "n_rows long")
+
+
 def q_log_projection(spark, sf):
     return _log(spark, sf).select(
         "user_id",
@@ -166,6 +186,27 @@ def q_feature_join_salted(spark, sf):
     return _training(spark, sf, SPLIT, skew=SALTED)
 
 
+def _stored(spark, sf, hot_least):
+    """A store filled to the day before the split, the last days one by one and one of them twice."""
+    log, store = _log(spark, sf), PairDayStore(spark, origin=ORIGIN, hot_least=hot_least)
+    first, last = as_date(ORIGIN), as_date(TRAIN_SPLIT)
+    days = [first + dt.timedelta(days=k) for k in range((last - first).days + 1)]
+    store.add_days(log, days[:-2])
+    for day in (days[-2], days[-1], days[-2]):
+        store.add_days(log, [day])
+    return store
+
+
+def q_pair_day_store(spark, sf):
+    """C2 from pair-days kept by day and bucketed by user."""
+    return _stored(spark, sf, 100_000).features(SPLIT)
+
+
+def q_pair_day_store_hot(spark, sf):
+    """The same where users with more than two items on a day are stored apart."""
+    return _stored(spark, sf, 2).features(SPLIT)
+
+
 def q_multi_split_features(spark, sf):
     return extensions.multi_split_features(_log(spark, sf), MULTI_SPLITS, ORIGIN)
 
@@ -332,6 +373,42 @@ def q_feature_join_csv(spark, sf):
     return _ids(out).withColumns({c: F.col(c).cast(t) for c, t in typed.items() if c in out.columns})
 
 
+def q_training_table_csv(spark, sf):
+    """C4 written as a training table (K3) and read back."""
+    table_, path = _training(spark, sf, SPLIT), shared_path(spark, "training_csv")
+    write_training(table_, path)
+    return read_training(spark, path, table_.schema)
+
+
+def q_training_counts_observed(spark, sf):
+    """Rows and positives of the training table, as the job that writes it reports them."""
+    seen = write_training(_training(spark, sf, SPLIT), shared_path(spark, "training"), "parquet")
+    return spark.createDataFrame([(seen["positives"], seen["rows"])], "positives long, rows long")
+
+
+def q_log_split_one_pass(spark, sf):
+    """Valid rows and rejects of the raw log, parsed once."""
+    valid, rejects = split_log(read_log_text(spark, _raw_log(spark, sf)), shared_path(spark, "split_log"))
+    none = F.lit(None).cast("string").alias("reject_reason")
+    left_out = rejects.select("user_id", "item_id", F.lit(None).cast("int"), F.lit(None).cast("timestamp_ntz"), "reject_reason")
+    return valid.select(*LOG_OUT, none).union(left_out)
+
+
+def q_feature_column_kinds(spark, sf):
+    """Which columns of a joined table of opaque text can be assembled."""
+    items = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("item_id"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_retailprice").cast("string").alias("price"),
+        F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_size").cast("string")).alias("mixed"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    h = features.horizon(_log(spark, sf), SPLIT, ORIGIN).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = h.withColumns({c: F.col(c).cast("string") for c in ("user_id", "item_id")})
+    text = read_keyed_features(spark, _csv(spark, items, "kinds_csv"), "item_id")
+    return training.column_kinds(training.training_table(pairs, None, text))
+
+
 def q_feature_join_text_columns(spark, sf):
     """Item features that are text, and numbers beyond a double's precision, come through unchanged."""
     h = features.horizon(_log(spark, sf), SPLIT, ORIGIN).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
@@ -402,6 +479,20 @@ def q_submission_rule(spark, sf):
     return _submission(spark, sf, models.random_forest(**RF_RULE), rule=True)
 
 
+def q_rf_rare_rule_holdout(spark, sf):
+    """Class weights and a learned cut-off on a label that one feature decides."""
+    vectors = _split_vectors(spark, sf, HOLDOUT_SPLITS, HOLDOUT_SPLITS, rule=True)
+    forest = models.random_forest(**RF_RULE, weight_col="weight")
+    return models.holdout_rare(forest, _on(vectors, TRAIN_SPLIT), _on(vectors, SPLIT)).drop("base_f1")
+
+
+def q_submission_rare(spark, sf):
+    """The submission on the real labels, of which one pair in 300 is positive."""
+    vectors = _split_vectors(spark, sf, [SPLIT, NEXT_SPLIT], [SPLIT])
+    forest = models.random_forest(**RF_PARAMS, weight_col="weight")
+    return extensions.submission_rare(forest, _on(vectors, SPLIT), _on(vectors, NEXT_SPLIT).drop("label"))
+
+
 def q_stream_filter_log(spark, sf):
     return stream_filter_log(
         spark, sf.rstrip("/"), part_catalogue(spark, sf), file_glob="events.parquet"
@@ -411,6 +502,8 @@ def q_stream_filter_log(spark, sf):
 QUERIES: dict[str, Query] = {
     "filter_log": q_filter_log,  # J1 C1
     "filter_count": q_filter_count,  # A12
+    "filter_count_observed": q_filter_count_observed,  # A12 C1 K1 in one job
+    "filter_log_split": q_filter_log_split,  # J1 C1, hot items split
     "log_projection": q_log_projection,  # P2 P3
     "log_rejects": q_log_rejects,  # D5 D14
     "before_split": q_before_split,  # P4 F2
@@ -432,6 +525,8 @@ QUERIES: dict[str, Query] = {
     "feature_join_labelled": q_feature_join_labelled,  # C4 J2 J3 J4 P5-P7
     "feature_join_salted": q_feature_join_salted,  # C4, hot users and items split
     "feature_join_unlabelled": q_feature_join_unlabelled,  # C4 D8
+    "pair_day_store": q_pair_day_store,  # K1 A5 C2 J2 from stored days
+    "pair_day_store_hot": q_pair_day_store_hot,  # the same, users stored apart
     "multi_split_features": q_multi_split_features,  # E1
     "training_multi_split": q_training_multi_split,  # E1 C4
     "training_multi_split_partial_labels": q_training_multi_split_partial_labels,  # E1 C4 D8
@@ -447,10 +542,16 @@ QUERIES: dict[str, Query] = {
     "filter_log_csv": q_filter_log_csv,  # C1 from S1 and S3 to K1
     "ui_features_csv": q_ui_features_csv,  # K2 S4
     "feature_join_csv": q_feature_join_csv,  # K2 K3 S4 S5 S6 C4
+    "training_table_csv": q_training_table_csv,  # K3 C4
+    "training_counts_observed": q_training_counts_observed,  # A12 A13 K3 in one job
+    "log_split_one_pass": q_log_split_one_pass,  # P1 D5 in one pass
+    "feature_column_kinds": q_feature_column_kinds,  # S5 S6 X3
     "feature_join_text_columns": q_feature_join_text_columns,  # S6 with opaque text
     "gbt_rule_holdout": q_gbt_rule_holdout,  # M1 M3 M4 on a known rule
     "rf_rule_holdout": q_rf_rule_holdout,  # M2 M3 M4 on a known rule
+    "rf_rare_rule_holdout": q_rf_rare_rule_holdout,  # M2 M3 M4, weights and cut-off
     "submission_rule": q_submission_rule,  # E3 on a known rule
+    "submission_rare": q_submission_rare,  # E3, weights and cut-off
     "gbt_holdout": q_gbt_holdout,  # M1 M3 M4
     "rf_holdout": q_rf_holdout,  # M2 M3 M4
     "submission": q_submission,  # E3

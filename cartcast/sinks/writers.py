@@ -3,7 +3,9 @@ so a re-run replaces its output instead of appending a second copy."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cartcast.schema import LOG_TIME_FORMAT
@@ -24,6 +26,19 @@ def log_as_text(log: DataFrame) -> DataFrame:
     )
 
 
+def observed(df: DataFrame, write: Callable[[DataFrame], object], **metrics: Column) -> dict:
+    """``write(df)``, and aggregates of the rows it wrote, in one job.
+
+    The metrics sit right under the write, in its last stage: each of its tasks
+    is committed once, so a task that ran twice (retry, speculation, a lost
+    executor) counts once, as its rows are written once. They come to the
+    driver as one row; ``write`` must run exactly one action on its argument.
+    """
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return seen.get
+
+
 def write_log(log: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K1: the filtered log. ``csv`` writes the raw text layout without header."""
     if fmt == "csv":
@@ -32,6 +47,29 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet") -> None:
         log.write.mode("overwrite").parquet(path)
 
 
+def write_log_counted(log: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """K1 + A12: write the log and return how many rows were written, in one job."""
+    n_rows = F.count(F.lit(1))
+    return observed(log, lambda df: write_log(df, path, fmt), n_rows=n_rows)["n_rows"]
+
+
+def write_training(
+    df: DataFrame, path: str, fmt: str = "csv", label: str = "label", partition_by: str | None = None
+) -> dict:
+    """K3 + A13: write the training table and return its ``rows`` and ``positives``, in one job.
+
+    CSV is written with a header, one record per row; a label that is NULL or a
+    table without one counts no positive.
+    """
+    positives = F.count_if(F.col(label) == 1) if label in df.columns else F.count_if(F.lit(False))
+    return observed(
+        df,
+        lambda t: write_table(t, path, fmt, header=True, partition_by=partition_by),
+        rows=F.count(F.lit(1)),
+        positives=positives,
+    )
+
+
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", header: bool = False, partition_by: str | None = None
 ) -> None:

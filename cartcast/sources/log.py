@@ -80,6 +80,22 @@ def log_rejects(raw: DataFrame, calendar: Calendar | None = None) -> DataFrame:
     )
 
 
+def split_log(raw: DataFrame, path: str, calendar: Calendar | None = None) -> tuple[DataFrame, DataFrame]:
+    """``parse_log`` and ``log_rejects`` in one pass: (valid rows, rejects), read back from ``path``.
+
+    The text is split and parsed once and written with the verdict as the
+    partition column (``kind=valid`` and ``kind=reject``, so reading one leaves
+    the other alone). A re-run replaces both.
+    """
+    parsed = _parsed(raw, calendar)
+    kind = F.when(F.col("reject_reason").isNull(), F.lit("valid")).otherwise(F.lit("reject"))
+    parsed.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(path)
+    both = raw.sparkSession.read.schema(parsed.schema.add("kind", "string")).parquet(path)
+    valid = both.where(F.col("kind") == "valid").drop("kind", "reject_reason", "raw_time")
+    rejects = both.where(F.col("kind") == "reject")
+    return valid, rejects.select("user_id", "item_id", "behavior_type", "raw_time", "reject_reason")
+
+
 def read_log(spark: SparkSession, path: str | list[str], calendar: Calendar | None = None) -> DataFrame:
     return parse_log(read_log_text(spark, path), calendar)
 

@@ -63,6 +63,18 @@ def read_keyed_features(
     return df
 
 
+def read_training(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Training table (K3) as ``write_training`` wrote it; CSV needs the ``schema`` of the table written.
+
+    The header must name the schema's columns in order: a table of another
+    width or order is an error, not a shift of columns. The column a table was
+    partitioned by may stand in ``schema`` too: it comes from the folders.
+    """
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
     """libsvm rows (S7) as ``label DOUBLE, features VECTOR``.
 

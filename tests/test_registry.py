@@ -26,6 +26,8 @@ FAST = [
     "ui_counts_windows", "ui_features_salted", "feature_join_salted", "training_multi_split_partial_labels",
     "log_csv_roundtrip", "log_csv_rejects", "catalogue_csv", "filter_log_csv", "ui_features_csv", "feature_join_csv",
     "feature_join_text_columns", "libsvm_roundtrip_array", "libsvm_unlabelled", "rf_rule_holdout", "submission_rule",
+    "filter_log_split", "filter_count_observed", "training_table_csv", "training_counts_observed", "log_split_one_pass",
+    "feature_column_kinds", "pair_day_store", "pair_day_store_hot", "multi_split_features", "rf_rare_rule_holdout",
 ]
 
 
@@ -38,7 +40,7 @@ def test_entry_schema(spark):
 def test_every_sql_query_is_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
     assert set(QUERIES) <= set(E.queries())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"gbt_holdout", "rf_holdout", "submission"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"gbt_holdout", "rf_holdout", "submission", "submission_rare"}
 
 
 def _norm(rows, names):
