@@ -22,7 +22,7 @@ import datetime as dt
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartcast.functions.time import DateLike, as_date, midnight, split_hour
@@ -30,6 +30,7 @@ from cartcast.operators.features import DAY, I, U, needed_counts, pair_days, ui_
 from cartcast.operators.skew import DEFAULT_SKEW, SkewConfig
 from cartcast.schema import COUNT_WINDOWS
 from cartcast.session import cut_lineage, shared_path
+from cartcast.sinks.writers import observed
 
 # A user is stored apart on a day with more than this share's reciprocal of the
 # day's rows, and more than HOT_LEAST: fewer than HOT_PARTS users a day.
@@ -107,11 +108,11 @@ class PairDayStore:
         apart = marked.where("hot").select(*names)
         counts = {d: 0 for d in wanted}
         for kind, part in (("pair_days", cold), ("hot_days", apart)):
-            seen = Observation()
-            per = [F.count_if(F.col(DAY) == F.lit(d)).alias(d.isoformat()) for d in wanted]
-            part.observe(seen, *per).write.insertInto(self.names[kind], overwrite=True)
+            per = {d.isoformat(): F.count_if(F.col(DAY) == F.lit(d)) for d in wanted}
+            name = self.names[kind]
+            seen = observed(part, lambda df, name=name: df.write.insertInto(name, overwrite=True), **per)
             for d in wanted:
-                n = seen.get[d.isoformat()]
+                n = seen[d.isoformat()]
                 counts[d] += n
                 if not n:
                     self._empty(kind, d, columns)

@@ -3,6 +3,7 @@ so a re-run replaces its output instead of appending a second copy."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -33,10 +34,25 @@ def observed(df: DataFrame, write: Callable[[DataFrame], object], **metrics: Col
     is committed once, so a task that ran twice (retry, speculation, a lost
     executor) counts once, as its rows are written once. They come to the
     driver as one row; ``write`` must run exactly one action on its argument.
+
+    The write runs in a session of its own beside the caller's (same
+    application, settings and tables): a session that has observed anything
+    can no longer be serialised, and a random forest just fitted in it, whose
+    closures carry it along, would fail to predict.
     """
-    seen = Observation()
-    write(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
-    return seen.get
+    spark, name = df.sparkSession, f"observed_{uuid.uuid4().hex}"
+    beside = spark.newSession()
+    for key, value in ((r["key"], r["value"]) for r in spark.sql("SET").collect()):
+        if key.startswith("spark.sql.") and beside.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    df.createGlobalTempView(name)
+    try:
+        seen = Observation()
+        rows = beside.table(f"{beside.conf.get('spark.sql.globalTempDatabase', 'global_temp')}.{name}")
+        write(rows.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+        return seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(name)
 
 
 def write_log(log: DataFrame, path: str, fmt: str = "parquet") -> None:

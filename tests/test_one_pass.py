@@ -7,9 +7,11 @@ import uuid
 from collections import Counter
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cartcast.operators.filter import filter_log, filter_log_split
+from cartcast.operators.models import predict, random_forest
 from cartcast.operators.skew import SkewConfig, hot_keys, key_weights, salted_join
 from cartcast.operators.training import assemble, column_kinds, numeric_columns
 from cartcast.sinks.writers import observed, write_log, write_log_counted, write_training
@@ -83,6 +85,27 @@ def test_observed_metrics_count_written_rows_only(spark, tmp_path):
     assert seen == {"n": 500, "most": 998}
 
 
+def test_a_forest_still_predicts_after_an_observed_write(spark, tmp_path):
+    """An observed session cannot be serialised, and a fitted forest's closures carry theirs along."""
+    data = spark.createDataFrame([(float(k % 2), Vectors.dense([k % 2, 1.0])) for k in range(40)], ["label", "features"])
+    write_log_counted(big_log(spark, 30), str(tmp_path / "x"))
+    model = random_forest(num_trees=2, max_depth=2).fit(data)
+    assert predict(model, data).where("prediction = label").count() == 40
+
+
+def test_observed_write_keeps_the_settings(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows_ = spark.range(100).repartition("id").select("id", F.spark_partition_id().alias("p"))
+        assert observed(rows_, lambda df: df.write.parquet(str(tmp_path / "x")), top=F.max("p")) == {"top": 2}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert not spark.sql("SHOW VIEWS IN global_temp LIKE 'observed_*'").count()
+
+
 TRAINING = "user_id string, item_id string, a double, b long, label int"
 
 
