@@ -10,6 +10,7 @@ base phrases are rules too, exempt from suppression.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -196,10 +197,27 @@ def detect(text: bytes) -> list[tuple[int, int, str, int]]:
         if keyword in text:
             for r in group:
                 found.extend((m.start(), m.end(), r.label, r.priority) for m in r.pattern.finditer(text))
+    return outermost(found)
+
+
+def outermost(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Detections that lie in none of those before them, by priority, then length, place and label.
+
+    Of the ones taken, those inside another are of no use as containers; the
+    rest have their starts and ends in the same order, so the last one that
+    begins no later than a detection is the one that can contain it.
+    """
     taken: list[tuple[int, int, str, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for d in sorted(set(found), key=lambda d: (d[3], d[0] - d[1], d[0], d[2])):
-        if not any(t[0] <= d[0] and d[1] <= t[1] for t in taken):
-            taken.append(d)
+        at = bisect_right(starts, d[0])
+        if at and ends[at - 1] >= d[1]:
+            continue
+        taken.append(d)
+        at -= at > 0 and starts[at - 1] == d[0]  # begins there too and is shorter
+        inside = bisect_right(ends, d[1], at)
+        starts[at:inside], ends[at:inside] = [d[0]], [d[1]]
     return taken
 
 
