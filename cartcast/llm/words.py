@@ -2,8 +2,9 @@
 
 Texts are handled as UTF-8 bytes. Both word definitions used here treat every
 byte from 0x80 up alike, so splitting bytes gives the same words as splitting
-characters. Hashes are 64-bit; two different words or shingles agree with
-probability 2^-64, which the exact steps built on them accept.
+characters. Hashes are 64-bit; two different words or shingles agree by chance
+with probability 2^-64, which the exact steps built on them accept. They are not
+meant to withstand texts made to collide by someone who knows their constants.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
+LONG_SPAN = 256  # bytes from which on a span is hashed by itself
 BLOCK_BYTES = 1 << 20  # texts handled at once; a longer text makes its own block
 
 #: Word bytes: all but ASCII white space.
@@ -95,11 +98,22 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None):
-    """Hash of each byte span, from prefix sums of a polynomial modulo 2^64."""
+    """Hash of each byte span, from prefix sums of a polynomial modulo 2^64.
+
+    Such a polynomial takes the same value on certain pairs of strings whatever
+    its constants (Thue-Morse sequences of two letters and their complements,
+    from 1024 bytes on). Spans of ``LONG_SPAN`` bytes and more are hashed by
+    XXH3 instead, one by one: few, and nothing in it cancels by length.
+    """
     table = _BYTE if fold is None else _BYTE[fold]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * _power("up", len(data))[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power("down", len(data))[start])
+    out = mix((sums[end] - sums[start]) * _power("down", len(data))[start])
+    long = np.flatnonzero(end - start >= LONG_SPAN)
+    if len(long):
+        raw = (data if fold is None else fold[data]).tobytes()
+        out[long] = [xxh3_64_intdigest(raw[s:e], _BASE) for s, e in zip(start[long].tolist(), end[long].tolist())]
+    return out
 
 
 def find_words(block: Block, word_bytes: np.ndarray, fold: np.ndarray | None = None) -> Words:
@@ -127,6 +141,3 @@ def ngram_hash(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     same = words.doc[:m] == words.doc[n - 1 : m + n - 1]
     return words.doc[:m][same], mix(h[same])
 
-
-def text_sums(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(doc, value, n)

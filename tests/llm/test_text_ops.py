@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from cartcast.llm import licenses, packing, substring_dedup
+from cartcast.llm import licenses, ngram_join, packing, substring_dedup
 from cartcast.llm.common import ship_package
 from cartcast.llm.queries import tokenizer_path
 from cartcast.llm.words import ALNUM, FOLD, NOT_SPACE, Block, blocks, find_words, ngram_hash
@@ -53,6 +54,27 @@ def test_hashes_tell_words_and_ngrams_apart():
     assert plain.hash[6] != plain.hash[8]  # case counts without folding
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_on_which_polynomials_cancel_are_told_apart(n):
+    (block,) = blocks(pa.array([thue_morse(n, "a", "b") + " " + thue_morse(n, "b", "a") + " " + thue_morse(n, "A", "b")]))
+    words = find_words(block, NOT_SPACE, FOLD)
+    assert words.hash[0] != words.hash[1] and words.hash[0] == words.hash[2]  # folded alike
+    assert len(set(find_words(block, NOT_SPACE).hash.tolist())) == 3
+
+
+def test_cancelling_words_make_no_link_and_no_span(spark):
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    pairs = [(1, " ".join([x] * 30)), (2, " ".join([y] * 30)), (3, " ".join([x] * 30))]
+    links = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.jaccard_links(make_docs(spark, pairs)).collect()}
+    assert links == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
+    pairs = [(1, f"{x} " + " ".join(f"p{k}" for k in range(23))), (2, f"{y} " + " ".join(f"p{k}" for k in range(23)))]
+    assert substring_dedup.repeated_spans(make_docs(spark, pairs)).collect() == []
+
+
 # packing
 
 
@@ -186,6 +208,29 @@ def test_license_rules():
     assert {d[2] for d in found} == {"lgpl-2.1-or-later", "license-mention"}  # the gpl rules lie inside
 
 
+def test_outermost_detections_equal_brute_force():
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40, 200):
+        for _ in range(20):
+            found = [(s := rng.randint(0, 60), s + rng.randint(1, 25), rng.choice("abc"), rng.randint(0, 3)) for _ in range(n)]
+            want = []
+            for d in sorted(set(found), key=lambda d: (d[3], d[0] - d[1], d[0], d[2])):
+                if not any(t[0] <= d[0] and d[1] <= t[1] for t in want):
+                    want.append(d)
+            assert licenses.outermost(found) == want
+
+
+def test_many_detections_in_one_text():
+    """A notice list of a megabyte: time in proportion to the detections, not to their pairs."""
+    rng = random.Random(3)
+    found = [(s := rng.randint(0, 10_000_000), s + rng.randint(10, 60), "x", rng.randint(0, 3)) for _ in range(100_000)]
+    text = b"all rights reserved; licensed under the mit license. " * 20_000
+    began = time.process_time()
+    assert len(licenses.outermost(found)) > 50_000
+    assert len(licenses.detect(text)) >= 20_000
+    assert time.process_time() - began < 15
+
+
 def a_match(rng, parsed):
     """Lower-case bytes that a parsed pattern matches, gaps and options drawn at random."""
     out = b""
