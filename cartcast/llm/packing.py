@@ -213,7 +213,8 @@ def best_fit_packing(
     # At most one row per task before a length's pieces: a running sum over tasks.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.join(base, ["length", "part"]).select(
+    # One row per task and length: it grows with the tasks, so it is shuffled, not broadcast.
+    ranked = rows.hint("merge").join(base, ["length", "part"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("seq")).alias("rank")
     )
     most = int(counts.max(initial=0)) + 1
