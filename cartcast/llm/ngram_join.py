@@ -157,12 +157,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, copied: dict[int, int], shingl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, copied = shared.value
+        back = inverse_order(order)
         for batch in batches:
             ids, firsts, nodes, sizes = batch.column(0).to_pylist(), [], [], []
             for doc, keys in zip(ids, text_sets(batch.column(1), shingle, order)):
                 if not len(keys) or doc is None:
                     continue
-                node = set_digest(_unordered(keys, order))
+                node = set_digest(_unordered(keys, back))
                 if copied.get(node, doc) == doc:
                     firsts.append(keys[: prefix_length(len(keys), percent)])
                     nodes.append(node)
@@ -254,17 +255,15 @@ def tied_points(tree: RTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([find(int(i)) for i in x], dtype=int)
 
 
-_inverse: dict[int, np.ndarray] = {}
+def inverse_order(order: np.ndarray) -> np.ndarray:
+    """The group of each rank."""
+    back = np.empty(len(order), np.uint64)
+    back[order.astype(np.int64)] = np.arange(len(order), dtype=np.uint64)
+    return back
 
 
-def _unordered(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The hashes that ``keys`` were made of."""
-    back = _inverse.get(id(order))
-    if back is None:
-        _inverse.clear()
-        back = np.empty_like(order)
-        back[order.astype(np.int64)] = np.arange(len(order), dtype=np.uint64)
-        _inverse[id(order)] = back
+def _unordered(keys: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The hashes that ``keys`` were made of; ``back`` is the inverse of their order."""
     return keys << np.uint64(GROUP_BITS) | back[(keys >> np.uint64(64 - GROUP_BITS)).astype(np.int64)]
 
 

@@ -127,6 +127,24 @@ def test_jaccard_of_odd_rows(spark):
     assert got[None].component_id is None and got[None].n_links == 0
 
 
+def test_one_session_joins_several_tables(spark):
+    """Python workers are kept between jobs; nothing of one join's order of shingles may reach the next."""
+    for seed in range(4):
+        pairs = near_copies(20 + seed, 6)
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_links(make_docs(spark, pairs)).collect()}
+        assert got == {i: c for i, (_, c, _) in jaccard_brute(pairs).items()}
+
+
+def test_keys_give_their_hashes_back():
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        order = rng.permutation(1 << ngram_join.GROUP_BITS).astype(np.uint32)
+        h = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        group = (h & np.uint64((1 << ngram_join.GROUP_BITS) - 1)).astype(np.int64)
+        keys = order[group].astype(np.uint64) << np.uint64(64 - ngram_join.GROUP_BITS) | h >> np.uint64(ngram_join.GROUP_BITS)
+        assert (ngram_join._unordered(keys, ngram_join.inverse_order(order)) == h).all()
+
+
 def test_rtree_bounds_lose_no_link():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 62, rng.integers(5, 200)).astype(np.uint64)) for _ in range(70)]
