@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import cartcast
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartcast.session import cut_lineage
+from cartcast.session import cut_lineage, shared_path
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,6 +86,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Scope whose writes drop their shuffle files when they end, not when the driver collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
+class Scratch:
+    """Written tables of one operator, each removed as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = shared_path(self.spark, f"llm-{name}")
+        with shuffles_freed(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def attach(
     rows: DataFrame, groups: DataFrame, key: Sequence[str], weight: str, how: str = "inner"
 ) -> DataFrame:

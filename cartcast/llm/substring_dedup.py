@@ -1,14 +1,15 @@
 """Substring deduplication: every passage of enough words that occurs before.
 
-A passage is found by its windows of ``min_words`` words, compared byte for
-byte by digest: a window that occurs before, by document and place, is
-repeated, and the repeated windows of a document that overlap or touch are one
-span, from its first word to its last. To hash few windows, texts are first
-winnowed: of each ``min_words`` words one shorter run, the one of smallest
-hash, is an anchor. The choice only depends on these words, so equal windows
-have equal anchors, and only windows around an anchor that occurs more than
-once can repeat. Spans are also measured in content-defined chunks, cut where
-the gear hash of the last ``WINDOW`` bytes has its top bits zero.
+Texts are cut where their content says so: at each byte whose gear hash (a
+rolling hash of the last ``WINDOW`` bytes) is the smallest within ``RADIUS``
+bytes to both sides. No cut is forced, so an insertion moves no cut beyond its
+own surroundings, and equal passages are cut alike but near their ends. The
+chunks between cuts are deduplicated by digest, over all documents: a passage
+can only occur twice if all chunks that it determines do. What is left are the
+windows of ``min_words`` words all of whose chunks are repeated; they are
+compared byte for byte by digest, as a chunk may well be repeated elsewhere
+than its neighbours. The repeated windows of a document that overlap or touch
+are one span, from its first word to its last.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartcast.llm.common import attach, staged
-from cartcast.llm.words import NOT_SPACE, Block, Words, blocks, find_words, ngram_hash, span_hash
+from cartcast.llm.common import Scratch, attach, staged
+from cartcast.llm.words import NOT_SPACE, Block, blocks, find_words, span_hash
 
 WINDOW = 16  # bytes the rolling hash sees
-BITS = 5  # top bits that are zero at a cut: one place in 32
-SHORTEST, LONGEST = 16, 128  # bytes of a chunk
+RADIUS = 12  # bytes to both sides among which a cut has the smallest hash
+BEFORE = RADIUS + WINDOW - 1  # bytes before a cut's own that decide on it
 MIN_WORDS = 24  # words of a passage; every repeat of so many words is found
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -44,103 +45,83 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(text, end byte) of every chunk, in order. A text's last chunk ends with it.
+def smallest(h: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of every ``n`` values in a row."""
+    size = 1
+    while 2 * size <= n:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if size < n else h
 
-    The shortest chunk is as long as the window, so no cut depends on bytes
-    outside its text.
+
+def cuts(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(text, byte) after which each text is cut, in order.
+
+    Only bytes with all that decides on them inside their text are cuts, so
+    cuts depend on nothing else.
     """
-    cuts = np.flatnonzero(gear(block.data) >> np.uint16(16 - BITS) == 0) + 1
-    ends: list[int] = []
-    docs: list[int] = []
-    offsets, at = block.offsets.tolist(), 0
-    cuts = cuts.tolist()
-    for doc in range(block.n):
-        start, stop, n = offsets[doc], offsets[doc + 1], len(ends)
-        while at < len(cuts) and cuts[at] <= start:
-            at += 1
-        while at < len(cuts) and cuts[at] < stop:
-            cut = cuts[at]
-            at += 1
-            while cut - start > LONGEST:
-                start += LONGEST
-                ends.append(start)
-            if cut - start >= SHORTEST:
-                start = cut
-                ends.append(start)
-        while stop - start > LONGEST:
-            start += LONGEST
-            ends.append(start)
-        if stop > start:
-            ends.append(stop)
-        docs.extend([doc] * (len(ends) - n))
-    return np.array(docs, np.int64), np.array(ends, np.int64)
-
-
-def anchors(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, at (word it begins with), digest of every anchor: the run of about
-    half of ``min_words`` words whose hash is smallest (the last of equal ones)
-    among those within some ``min_words`` words of a text."""
-    run_words = anchor_words(min_words)
+    if len(block.data) <= BEFORE + RADIUS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = gear(block.data)
+    low = smallest(h, RADIUS)
+    own = h[RADIUS : len(h) - RADIUS]
+    at = np.flatnonzero((own < low[: len(own)]) & (own <= low[RADIUS + 1 :])) + RADIUS
+    doc = np.searchsorted(block.offsets, at, "right") - 1
+    inside = (at - BEFORE >= block.offsets[doc]) & (at + RADIUS < block.offsets[doc + 1])
+    return doc[inside], at[inside]
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc, at (number of the cut it begins after), digest of every chunk between two cuts of ``docs (doc, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column(1)):
-                words = find_words(block, NOT_SPACE)
-                first = np.cumsum(words.counts) - words.counts
-                word = np.unique(anchor_of(words, min_words)[1])
-                doc = words.doc[word]
-                # The digest is of the bytes, white space between the words too.
-                digest = span_hash(block.data, words.start[word], words.end[word + run_words - 1])
+                doc, cut = cuts(block)
+                number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                own = np.flatnonzero(doc[1:] == doc[:-1])
+                digest = span_hash(block.data, cut[own] + 1, cut[own + 1] + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[block.first + doc].astype(np.int64)),
-                        pa.array((word - first[doc]).astype(np.int32)),
+                        pa.array(ids[block.first + doc[own]].astype(np.int64)),
+                        pa.array(number[own].astype(np.int32)),
                         pa.array(digest.view(np.int64)),
                     ],
                     ["doc", "at", "digest"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc long, at int, digest long")
+    return docs.mapInArrow(run, "doc long, at int, digest long")
 
 
-def anchor_words(min_words: int) -> int:
-    return max(1, min_words // 2)
-
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return source.where("doc IS NOT NULL AND text IS NOT NULL")
 
-def anchor_of(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of every window of ``min_words`` words within a text, and of its anchor."""
-    n = anchor_words(min_words)
-    choice = min_words - n + 1
-    doc, h = ngram_hash(words, n)
-    if len(h) < choice:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    back = np.lib.stride_tricks.sliding_window_view(h[::-1], choice).argmin(1)[::-1]
-    last = np.arange(choice - 1, len(h))
-    inside = doc[last - choice + 1] == doc[last]
-    runs = np.maximum(words.counts - n + 1, 0)
-    to_word = (np.cumsum(words.counts) - words.counts) - (np.cumsum(runs) - runs)
-    last, anchor = last[inside], (last - back)[inside]
-    shift = to_word[doc[last]]
-    return last - choice + 1 + shift, anchor + shift
 
+def possible(cut: np.ndarray, repeated: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which windows hold no chunk that occurs once only.
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return source.where("doc IS NOT NULL")
+    ``repeated``: whether the chunk that begins after each cut is. A window
+    determines a cut if it holds all the bytes that decide on it, and a chunk
+    if it determines both its cuts: then every other place of the window has
+    that chunk too. A window that determines none is possible.
+    """
+    once = np.append(0, np.cumsum(~repeated))
+    first = np.searchsorted(cut, start + BEFORE)
+    last = np.searchsorted(cut, stop - RADIUS) - 1
+    return once[np.maximum(last, first)] == once[first]
 
 
-def windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """The windows of ``min_words`` words whose anchor occurs more than once.
+def windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """The windows of ``min_words`` words of ``rows (doc, text, places)`` that may repeat.
 
-    digest, doc, at (its first word), start and size (bytes), chunk (the number
-    of the one that holds its first byte), more (chunks begun after that), again
-    (it occurs in the text before, not overlapping its first place there).
+    ``places``: the numbers of the chunks that are repeated. digest, doc, at
+    (its first word), start and size (bytes), chunk (cuts before it), more
+    (cuts inside), again (it occurs in the text before, not overlapping its
+    first place there). Each text of so many words also has a row without
+    digest for its whole: ``at`` is then its number of words.
     """
-    found = staged(anchors(docs, min_words, id_col, text_col), "anchors")
-    counts = staged(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
-    places = attach(found, counts, ["digest"], "n").groupBy("doc").agg(F.collect_set("at").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,37 +129,41 @@ def windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
             for block in blocks(batch.column(1)):
                 words = find_words(block, NOT_SPACE)
                 first = np.cumsum(words.counts) - words.counts
-                rows = batch.column(2).slice(block.first, block.n)
-                of = np.repeat(np.arange(block.n), np.diff(rows.offsets.to_numpy()))
-                place = rows.flatten().to_numpy()
-                here = place < words.counts[of]  # an id may have several texts
-                of, place = of[here], place[here]
-                repeated = np.zeros(len(words.start), bool)
-                repeated[first[of] + place] = True
-                begin, anchor = anchor_of(words, min_words)
-                begin = begin[repeated[anchor]]
-                doc = words.doc[begin]
-                start, stop = words.start[begin], words.end[begin + min_words - 1]
-                digest = span_hash(block.data, start, stop)
-                _, ends = chunk_ends(block)
-                chunk, last_chunk = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop - 1, "right")
-                base = block.offsets[doc]
+                doc, cut = cuts(block)
+                from_cut, n_cuts = np.searchsorted(doc, np.arange(block.n)), np.bincount(doc, minlength=block.n)
+                lists = batch.column(2).slice(block.first, block.n)
+                of = np.repeat(np.arange(block.n), lists.value_lengths().fill_null(0).to_numpy())
+                place = lists.flatten().to_numpy()
+                here = place < n_cuts[of]  # an id may have several texts
+                repeated = np.zeros(len(cut), bool)
+                repeated[from_cut[of[here]] + place[here]] = True
+                begin = np.flatnonzero(np.arange(len(words.start)) - first[words.doc] <= words.counts[words.doc] - min_words)
+                begin = begin[possible(cut, repeated, words.start[begin], words.end[begin + min_words - 1])]
+                long = np.flatnonzero(words.counts >= min_words)
+                doc = np.concatenate([words.doc[begin], long])
+                start = words.start[np.concatenate([begin, first[long]])]
+                stop = words.end[np.concatenate([begin + min_words - 1, first[long] + words.counts[long] - 1])]
+                n = len(begin)
+                digest = span_hash(block.data, start[:n], stop[:n])
+                before, inside = np.searchsorted(cut, start), np.searchsorted(cut, stop - 1)
+                more = np.zeros(len(start), bool)
+                more[:n] = again(doc[:n], digest, start[:n], stop[:n])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(digest.view(np.int64)),
+                        pa.array(np.append(digest.view(np.int64), np.zeros(len(long), np.int64)), mask=np.arange(len(start)) >= n),
                         pa.array(ids[block.first + doc].astype(np.int64)),
-                        pa.array((begin - first[doc]).astype(np.int32)),
-                        pa.array((start - base).astype(np.int32)),
+                        pa.array(np.append(begin - first[doc[:n]], words.counts[long]).astype(np.int32)),
+                        pa.array((start - block.offsets[doc]).astype(np.int32)),
                         pa.array((stop - start).astype(np.int32)),
-                        pa.array((chunk - np.searchsorted(ends, base, "right")).astype(np.int32)),
-                        pa.array((last_chunk - chunk).astype(np.int32)),
-                        pa.array(again(doc, digest, start, stop)),
+                        pa.array((before - from_cut[doc]).astype(np.int32)),
+                        pa.array((inside - before).astype(np.int32)),
+                        pa.array(more),
                     ],
                     ["digest", "doc", "at", "start", "size", "chunk", "more", "again"],
                 )
 
-    rows = _texts(docs, id_col, text_col).join(staged(places, "anchor-places"), "doc").select("doc", "text", "places")
-    return rows.mapInArrow(run, "digest long, doc long, at int, start int, size int, chunk int, more int, again boolean")
+    fields = "digest long, doc long, at int, start int, size int, chunk int, more int, again boolean"
+    return rows.select("doc", "text", "places").mapInArrow(run, fields)
 
 
 def again(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -192,17 +177,24 @@ def again(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, stop: np.ndarr
     return out
 
 
-def repeated_windows(every: DataFrame) -> DataFrame:
-    """Windows that occurred before, by (document, place), with the document of the first.
+def spans_of(found: DataFrame, min_words: int) -> DataFrame:
+    """Spans (doc, start, end, n_words, n_chunks, first_doc_ids, windows) of repeated windows that overlap or touch.
 
-    ``every`` is a written table. Digests are counted with partial aggregation;
-    those that repeat meet their windows again, the very common ones by
-    broadcast, so no task gathers one. A window that overlaps its own first
-    place is part of what stays.
+    Rows that repeat (of rows repeating an id and text) count once.
     """
-    seen = every.groupBy("digest").agg(F.min("doc").alias("keep_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = attach(every, staged(seen, "repeats"), ["digest"], "n")
-    return found.where((F.col("doc") != F.col("keep_doc")) | F.col("again")).drop("digest", "n", "again")
+    place = Window.partitionBy("doc").orderBy("at")
+    last = F.lag("at").over(place)
+    runs = found.withColumns(
+        {"new": (F.col("at") > F.coalesce(last, F.lit(-1 - min_words)) + min_words).cast("int"), "other": F.coalesce(F.col("at") != last, F.lit(True))}
+    )
+    return runs.withColumn("run", F.sum("new").over(place)).groupBy("doc", "run").agg(
+        F.min("start").alias("start"),
+        F.max(F.col("start") + F.col("size")).alias("end"),
+        (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words"),
+        (F.max(F.col("chunk") + F.col("more")) - F.min("chunk") + 1).cast("long").alias("n_chunks"),
+        F.sort_array(F.collect_set("keep_doc")).alias("first_doc_ids"),
+        F.count_if("other").alias("windows"),
+    )
 
 
 def repeated_spans(
@@ -217,19 +209,55 @@ def repeated_spans(
     repeated are one row. Null and empty texts and texts of fewer words have
     none; rows with a null id are not looked at; rows with equal id and text are
     one document. Other columns are ignored, and an empty table gives no rows.
+
+    Texts that are copies of another document's are rows by that document's
+    windows; only one text of each kind is compared window by window. Digests
+    are counted with partial aggregation and meet their rows by ``attach``, so
+    no task gathers a common one.
     """
-    found = repeated_windows(staged(windows(docs, min_words, id_col, text_col), "windows")).distinct()
-    place = Window.partitionBy("doc").orderBy("at")
-    runs = found.withColumn("new", (F.col("at") > F.lag("at", 1, -1 - min_words).over(place) + min_words).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(place))
-    spans = runs.groupBy("doc", "run").agg(
-        F.min("start").alias("start"),
-        F.max(F.col("start") + F.col("size")).alias("end"),
-        (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words"),
-        (F.max(F.col("chunk") + F.col("more")) - F.min("chunk") + 1).cast("long").alias("n_chunks"),
-        F.sort_array(F.collect_set("keep_doc")).alias("first_doc_ids"),
+    tables = Scratch(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+
+    ids = tables.write(texts.select("doc", sha).distinct(), "text-ids")
+    firsts = tables.write(ids.groupBy("sha").agg(F.min("doc").alias("keep_doc"), F.count(F.lit(1)).alias("n")), "first-texts")
+    copies = attach(ids, firsts.where("n > 1"), ["sha"], "n").where("doc != keep_doc").select("doc", "keep_doc")
+    copies = tables.write(copies, "copies")
+
+    found = tables.write(chunks(texts), "chunks")
+    common = tables.write(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-chunks")
+    places = attach(found, common, ["digest"], "n").groupBy("doc").agg(F.collect_set("at").alias("places"))
+    places = firsts.select(F.col("keep_doc").alias("doc"), "sha").join(places, "doc", "left")
+    places = tables.write(places, "chunk-places")
+    tables.drop("chunks", "repeated-chunks", "text-ids", "first-texts")
+
+    rows = texts.select("doc", "text", sha).join(places, ["doc", "sha"])
+    every = tables.write(windows(rows, min_words), "windows")
+    tables.drop("chunk-places")
+    seen = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("keep_doc"), F.count(F.lit(1)).alias("n"))
+    found = attach(every, tables.write(seen.where("n > 1"), "repeated-windows"), ["digest"], "n")
+    # A window that overlaps its own first place is part of what stays.
+    found = found.where((F.col("doc") != F.col("keep_doc")) | F.col("again"))
+    spans = tables.write(spans_of(found, min_words), "spans")
+
+    # A copy is one span; its passages stay where those of the first text like it do.
+    held = spans.groupBy("doc").agg(F.sum("windows").alias("gone"), F.array_distinct(F.flatten(F.collect_list("first_doc_ids"))).alias("ids"))
+    whole = every.where("digest IS NULL").select("doc", "at", "start", "size", "more").distinct()
+    whole = copies.groupBy(F.col("keep_doc").alias("doc")).agg(F.count(F.lit(1)).alias("n")).join(whole, "doc").join(held, "doc", "left")
+    stays = F.when(F.coalesce("gone", F.lit(0)) < F.col("at") - min_words + 1, F.array("doc")).otherwise(F.array().cast("array<long>"))
+    whole = whole.select(
+        F.col("doc").alias("keep_doc"),
+        "n",
+        "start",
+        (F.col("start") + F.col("size")).alias("end"),
+        F.col("at").cast("long").alias("n_words"),
+        (F.col("more") + 1).cast("long").alias("n_chunks"),
+        F.sort_array(F.array_union(F.coalesce("ids", F.array().cast("array<long>")), stays)).alias("first_doc_ids"),
     )
-    return spans.select(F.col("doc").alias(id_col), "start", "end", "n_words", "n_chunks", "first_doc_ids")
+    whole = attach(copies, tables.write(whole, "whole-texts"), ["keep_doc"], "n")
+    tables.drop("windows", "repeated-windows")
+    fields = [F.col("doc").alias(id_col), "start", "end", "n_words", "n_chunks", "first_doc_ids"]
+    return spans.select(*fields).unionByName(whole.select(*fields))
 
 
 def remove_repeats(

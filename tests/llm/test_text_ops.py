@@ -271,30 +271,47 @@ def test_license_keywords_gate_no_match_away(monkeypatch):
 # substring dedup
 
 
-def chunks_brute(data: bytes):
-    """Cuts by the definition: every byte's rolling hash from its window alone."""
-    ends, start = [], 0
-    for i in range(len(data)):
-        h = 0
-        for age in range(substring_dedup.WINDOW):
-            if i - age >= 0:
-                h += int(substring_dedup._GEAR[data[i - age]]) << age
-        cut = (h & 0xFFFF) >> (16 - substring_dedup.BITS) == 0
-        size = i + 1 - start
-        if i + 1 == len(data) or size == substring_dedup.LONGEST or (cut and size >= substring_dedup.SHORTEST):
-            ends.append(i + 1)
-            start = i + 1
-    return ends
+def cuts_brute(data: bytes):
+    """Cuts by the definition: every byte's rolling hash from its window alone, the smallest of its surroundings."""
+    r, w = substring_dedup.RADIUS, substring_dedup.WINDOW
+    h = [sum(int(substring_dedup._GEAR[data[i - age]]) << age for age in range(w) if i >= age) & 0xFFFF for i in range(len(data))]
+    return [
+        i for i in range(r + w - 1, len(data) - r) if h[i] < min(h[i - r : i]) and h[i] <= min(h[i + 1 : i + r + 1])
+    ]
 
 
 def test_chunks_follow_the_gear_hash():
     rng = random.Random(6)
     texts = ["", "short", "z" * 700] + [invented(rng, rng.randint(1, 200), vocabulary(rng, 90)) for _ in range(12)] + ["été " * 60]
     (block,) = blocks(pa.array(texts))
-    doc, end = substring_dedup.chunk_ends(block)
+    doc, at = substring_dedup.cuts(block)
     for k, t in enumerate(texts):
-        assert (end[doc == k] - block.offsets[k]).tolist() == chunks_brute(t.encode())
-    assert len(substring_dedup.chunk_ends(Block(0, np.zeros(0, np.uint8), np.array([0, 0])))[0]) == 0
+        assert (at[doc == k] - block.offsets[k]).tolist() == cuts_brute(t.encode())
+    assert len(substring_dedup.cuts(Block(0, np.zeros(0, np.uint8), np.array([0, 0])))[0]) == 0
+
+
+def test_chunks_resist_insertions():
+    rng = random.Random(7)
+    text = invented(rng, 400, vocabulary(rng, 900))
+    both = [text, text[:1000] + "INSERTED " + text[1000:]]
+    (block,) = blocks(pa.array(both))
+    doc, at = substring_dedup.cuts(block)
+    one, two = set(at[doc == 0].tolist()), set((at[doc == 1] - block.offsets[1]).tolist())
+    reach = substring_dedup.BEFORE + substring_dedup.RADIUS
+    assert {c for c in one if c < 1000 - reach} == {c for c in two if c < 1000 - reach}
+    assert {c + 9 for c in one if c > 1000 + reach} == {c for c in two if c > 1009 + reach}
+
+
+def test_windows_hold_few_chunks_that_occur_once():
+    rng = random.Random(11)
+    (block,) = blocks(pa.array([invented(rng, 3000, vocabulary(rng, 3000)), "a b " * 40]))
+    words = find_words(block, NOT_SPACE)
+    start, stop = words.start[:-23], words.end[23:]
+    _, cut = substring_dedup.cuts(block)
+    some = words.counts[0] - 23
+    left = substring_dedup.possible(cut, np.zeros(len(cut), bool), start, stop)
+    assert left[:some].mean() < 0.1 and left[some + 23 :].all()  # a text without cuts stays possible
+    assert substring_dedup.possible(cut, np.ones(len(cut), bool), start, stop).all()
 
 
 def passages(spark):
@@ -383,6 +400,9 @@ def test_spans_equal_brute_force(spark, n):
     words = vocabulary(rng, 40)
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(20)]
     pairs = [(k, rng.choice(["\n", "  ", " "]).join(rng.choice(lines) for _ in range(rng.randint(0, 9)))) for k in range(150)]
+    pairs += [(300 + k, pairs[k % 50][1]) for k in range(60)] + [pairs[3]]  # copies, a row twice
     pairs += [(500, "tie " * 300), (501, "tie " * 300), (502, "===== " * 23), (503, "é 漢字\t" * 40), (504, None), (None, lines[0])]
     rows = substring_dedup.repeated_spans(make_docs(spark, pairs), n).collect()
-    assert sorted((r.doc_id, r.start, r.end) for r in rows) == sorted(spans_brute(pairs, n))
+    assert sorted((r.doc_id, r.start, r.end) for r in rows) == sorted(spans_brute(dict.fromkeys(pairs), n))
+    for r in rows:
+        assert r.first_doc_ids == sorted(set(r.first_doc_ids)) and max(r.first_doc_ids) <= r.doc_id
