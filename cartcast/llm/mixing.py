@@ -15,6 +15,7 @@ posteriors, so documents of mixed membership move less than clear ones.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -154,7 +155,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     ``members``: tokens and p. The gradient of the least-squares distance is
     scaled by the domains' second moments over the documents whose rate is not
     held at 0, so a few steps suffice; the budget is the tokens there are. Each
-    step is one aggregate of a few numbers.
+    step is one aggregate of a few numbers. Totals that still miss their targets
+    after the last step (a domain with next to no tokens) are told by a warning.
     """
     n = len(targets)
     moves: list[list[float]] = []
@@ -169,7 +171,10 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
         if not s["all"]:
             return []
         off = np.array([s[f"s{k}"] / s["all"] - targets[k] for k in range(n)])
-        if np.abs(off).max() < tolerance or len(moves) == steps:
+        if np.abs(off).max() < tolerance:
+            break
+        if len(moves) == steps:
+            warnings.warn(f"domain totals miss their targets after {steps} steps, as shares of all tokens by {off.tolist()}", stacklevel=2)
             break
         moment = np.zeros((n, n))
         for j, k in pairs:
@@ -208,6 +213,17 @@ def mixed(
     )
 
 
+def factor_to_keep(moves: list[list[float]], domain: int) -> float:
+    """What all rates are to be multiplied by lest a document wholly of ``domain`` gets one below 1.
+
+    1 where it has no such rate, and for a domain nothing is wanted of.
+    """
+    r = 1.0
+    for move in moves:
+        r = max(0.0, r - move[domain])
+    return max(1.0, 1 / r) if r > 0 else 1.0
+
+
 def copies(key: Column, r: Column) -> Column:
     """The rate rounded up with the probability of its fraction, by a hash of the key."""
     u = F.pmod(F.xxhash64(key, F.lit(20240101)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -221,13 +237,24 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_rows: int = MAX_ROWS,
+    keep: str | None = None,
 ) -> DataFrame:
     """The documents repeated ``copies`` times (0: dropped), all columns kept.
 
-    The documents are written once with their posteriors, so texts are scored
-    once; the fit reads the posteriors alone, and no text is shuffled.
+    ``keep`` names a domain whose documents are to stay: if it holds more of the
+    tokens than wanted, all rates are raised alike until its own are 1, so the
+    shares are met with more tokens instead of fewer of its documents; what is
+    likeliest of that domain, though not surely, gets a rate of 1 at least. The
+    documents are written once with their posteriors, so texts are scored once;
+    the fit reads the posteriors alone, and no text is shuffled.
     """
     rows = staged(_posteriors(docs, labelled, targets, id_col, text_col, max_rows), "mix-documents")
-    n = copies(F.col("__mx_id"), rate(_fit(rows, targets), "__mx_p"))
+    moves = _fit(rows, targets)
+    rates = rate(moves, "__mx_p")
+    if keep is not None:
+        k = sorted(targets).index(keep)
+        rates = rates * F.lit(factor_to_keep(moves, k))
+        rates = F.when(F.col("__mx_p")[k] == F.array_max("__mx_p"), F.greatest(rates, F.lit(1.0))).otherwise(rates)
+    n = copies(F.col("__mx_id"), rates)
     rows = rows.select(*docs.columns, n.alias("__mx_copies")).where("__mx_copies > 0")
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))).alias("__mx_copy")).drop("__mx_copy")

@@ -276,6 +276,31 @@ def test_resample_repeats_rows_as_told(spark, data):
     assert got == {i: c for i, c in told.items() if c}
 
 
+def test_a_kept_domain_stays_where_it_is_too_common(spark, data):
+    docs, labels, _ = data
+    mostly_clean = docs.where("doc_id % 6 > 2 OR doc_id % 60 < 3")
+    given, wanted = mixing.domain_labels(labels), {"clean": 0.7, "poor": 0.15, "toxic": 0.15}
+    told = {r.doc_id: r for r in mixing.mixed(mostly_clean, given, wanted).collect()}
+    clean = {i for i, r in told.items() if r.p_clean == max(r.p_clean, r.p_poor, r.p_toxic)}
+    assert any(told[i].rate < 1 for i in clean)  # the plain rates would drop some
+    out = [r.doc_id for r in mixing.resample(mostly_clean, given, wanted, keep="clean").collect()]
+    assert clean and clean <= set(out)
+    assert len(out) > len(told)  # the others rise with them
+
+
+def test_factor_to_keep():
+    assert mixing.factor_to_keep([], 0) == 1.0
+    assert mixing.factor_to_keep([[0.25, -1.0], [0.25, 0.0]], 0) == 2.0  # rates 0.75, then 0.5
+    assert mixing.factor_to_keep([[0.3, -1.0]], 1) == 1.0
+    assert mixing.factor_to_keep([[1.5, 0.0]], 0) == 1.0  # wanted not at all
+
+
+def test_missed_targets_are_told(spark):
+    members = spark.createDataFrame([(10**6, [1.0, 0.0]), (1, [0.0, 1.0])], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.fit_rates(members, [0.9, 0.1], steps=3)
+
+
 def test_mixing_is_native(spark, data):
     docs, labels, _ = data
     for out in (mixing.mixed(docs, mixing.domain_labels(labels), TARGETS), mixing.resample(docs, mixing.domain_labels(labels), TARGETS)):
