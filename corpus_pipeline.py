@@ -34,9 +34,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or dropped at the rates that bring the domains to their target shares."""
+    """Documents are repeated or dropped at the rates that bring the domains to their target shares; clean ones stay."""
     labels = read_table(spark, sf_dir, "labels")
-    return mixing.resample(docs, mixing.domain_labels(labels), mixing.DOMAINS)
+    return mixing.resample(docs, mixing.domain_labels(labels), mixing.DOMAINS, keep="clean")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
