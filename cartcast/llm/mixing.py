@@ -213,17 +213,6 @@ def mixed(
     )
 
 
-def factor_to_keep(moves: list[list[float]], domain: int) -> float:
-    """What all rates are to be multiplied by lest a document wholly of ``domain`` gets one below 1.
-
-    1 where it has no such rate, and for a domain nothing is wanted of.
-    """
-    r = 1.0
-    for move in moves:
-        r = max(0.0, r - move[domain])
-    return max(1.0, 1 / r) if r > 0 else 1.0
-
-
 def copies(key: Column, r: Column) -> Column:
     """The rate rounded up with the probability of its fraction, by a hash of the key."""
     u = F.pmod(F.xxhash64(key, F.lit(20240101)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -241,19 +230,16 @@ def resample(
 ) -> DataFrame:
     """The documents repeated ``copies`` times (0: dropped), all columns kept.
 
-    ``keep`` names a domain whose documents are to stay: if it holds more of the
-    tokens than wanted, all rates are raised alike until its own are 1, so the
-    shares are met with more tokens instead of fewer of its documents; what is
-    likeliest of that domain, though not surely, gets a rate of 1 at least. The
+    ``keep`` names a domain whose documents are to stay: those likeliest of it
+    get a rate of 1 at least. If it holds more of the tokens than wanted, its
+    share then stays above its target instead of documents being dropped. The
     documents are written once with their posteriors, so texts are scored once;
     the fit reads the posteriors alone, and no text is shuffled.
     """
     rows = staged(_posteriors(docs, labelled, targets, id_col, text_col, max_rows), "mix-documents")
-    moves = _fit(rows, targets)
-    rates = rate(moves, "__mx_p")
+    rates = rate(_fit(rows, targets), "__mx_p")
     if keep is not None:
         k = sorted(targets).index(keep)
-        rates = rates * F.lit(factor_to_keep(moves, k))
         rates = F.when(F.col("__mx_p")[k] == F.array_max("__mx_p"), F.greatest(rates, F.lit(1.0))).otherwise(rates)
     n = copies(F.col("__mx_id"), rates)
     rows = rows.select(*docs.columns, n.alias("__mx_copies")).where("__mx_copies > 0")
