@@ -12,10 +12,12 @@ together. An expression keeps counts of its own only if it is not seen once
 only and if its counts differ between the classes beyond chance, whatever the
 size of the corpus. All others are left to the backoff the classes share, where
 they speak for neither. The expressions kept are a table that grows with the
-corpus. While it has few rows it is broadcast; beyond that the distinct
-expressions of the texts are joined to it, with the same scores. A text's score
-compares its log-likelihoods per word under the two models, mapped to a
-probability by a logistic fit on labelled rows of a fold that was not counted.
+corpus. Texts are read once: the head of that table, its commonest expressions
+up to ``SMALL_ROWS``, is looked up on the way; what may be in the rest, by a
+bitmap of fixed size, leaves the pass as a row and is joined. Neither decides
+what a text scores. A text's score compares its log-likelihoods per word under
+the two models, mapped to a probability by a logistic fit on labelled rows of a
+fold that was not counted.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ Z = 4.0  # standard deviations by which a class's count must be off its share
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 CALIBRATION_ROWS = 20_000  # the first of the calibration fold by a hash of the id
 THRESHOLD = 0.5
+BITMAP = 21  # log2 of the bitmap's 64-bit cells: 16 MB, whatever the model's size
 
 _COUNTS = "v long, w long, n1 long, n0 long"
 
@@ -50,6 +53,7 @@ class Model:
     word_llr: np.ndarray  # log p_1(w) / p_0(w)
     pairs: np.ndarray
     pair_llr: np.ndarray  # log p_1(w | v) / p_0(w | v)
+    rest: np.ndarray  # bitmap of the keys of expressions that are not among these; empty: there are none
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -96,8 +100,8 @@ def count_pairs(rows: DataFrame) -> DataFrame:
 class Tables:
     """Written tables of what an expression adds to the log-likelihood ratio."""
 
-    words: DataFrame  # w, llr: log p_1(w) / p_0(w)
-    pairs: DataFrame  # v, w, llr: log p_1(w | v) / p_0(w | v)
+    words: DataFrame  # w, llr: log p_1(w) / p_0(w), level
+    pairs: DataFrame  # v, w, llr: log p_1(w | v) / p_0(w | v), level
     n_words: int
     n_pairs: int
 
@@ -130,7 +134,10 @@ def learn(rows: DataFrame) -> Tables | None:
         n_all = total[f"n{c}"]
         mine = F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / n_all + DISCOUNT * total[f"u{c}"] / n_all * shared
         p[c] = F.when(often & differs, mine).otherwise(shared)
-    own_words = staged(words.where(often & differs).select(F.col("k").alias("w"), F.log(p["1"] / p["0"]).alias("llr")), "toxic-own-words")
+    # How common an expression is, in eighths of a power of two.
+    level = F.floor(8 * F.log2(n.cast("double"))).cast("int").alias("level")
+    own_words = words.where(often & differs).select(F.col("k").alias("w"), F.log(p["1"] / p["0"]).alias("llr"), level)
+    own_words = staged(own_words, "toxic-own-words")
 
     back = F.least(F.greatest(DISCOUNT * F.col("types") / F.greatest(n, F.lit(1)), F.lit(1e-3)), F.lit(1.0))
     first = words.select(F.col("k").alias("v"), "types", F.col("n1").alias("v1"), F.col("n0").alias("v0"), back.alias("back"))
@@ -142,19 +149,60 @@ def learn(rows: DataFrame) -> Tables | None:
         c: F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"v{c}"), F.lit(1)) + F.col("back") * F.col(f"p{c}")
         for c in "10"
     }
-    own_pairs = staged(own_pairs.select("v", "w", F.log(pc["1"] / pc["0"]).alias("llr")), "toxic-own-pairs")
+    own_pairs = staged(own_pairs.select("v", "w", F.log(pc["1"] / pc["0"]).alias("llr"), level), "toxic-own-pairs")
     return Tables(own_words, own_pairs, own_words.count(), own_pairs.count())
 
 
-def collected(tables: Tables) -> Model:
-    """The tables as sorted arrays, for at most ``SMALL_ROWS`` rows."""
-    words = tables.words.toPandas().sort_values("w")
-    pairs = tables.pairs.toPandas()
+def head_level(tables: Tables, most: int) -> int:
+    """Least level from which on there are at most ``most`` expressions."""
+    levels = tables.words.select("level").unionByName(tables.pairs.select("level")).groupBy("level").count().collect()
+    out, n = 8 * 64, 0  # no count reaches 2^64
+    for r in sorted(levels, reverse=True):
+        n += r["count"]
+        if n > most:
+            break
+        out = r["level"]
+    return out
+
+
+def rest_bitmap(words: DataFrame, pairs: DataFrame) -> np.ndarray:
+    """Bitmap of the keys of words and pairs, set by tasks."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bit = _bit(pair_key(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_signed(bit))], ["at", "bits"])
+
+    # A word alone has the key of its pair with 0, which no pair is.
+    keys = pairs.select("v", "w").unionByName(words.select(F.lit(0).cast("long").alias("v"), "w"))
+    cells = keys.mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << BITMAP, np.int64)  # at most so many rows came
+    out[cells["at"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return out
+
+
+def _bit(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and bit of each key in a bitmap."""
+    u = keys.view(np.uint64)
+    return (u >> np.uint64(64 - BITMAP)).astype(np.int64), np.uint64(1) << (u & np.uint64(63))
+
+
+def split_head(tables: Tables, most: int) -> tuple[Model, Tables | None]:
+    """The commonest expressions, at most ``most``, as sorted arrays, and the tables of the others."""
+    level = head_level(tables, most)
+    words = tables.words.where(F.col("level") >= level).toPandas().sort_values("w")
+    pairs = tables.pairs.where(F.col("level") >= level).toPandas()
     key = pair_key(pairs["v"].to_numpy(np.int64), pairs["w"].to_numpy(np.int64))
     order = np.argsort(key)
-    return Model(
-        words["w"].to_numpy(np.int64), words["llr"].to_numpy(float), key[order], pairs["llr"].to_numpy(float)[order]
+    rest, bitmap = None, np.zeros(0, np.int64)
+    if len(words) + len(pairs) < tables.n_words + tables.n_pairs:
+        others = [t.where(F.col("level") < level).drop("level") for t in (tables.words, tables.pairs)]
+        rest = Tables(*others, tables.n_words - len(words), tables.n_pairs - len(pairs))
+        bitmap = rest_bitmap(rest.words, rest.pairs)
+    model = Model(
+        words["w"].to_numpy(np.int64), words["llr"].to_numpy(float), key[order], pairs["llr"].to_numpy(float)[order], bitmap
     )
+    return model, rest
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
@@ -164,34 +212,58 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise
     return np.where(keys[at] == wanted, values[at], otherwise)
 
 
-def evidence(block: Block, model: Model) -> np.ndarray:
-    """Columns per text: log-likelihood ratio per word, and per square root of words."""
+def _known(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), bool)
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+
+@dataclass
+class Evidence:
+    """Per text, words and what the head adds; the expressions that may be in the rest, with what they were given."""
+
+    n: np.ndarray
+    total: np.ndarray
+    doc: np.ndarray
+    v: np.ndarray  # 0 for a text's first word
+    w: np.ndarray
+    given: np.ndarray
+
+
+def evidence(block: Block, model: Model) -> Evidence:
     words = find_words(block, ALNUM, FOLD)
     w = _signed(words.hash)
+    v = np.zeros_like(w)
+    v[1:] = np.where(words.doc[1:] == words.doc[:-1], w[:-1], 0)
+    joint, inner = pair_key(v, w), v != 0
     llr = _look_up(model.words, model.word_llr, w, np.zeros(len(w)))
-    if len(w) > 1:
-        joint = _look_up(model.pairs, model.pair_llr, pair_key(w[:-1], w[1:]), llr[1:])
-        llr[1:] = np.where(words.doc[1:] == words.doc[:-1], joint, llr[1:])
-    n = np.maximum(words.counts, 1)
-    total = np.bincount(words.doc, llr, block.n)
-    return np.column_stack([total / n, total / np.sqrt(n)])
-
-
-def text_expressions(rows: DataFrame) -> DataFrame:
-    """part, row, k, v, w, n over rows of (k, text): how often each text has each
-    (previous word, word); v is 0 for a text's first word. A text also has one
-    row with null v and w, whose n is its number of words."""
+    llr = np.where(inner, _look_up(model.pairs, model.pair_llr, joint, llr), llr)
+    open_ = np.zeros(len(w), bool)
+    if len(model.rest):
+        bits = model.rest.view(np.uint64)
+        maybe = lambda keys: (lambda at, bit: bits[at] & bit != 0)(*_bit(keys))
+        own_pair = inner & _known(model.pairs, joint)
+        open_ = inner & ~own_pair & maybe(joint)
+        open_ |= ~own_pair & ~_known(model.words, w) & maybe(pair_key(np.zeros_like(w), w))
+    at = np.flatnonzero(open_)
+    return Evidence(words.counts, np.bincount(words.doc, llr, block.n), words.doc[at], v[at], w[at], llr[at])
+
+
+def text_evidence(rows: DataFrame, model) -> DataFrame:
+    """part, row, k, v, w, n, s over rows of (k, text), ``model`` being a broadcast one.
+
+    A text has one row with null v and w, its number of words and the sum of
+    what the head adds, and one for each of its distinct (previous word, word)
+    that may be in the rest: how often it stands there and what one of it added.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
             for block in blocks(batch.column(1), 4 << 20):
-                words = find_words(block, ALNUM, FOLD)
-                w = _signed(words.hash)
-                v = np.zeros_like(w)
-                v[1:] = np.where(words.doc[1:] == words.doc[:-1], w[:-1], 0)
-                order = np.lexsort((w, v, words.doc))
-                v, w, doc = v[order], w[order], words.doc[order]
+                e = evidence(block, model.value)
+                order = np.lexsort((e.w, e.v, e.doc))
+                v, w, doc, given = e.v[order], e.w[order], e.doc[order], e.given[order]
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
@@ -204,34 +276,39 @@ def text_expressions(rows: DataFrame) -> DataFrame:
                         pa.array(seen + of),
                         batch.column(0).take(pa.array(block.first + of)),
                         *[pa.array(x, mask=whole) for x in keys],
-                        pa.array(np.append(words.counts, np.diff(np.append(at, len(v)))).astype(np.int64)),
+                        pa.array(np.append(e.n, np.diff(np.append(at, len(v)))).astype(np.int64)),
+                        pa.array(np.append(e.total, given[at])),
                     ],
-                    ["part", "row", "k", "v", "w", "n"],
+                    ["part", "row", "k", "v", "w", "n", "s"],
                 )
                 seen += block.n
 
-    return rows.mapInArrow(run, "part int, row long, k long, v long, w long, n long")
+    return rows.mapInArrow(run, "part int, row long, k long, v long, w long, n long, s double")
 
 
-def joined_evidence(rows: DataFrame, tables: Tables) -> DataFrame:
-    """k, a, b as ``evidence`` has them, over rows of (k, text), by joins.
+def scored(rows: DataFrame, model, rest: Tables | None) -> DataFrame:
+    """k, a, b over rows of (k, text): log-likelihood ratio per word, and per square root of words.
 
-    Each distinct expression of the texts gets its ratio once, from its pair or
-    else its word; then texts' rows meet it, those of very common ones by
-    broadcast.
+    Each distinct expression that left the pass gets its ratio once, from its
+    pair or else its word; then texts' rows meet it, those of very common ones
+    by broadcast.
     """
-    every = staged(text_expressions(rows), "toxic-texts")
-    found = every.where("w IS NOT NULL")
-    uses = found.groupBy("v", "w").agg(F.count(F.lit(1)).alias("uses"))
-    uses = staged(uses.join(tables.pairs, ["v", "w"], "left"), "toxic-uses")
-    rest = uses.where("llr IS NULL").drop("llr")
-    weight = staged(rest.groupBy("w").agg(F.count(F.lit(1)).alias("kinds")).join(tables.words, "w"), "toxic-word-uses")
-    known = uses.where("llr IS NOT NULL").unionByName(attach(rest, weight, ["w"], "kinds").drop("kinds"))
-    sums = attach(found, staged(known, "toxic-known"), ["v", "w"], "uses").groupBy("part", "row").agg(
-        F.sum(F.col("n") * F.col("llr")).alias("total")
-    )
-    n, total = F.greatest(F.col("n"), F.lit(1)), F.coalesce("total", F.lit(0.0))
-    texts = every.where("w IS NULL").select("part", "row", "k", "n").join(sums, ["part", "row"], "left")
+    every, total = text_evidence(rows, model), F.col("s")
+    texts = every
+    if rest is not None:
+        every = staged(every, "toxic-texts")
+        found = every.where("w IS NOT NULL")
+        uses = found.groupBy("v", "w").agg(F.count(F.lit(1)).alias("uses"))
+        uses = staged(uses.join(rest.pairs, ["v", "w"], "left"), "toxic-uses")
+        others = uses.where("llr IS NULL").drop("llr")
+        weight = staged(others.groupBy("w").agg(F.count(F.lit(1)).alias("kinds")).join(rest.words, "w"), "toxic-word-uses")
+        known = uses.where("llr IS NOT NULL").unionByName(attach(others, weight, ["w"], "kinds").drop("kinds"))
+        more = attach(found, staged(known, "toxic-known"), ["v", "w"], "uses").groupBy("part", "row").agg(
+            F.sum(F.col("n") * (F.col("llr") - F.col("s"))).alias("more")
+        )
+        texts = every.where("w IS NULL").join(more, ["part", "row"], "left")
+        total = F.col("s") + F.coalesce("more", F.lit(0.0))
+    n = F.greatest(F.col("n"), F.lit(1))
     return texts.select("k", (total / n).alias("a"), (total / F.sqrt(n)).alias("b"))
 
 
@@ -284,36 +361,25 @@ def toxicity_scores(
         seen = usable.agg(F.avg("__tx_y")).first()[0]
         if seen is not None:
             weights[0] = np.log((seen + 0.01) / (1.01 - seen))
-        model = Model(*(np.zeros(0, t) for t in (np.int64, float, np.int64, float)))
-    small = not known or tables.n_words + tables.n_pairs <= SMALL_ROWS
-    if known and small:
-        model = collected(tables)
-    shared = spark.sparkContext.broadcast(model) if small else None
-
-    def measure(rows: DataFrame, extra: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parts = [evidence(b, shared.value) for b in blocks(batch.column(1))]
-                x = np.concatenate(parts or [np.zeros((0, 2))])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["k", "a", "b"])
-
-        if not small:
-            return joined_evidence(rows.select(F.col(extra).alias("k"), "__tx_text"), tables)
-        return rows.select(extra, "__tx_text").mapInArrow(run, "k long, a double, b double")
+        model, rest = Model(*(np.zeros(0, t) for t in (np.int64, float, np.int64, float, np.int64))), None
+    else:
+        model, rest = split_head(tables, SMALL_ROWS)
+    shared = spark.sparkContext.broadcast(model)
 
     if known:
         chosen = (
             usable.where(fold == CALIBRATION).orderBy(F.xxhash64("__tx_id"), "__tx_id", "__tx_y").limit(CALIBRATION_ROWS)
         )
-        rows = texts.join(F.broadcast(chosen), "__tx_id")
-        fitted = measure(rows, "__tx_y").toPandas()  # at most CALIBRATION_ROWS rows for unique ids
+        rows = texts.join(F.broadcast(chosen), "__tx_id").select("__tx_y", "__tx_text")
+        # Ids may have many texts each; the bound is one of rows.
+        fitted = scored(rows, shared, rest).orderBy(F.xxhash64("a", "b"), "a", "b", "k").limit(CALIBRATION_ROWS).toPandas()
         if fitted["k"].nunique() == 2:
             weights = logistic(fitted[["a", "b"]].to_numpy(), fitted["k"].to_numpy(float))
         else:
             weights = np.array([0.0, 10.0, 0.0])
     z = F.lit(float(weights[0])) + F.col("a") * float(weights[1]) + F.col("b") * float(weights[2])
     score: Column = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
-    return measure(texts, "__tx_id").select(
+    return scored(texts.select("__tx_id", "__tx_text"), shared, rest).select(
         F.col("k").alias(id_col),
         F.coalesce(crc32_bucket("k", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         score.alias("score"),

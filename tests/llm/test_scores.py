@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -154,6 +155,72 @@ def test_toxic_words_keep_their_counts_whatever_the_size(spark, monkeypatch):
     assert sum(got[10**6 + k] > got[2 * 10**6 + k] for k in range(15)) >= 12
 
 
+def kneser_ney_brute(rows):
+    """Log ratios of words and pairs kept, by the formulas of the module's docstring, over (y, list of words)."""
+    pairs, words, cont, types = {}, {}, {}, {}
+    for y, text in rows:
+        for v, w in set(zip(text, [*text[1:], None])):
+            pairs.setdefault((v, w), [0, 0])[y] += 1
+    for (v, w), n in pairs.items():
+        mine = words.setdefault(v, [0, 0])
+        mine[0] += n[0]
+        mine[1] += n[1]
+        if w is not None:
+            cont[w], types[v] = cont.get(w, 0) + 1, types.get(v, 0) + 1
+    total = [sum(n[c] for n in words.values()) for c in (0, 1)]
+    kinds = [sum(n[c] > 0 for n in words.values()) for c in (0, 1)]
+    share, d, all_cont = total[1] / sum(total), toxicity.DISCOUNT, sum(cont.values())
+
+    def kept(n):
+        return max(n) >= toxicity.LEAST and abs(n[1] - sum(n) * share) >= toxicity.Z * math.sqrt(sum(n) * share * (1 - share))
+
+    def p(w, c):
+        shared = (cont.get(w, 0) + 0.5) / (all_cont + 0.5 * len(words) + 0.5)
+        n = words[w]
+        return max(n[c] - d, 0) / total[c] + d * kinds[c] / total[c] * shared if kept(n) else shared
+
+    def conditional(v, w, c):
+        back = min(max(d * types.get(v, 0) / max(sum(words[v]), 1), 1e-3), 1.0)
+        return max(pairs[v, w][c] - d, 0) / max(words[v][c], 1) + back * p(w, c)
+
+    by_word = {w: math.log(p(w, 1) / p(w, 0)) for w, n in words.items() if kept(n)}
+    by_pair = {
+        (v, w): math.log(conditional(v, w, 1) / conditional(v, w, 0)) for (v, w), n in pairs.items() if w is not None and kept(n)
+    }
+    return by_word, by_pair
+
+
+def test_toxic_evidence_equals_brute_force_whatever_is_looked_up(spark):
+    """All expressions in the head, some of them, none: the ratios are those of the formulas."""
+    rng = random.Random(4)
+    common, bad = [f"w{k}" for k in range(40)], [f"bad{k}" for k in range(12)]
+    rows = []
+    for k in range(500):
+        text = rng.choices(common, k=rng.randint(1, 25))
+        if k % 5 == 0:
+            for _ in range(4):
+                text.insert(rng.randint(0, len(text)), " ".join(rng.choices(bad, weights=range(1, 13), k=2)))
+        rows.append((int(k % 5 == 0), " ".join(text)))
+    by_word, by_pair = kneser_ney_brute([(y, t.split()) for y, t in rows])
+    assert len(by_word) > 10 and len(by_pair) > 5
+    texts = [t for _, t in rows[:200]] + ["", None, "never seen", "bad11 bad11 bad11", "w1", " ".join(bad) + " new w3"]
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        got = [by_pair.get((a, b), by_word.get(b, 0.0)) for a, b in zip([None, *w], w)]
+        want.append((sum(got) / max(len(w), 1), sum(got) / math.sqrt(max(len(w), 1))))
+    tables = toxicity.learn(spark.createDataFrame(rows, "y long, text string"))
+    assert (tables.n_words, tables.n_pairs) == (len(by_word), len(by_pair))
+    asked, joined = spark.createDataFrame(list(enumerate(texts)), "k long, text string"), []
+    for most in (10**6, (len(by_word) + len(by_pair)) // 2, 0):
+        model, rest = toxicity.split_head(tables, most)
+        assert len(model.words) + len(model.pairs) <= most
+        joined.append(rest.n_words + rest.n_pairs if rest else 0)
+        found = {r.k: (r.a, r.b) for r in toxicity.scored(asked, spark.sparkContext.broadcast(model), rest).collect()}
+        assert np.allclose([found[k] for k in range(len(texts))], want, atol=1e-9)
+    assert joined[0] == 0 < joined[1] < joined[2]
+
+
 def test_toxicity_joined_equals_broadcast(spark, data, monkeypatch):
     docs, labels, _ = data
     docs = docs.unionByName(make_docs(spark, ODD + [(-7, "tie " * 500), (None, "x")]).select(*docs.columns))
