@@ -18,28 +18,40 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartcast.llm.common import LINKS, attach, link_rows, staged
 from cartcast.llm.components import components
 
 THRESHOLD = 0.95
-TILE = 4096  # vectors of a tile; two tiles and their products fit a task
+TILE = 4096  # least vectors of a tile
+TILE_NUMBERS = 1 << 21  # numbers of a large tile: 16 MB, so that two tiles and their copies fit a task
+TILES = 64  # tiles of a table from which on they are made larger
 BLOCK = 512
 STEPS = (8, 16, 32)  # leading dimensions after which a block may stop
 SLACK = 1e-9  # cosines this near the threshold are taken from the raw vectors
 
 
+def tile_size(n: int, width: int) -> int:
+    """Vectors of a tile: ``TILE``, or more in large tables as far as a task's memory goes.
+
+    A vector is sent to about as many tasks as there are tiles it may meet, so
+    larger tiles mean fewer copies of it.
+    """
+    return max(TILE, min(n // TILES, TILE_NUMBERS // max(1, width)))
+
+
+def usable(v: Column) -> Column:
+    """Whether a vector is neither null, empty nor zero and all its components are finite."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Distinct finite non-zero vectors: node (smallest id), copies, v (doubles)."""
-    v = F.col(vector_col).cast("array<double>")
-    fine = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
-        F.coalesce(F.size("v"), F.lit(-1)) > 0
-    )
-    fine = fine.where(F.col("id").isNotNull()).where(
-        F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    )
+    fine = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    fine = fine.where(F.col("id").isNotNull() & usable(F.col("v")))
     # -0.0 and 0.0 are one value
     fine = fine.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     return fine.groupBy("v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
@@ -165,14 +177,18 @@ def _interval(column: str, cuts: list[float]):
     return out
 
 
-def links(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """Rows (node, linked copies, other): counts have other null, forest edges a count of 0."""
+def links(nodes: DataFrame, threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
+    """Rows (node, linked copies, other): counts have other null, forest edges a count of 0.
+
+    ``tile``: vectors of a tile; ``tile_size`` of the table if not given.
+    """
     spark = nodes.sparkSession
     sizes = nodes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).collect()
     out = spark.createDataFrame([], LINKS)
     # Vectors of different width have no cosine, so each width is a table of its own.
     for size in sizes:
-        out = out.unionByName(_links_of_width(nodes.where(F.size("v") == size["width"]), size["width"], size["n"], threshold, tile))
+        of = tile or tile_size(size["n"], size["width"])
+        out = out.unionByName(_links_of_width(nodes.where(F.size("v") == size["width"]), size["width"], size["n"], threshold, of))
     return out
 
 
@@ -234,7 +250,7 @@ def tile_pairs(cells: DataFrame, reach: list[list[list[int]]]) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
-    tile: int = TILE,
+    tile: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -262,13 +278,13 @@ def near_duplicates(
             F.coalesce("component", "node").alias("component_id"),
         )
     )
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
-    digest = lambda c: F.sha2(F.to_json(F.struct(c)), 256)
-    key = F.when(F.col(id_col).isNotNull(), digest(v.alias("v")))
+    plain, digest = F.col(vector_col).cast("array<double>"), lambda c: F.sha2(F.to_json(F.struct(c)), 256)
+    v = F.transform(plain, lambda x: x + F.lit(0.0))
+    # Rows that link with nothing, however many, have no key and meet nobody.
+    key = F.when(F.col(id_col).isNotNull() & usable(plain), digest(v.alias("v")))
     rows = staged(vectors.select(F.col(id_col).cast("long").alias("id"), key.alias("key")), "vector-rows")
     known = staged(known.withColumn("key", digest(F.col("key").alias("v"))), "vector-known")
-    linked_rows = attach(rows, known, ["key"], "copies")
-    others = rows.join(known.select("key"), "key", "left_anti")
+    linked_rows = attach(rows.where("key IS NOT NULL"), known, ["key"], "copies")
     return linked_rows.select("id", "n_links", "component_id").unionByName(
-        others.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        rows.where("key IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     ).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -210,3 +210,21 @@ def test_embeddings_null_ids_repeats_and_empty(spark):
 @pytest.mark.parametrize("run", [exact_duplicates, drop_exact_duplicates, ngram_join.jaccard_links, ngram_join.keep_one_of_each])
 def test_empty_tables(spark, run):
     assert run(make_docs(spark, [])).count() == 0
+
+
+def test_tile_size_follows_the_table_and_memory():
+    size = embedding_dedup.tile_size
+    assert size(0, 64) == size(100_000, 64) == 4096  # small tables
+    assert size(1_000_000, 64) == 15_625 and size(10**9, 64) == 32_768  # as many numbers as a task holds
+    assert size(10**9, 2048) == 4096
+
+
+def test_rows_that_link_with_nothing_meet_nobody(spark):
+    """Null ids and unusable vectors get their own rows back, however many there are, and no join sees them."""
+    rows = [(None, [1.0, 0.0])] * 50 + [(k, None) for k in range(50)] + [(100 + k, [0.0, 0.0]) for k in range(50)]
+    rows += [(200 + k, [float("nan"), 1.0]) for k in range(5)] + [(300, [1.0, 0.0]), (301, [1.0, 0.0]), (302, [])]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows)
+    assert {r for r in got if r[1]} == {(300, 1, 300, True), (301, 1, 300, False)}
+    assert all(r[2] == r[0] and r[3] for r in got if not r[1])
