@@ -129,7 +129,8 @@ def fit(
 
     ``where`` selects label rows. Rows without id or label are not used; with
     no labelled rows at all the weights are zero and every score is 0.5. The
-    broadcast of the chosen labels is bounded by ``max_rows``.
+    broadcast of the chosen labels is bounded by ``max_rows``, and so are the
+    texts learned from: of an id that has several, the one of smallest hash.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if where is not None:
@@ -140,8 +141,13 @@ def fit(
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("__q_id"), F.col(text_col).cast("string").alias("__q_text"))
-    rows = texts.join(F.broadcast(chosen), "__q_id").withColumn(
-        "__q_shard", F.pmod(F.xxhash64("__q_id", F.lit(1)), F.lit(shards))
+    rows = texts.join(F.broadcast(chosen), "__q_id").groupBy("__q_id", "__q_y")
+    rows = rows.agg(F.min(F.struct(F.xxhash64("__q_text").alias("h"), "__q_text")).alias("first"))
+    rows = rows.select(
+        "__q_id",
+        "__q_y",
+        F.col("first")["__q_text"].alias("__q_text"),
+        F.pmod(F.xxhash64("__q_id", F.lit(1)), F.lit(shards)).alias("__q_shard"),
     )
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:

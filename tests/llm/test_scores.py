@@ -116,6 +116,15 @@ def test_ftrl_equals_its_update_rule():
     assert np.allclose([got[k] for k in (0, 1, 2, quality.BIAS)], [w(k) for k in (0, 1, 2, quality.BIAS)])
 
 
+def test_quality_learns_one_text_of_an_id(spark):
+    """An id with thousands of texts brings one of them to its task."""
+    docs = make_docs(spark, [(1, f"good words here {k}") for k in range(3000)] + [(2, "bad words there")])
+    labels = spark.createDataFrame([(1, 1, 0, 1, "x"), (2, 0, 0, 1, "x"), (1, 1, 0, 1, "x")], LABELS)
+    model = quality.fit(docs, labels, epochs=1)
+    one = quality.fit(docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), labels, epochs=1)
+    assert np.array_equal(model, one) and model.any()
+
+
 def test_toxicity_learns_and_holds_out(spark, data):
     docs, labels, truth = data
     rows = toxicity.toxicity_scores(docs, labels).collect()
